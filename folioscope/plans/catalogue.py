@@ -1,15 +1,605 @@
-"""All queries of the engine, and their SQL counterparts."""
+"""All queries of the engine over the test tables, and their SQL counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions import text as T
+from folioscope.functions import vectors as V
+from folioscope.functions import voting
+from folioscope.operators import chunks as C
+from folioscope.operators import consensus, indices, prompts, providers, search, terms, views
+from folioscope.plans import corpus
+from folioscope.plans.sql import ORACLES
+from folioscope.sources import files, layout
+from folioscope.streaming import ingest
+
+SHARE = 0.02
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return C.document_chunks(_table(spark, d, "documents"))
+
+
+def _keywords(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.keyword_candidates(_chunks(spark, d), SHARE).withColumnRenamed("token", "term")
+
+
+def _joined(column: str, sep: str = ",") -> Column:
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), sep).alias(column)
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def chunk_documents(spark, d):
+    return _chunks(spark, d)
+
+
+@query
+def doc_word_count(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.count_words(F.col("text")).alias("n_words"))
+
+
+@query
+def normalize_terms(spark, d):
+    raw = F.concat(F.lit("1. • "), F.upper("p_name"), F.lit(" (note)  -"))
+    return _table(spark, d, "part").select("p_partkey", T.normalize_term(raw).alias("term"))
+
+
+@query
+def dehyphenate(spark, d):
+    return _table(spark, d, "part").select("p_partkey", T.join_hyphen_breaks(F.replace("p_name", F.lit(" "), F.lit("-\n"))).alias("name"))
+
+
+@query
+def clean_toc_lines(spark, d):
+    tail = F.lit("\nPage 3 of 9\n1.2 Title ....... 17\n- 4 -\n[7]\n12/40\n3.1 Scope    9\nend")
+    return _table(spark, d, "documents").select("doc_id", T.drop_contents_lines(F.concat("text", tail)).alias("text"))
+
+
+@query
+def clean_markdown_ws(spark, d):
+    wide = F.concat(F.replace("text", F.lit("\n"), F.lit("  \n\n\n")), F.lit("\n \n"))
+    return _table(spark, d, "documents").select("doc_id", T.tidy_markdown(wide).alias("text"))
+
+
+@query
+def toc_summary(spark, d):
+    heads = F.regexp_replace("text", "(?m)^", "# ")
+    return _table(spark, d, "documents").select("doc_id", T.contents_summary(heads).alias("summary"))
+
+
+@query
+def truncate_limit(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.truncate(F.col("text"), 100).alias("text"), T.excerpt(F.col("text"), 300).alias("excerpt"))
+
+
+@query
+def fixed_slices(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.posexplode(T.fixed_slices(F.col("text"), 500)).alias("at", "slice"))
+
+
+@query
+def substring_counts(spark, d):
+    text = F.lower("text")
+    return _table(spark, d, "documents").select("doc_id", T.count_substring(text, F.lit("the")).alias("n_the"), T.count_substring(text, F.lit("an")).alias("n_an"))
+
+
+def _region_tables(spark, d):
+    n = _table(spark, d, "nation").select("n_regionkey", F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.col("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("<even & |>"))).alias("cells")).alias("r"))
+    rows = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("r")).alias("rows"))
+    head = F.array(F.array(F.lit("key"), F.lit("name"), F.lit("note")))
+    return rows.select("n_regionkey", F.concat(head, F.col("rows.cells")).alias("data"))
+
+
+@query
+def table_html(spark, d):
+    return _region_tables(spark, d).select("n_regionkey", T.html_table(F.col("data")).alias("html"))
+
+
+@query
+def table_ascii(spark, d):
+    return _region_tables(spark, d).select("n_regionkey", T.ascii_table(F.col("data"), F.lit(3)).alias("ascii"))
+
+
+@query
+def table_markdown(spark, d):
+    return _region_tables(spark, d).select("n_regionkey", T.markdown_table(F.col("data")).alias("markdown"))
+
+
+@query
+def html_to_text_chunks(spark, d):
+    pages = _table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), files.html_text(F.col("html")).alias("text"))
+    return C.document_chunks(pages).select("doc_id", "chunk_index", "text")
+
+
+@query
+def content_hash_dedupe(spark, d):
+    hashed = _table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("document_id"))
+    return hashed.groupBy("document_id").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
+
+
+@query
+def files_by_extension(spark, d):
+    return files.by_extension(_table(spark, d, "pages").select(F.concat("url", F.lit(".HTML")).alias("path")).union(_table(spark, d, "part").select(F.concat(F.lit("/in/"), "p_name", F.lit(".pdf")))))
+
+
+# --- terms ----------------------------------------------------------------------------------------------------------
+
+
+@query
+def acronym_candidates(spark, d):
+    return C.upper_tokens(_chunks(spark, d))
+
+
+@query
+def acronym_groups(spark, d):
+    g = terms.group_acronyms(C.upper_tokens(_chunks(spark, d)))
+    return g.select("term", "total_count", F.size(F.array_distinct(F.transform("occurrences", lambda x: x["doc_id"]))).cast("long").alias("n_documents"), "mean_score")
+
+
+@query
+def keyword_candidates_tf(spark, d):
+    s = corpus.keyword_scores(corpus.keyword_candidates(_chunks(spark, d), SHARE), C.word_totals(_chunks(spark, d)))
+    return s.select("term", "doc_id", "tf", F.round("score", 9).alias("score"))
+
+
+@query
+def keyword_groups(spark, d):
+    found = corpus.keyword_candidates(_chunks(spark, d), SHARE)
+    s = corpus.keyword_scores(found, C.word_totals(_chunks(spark, d)))
+    placed = found.withColumnRenamed("token", "term").join(s, ["term", "doc_id"])
+    g = terms.score_filter(terms.group_keywords(placed), 0.0)
+    return g.select("term", "total_count", F.round("mean_score", 6).alias("mean_score"))
+
+
+@query
+def term_positions(spark, d):
+    return _keywords(spark, d).select("term", "doc_id", "chunk_index", _joined("positions"))
+
+
+@query
+def cooccurrence_topn(spark, d):
+    placed = _keywords(spark, d)
+    totals = placed.groupBy("term").agg(F.count("*").alias("total_count"))
+    out = terms.cooccurrences(placed, totals)
+    return out.select("term", "other", "frequency", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def term_contexts(spark, d):
+    chunks, found = _chunks(spark, d), _keywords(spark, d)
+    matches = found.join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
+    return terms.term_contexts(found.select("term", "doc_id", "chunk_index"), matches)
+
+
+@query
+def whole_word_matches(spark, d):
+    chunks = _chunks(spark, d)
+    named = C.upper_tokens(chunks).select(F.lower("term").alias("term"), "doc_id")
+    return terms.chunk_positions(named, chunks).select("term", "doc_id", "chunk_index", _joined("positions"))
+
+
+@query
+def merge_rejected_terms(spark, d):
+    chunks = _chunks(spark, d)
+    place = F.struct("doc_id", "page", "chunk_index")
+    keywords = C.token_occurrences(chunks, 2).groupBy(F.col("token").alias("term")).agg(F.collect_list(place).alias("occurrences")).withColumn("mean_score", F.lit(0.5))
+    rejected = terms.group_acronyms(C.upper_tokens(chunks)).withColumn("term", F.lower("term")).withColumn("mean_score", F.lit(0.25))
+    return terms.merge_rejected(keywords, rejected).select("term", "total_count", F.round("mean_score", 6).alias("mean_score"))
+
+
+def _part_words(spark, d):
+    return _table(spark, d, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " ")).alias("term")).distinct()
+
+
+def _part_names(spark, d):
+    return _table(spark, d, "part").select(F.col("p_name").alias("term"), F.concat_ws(" ", "p_name", "p_type").alias("full_form")).distinct()
+
+
+@query
+def acronym_links_substring(spark, d):
+    links = terms.link_terms(_part_names(spark, d), _part_words(spark, d), fuzzy=False)
+    return links.select("acronym", "keyword", F.round("match_score", 9).alias("match_score")).distinct()
+
+
+@query
+def acronym_links_fuzzy(spark, d):
+    return terms.link_terms(_part_names(spark, d), _part_words(spark, d))
+
+
+@query
+def inverted_index(spark, d):
+    return indices.inverted_index(_keywords(spark, d), ["term"], ["doc_id"], "documents").select("term", _joined("documents"))
+
+
+@query
+def page_chunk_index(spark, d):
+    return indices.search_indices(_keywords(spark, d), _chunks(spark, d))["page_to_chunks"].select("doc_id", "page", _joined("chunks"))
+
+
+@query
+def chunk_terms(spark, d):
+    return indices.chunk_terms(_chunks(spark, d), _keywords(spark, d)).select("doc_id", "chunk_index", _joined("terms"))
+
+
+def _both_kinds(spark, d):
+    a = C.upper_tokens(_chunks(spark, d)).select("doc_id", "chunk_index", "term", F.lit("acronym").alias("kind"))
+    return a.unionByName(_keywords(spark, d).select("doc_id", "chunk_index", "term", F.lit("keyword").alias("kind")))
+
+
+@query
+def document_stats(spark, d):
+    return indices.document_stats(_table(spark, d, "documents"), _chunks(spark, d), _both_kinds(spark, d))
+
+
+@query
+def corpus_totals(spark, d):
+    t = _both_kinds(spark, d).select("term", F.col("kind").alias("term_type")).distinct()
+    links = terms.link_terms(_part_names(spark, d), _part_words(spark, d), fuzzy=False)
+    return indices.corpus_totals(_chunks(spark, d), t, links)
+
+
+@query
+def terms_union_override(spark, d):
+    both = _both_kinds(spark, d).groupBy(F.lower("term").alias("term_key"), "kind").agg(F.count("*").alias("total_count"))
+    return terms.union_terms(both.where("kind = 'keyword'"), both.where("kind = 'acronym'"))
+
+
+# --- search ---------------------------------------------------------------------------------------------------------
+
+
+def _query_vector(spark, d, number: int):
+    return _table(spark, d, "embeddings").where(F.col("vec_id") == number).select("embedding").first()[0]
+
+
+@query
+def vector_topk(spark, d):
+    best = search.top_k(_table(spark, d, "embeddings"), _query_vector(spark, d, 0), 10, id_col="vec_id", vector_col="embedding")
+    return best.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_topk_threshold(spark, d):
+    best = search.top_k(_table(spark, d, "embeddings"), _query_vector(spark, d, 1), 50, 0.3, id_col="vec_id", vector_col="embedding")
+    return best.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query
+def vector_batch_topk(spark, d):
+    e = _table(spark, d, "embeddings")
+    asked = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query_vector")).select(F.col("label").alias("query_id"), "query_vector")
+    best = search.batch_top_k(e.select("vec_id", "embedding"), asked, 5, id_col="vec_id", vector_col="embedding")
+    return best.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def vector_norms(spark, d):
+    return _table(spark, d, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), V.semantic_bucket(F.col("embedding")).alias("bucket"))
+
+
+def _vectors(spark, d):
+    return _chunks(spark, d).withColumn("vector", V.hashed_embedding("text"))
+
+
+@query
+def search_similarity(spark, d):
+    return search.top_k(_vectors(spark, d), V.hashed_vector("the tion of and with that").tolist(), 10, 0.1).select("chunk_id", "text", "score")
+
+
+def _parts_of_search(spark, d):
+    """A stand-in for the saved relations of a knowledge base; kept, as a search reads them several times."""
+    k = _keywords(spark, d).persist()
+    t = k.groupBy("term").agg(F.count("*").alias("total_count")).select(F.col("term").alias("term_key"), "term", F.lit("keyword").alias("term_type"), "total_count")
+    c = terms.cooccurrences(k, k.groupBy("term").agg(F.count("*").alias("total_count"))).persist()
+    links = spark.createDataFrame([], "acronym string, keyword string, match_score double")
+    return t, links, c
+
+
+@query
+def search_enhanced(spark, d):
+    t, links, c = _parts_of_search(spark, d)
+    found = search.top_k(_vectors(spark, d), V.hashed_vector("the tion of and with that").tolist(), 10, 0.1).withColumn("result_id", F.col("chunk_id")).drop("vector")
+    return search.enhanced(found, "the tion of and with that", t, links, c).select("chunk_id", "score", "relevance", "combined", _joined("primary_terms"), _joined("related_terms"))
+
+
+@query
+def primary_term_matches(spark, d):
+    chunks = _chunks(spark, d).select(F.col("chunk_id").alias("result_id"), "text")
+    t = _keywords(spark, d).select(F.col("term").alias("term_key")).distinct()
+    return search.primary_terms(chunks, t)
+
+
+@query
+def related_terms_one_hop(spark, d):
+    t, links, c = _parts_of_search(spark, d)
+    primary = t.withColumn("result_id", F.lit(1))
+    return search.related_terms(primary, t, links, c).select("term_key", "total_count").distinct()
+
+
+@query
+def query_relevance(spark, d):
+    asked = _table(spark, d, "documents").select(F.col("doc_id").alias("result_id"), "text")
+    words = _table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 2)).alias("term")).distinct()
+    found = asked.join(words, F.lower("text").contains(F.col("term")))
+    return search.relevance(search.query_frequencies(found, F.col("text"))).select("result_id", F.round("relevance", 6).alias("relevance"), "n_terms")
+
+
+@query
+def rerank_combined(spark, d):
+    e = _table(spark, d, "events").select("event_id", F.round(search.combined_score(F.col("value") / 100, F.col("user_id").cast("double")), 6).alias("combined"))
+    return e.orderBy(F.col("combined").desc(), "event_id").limit(25)
+
+
+# --- votes ----------------------------------------------------------------------------------------------------------
+
+
+def _order_votes(spark, d):
+    rows = _table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("key"))
+    return rows.select(F.col("l_orderkey").alias("item"), F.lit(0).alias("round"), F.col("l_linenumber").cast("string").alias("model_id"), F.col("l_linenumber").alias("seq"), "key")
+
+
+@query
+def vote_majority(spark, d):
+    return consensus.decide(_order_votes(spark, d)).select("item", "n_votes", "winner", "top", "second", "achieved", "tie")
+
+
+@query
+def vote_judge_ties(spark, d):
+    return consensus.majority(_order_votes(spark, d), judge=lambda a, b: F.concat(F.least(a, b), F.greatest(a, b))).select("item", "winner", "rival", "tie", "chosen")
+
+
+@query
+def vote_outliers(spark, d):
+    return consensus.outliers(_order_votes(spark, d)).select("item", "model_id", "key")
+
+
+@query
+def vote_agreement(spark, d):
+    return consensus.agreement(_order_votes(spark, d)).select("item", F.round("agreement", 6).alias("agreement"))
+
+
+@query
+def vote_range_bins(spark, d):
+    return _table(spark, d, "lineitem").groupBy(V.log_bin(F.col("l_extendedprice"), 0.2).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _order_lists(spark, d):
+    rows = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey"))).alias("r"))
+    return rows.select("l_orderkey", F.col("r.l_returnflag").alias("flags"))
+
+
+@query
+def vote_sequence_keys(spark, d):
+    x = F.col("flags")
+    return _order_lists(spark, d).select("l_orderkey", voting.ordered_key(x).alias("ordered"), voting.unordered_key(x).alias("unordered"), voting.alike_key(x, 0.8, True).alias("ordered_alike"), voting.alike_key(x, 0.6, False).alias("unordered_alike"))
+
+
+@query
+def vote_struct_keys(spark, d):
+    V_ = voting.VotingField
+    specs = {"l_tax": V_(voting.IGNORE), "l_extendedprice": V_(voting.RANGE, tolerance=0.5), "l_shipdate": V_(voting.IGNORE), "l_returnflag": V_(voting.SEMANTIC)}
+    row = _table(spark, d, "lineitem")
+    names = ["l_returnflag", "l_linestatus", "l_extendedprice", "l_tax"]
+    return row.groupBy(voting.voting_key({n: F.col(n) for n in names}, specs).alias("key")).agg(F.count("*").alias("n"))
+
+
+@query
+def compare_sequences(spark, d):
+    x = _order_lists(spark, d)
+    y = x.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("flags").alias("others"))
+    a, b = F.col("flags"), F.col("others")
+    return x.join(y, "l_orderkey").select("l_orderkey", voting.ordered_matches(a, b, 0.6).alias("ordered"), voting.unordered_matches(a, b, 0.6).alias("unordered"), voting.ordered_alike_matches(a, b, 0.6).alias("ordered_alike"), voting.unordered_matches(a, b, 0.4, alike=True).alias("unordered_alike"))
+
+
+@query
+def compare_ranges(spark, d):
+    p = _table(spark, d, "part")
+    q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_size").alias("next_size"))
+    return p.join(q, "p_partkey").select("p_partkey", voting.in_range(F.col("p_size"), F.col("next_size"), 0.2).alias("close"))
+
+
+def _daily_votes(spark, d):
+    """Each user's first event of an hour is a vote in the hour's round on the day."""
+    e = _table(spark, d, "events").select(F.to_date("ts").cast("string").alias("item"), F.hour("ts").alias("round"), F.col("user_id").cast("string").alias("model_id"), F.col("user_id").cast("int").alias("seq"), "event_type", "event_id")
+    return e.groupBy("item", "round", "model_id", "seq").agg(F.min_by("event_type", "event_id").alias("key"))
+
+
+@query
+def round_consistency(spark, d):
+    return consensus.consistency(_daily_votes(spark, d)).select("item", "model_id", F.round("consistency", 6).alias("consistency"))
+
+
+@query
+def convergence_score(spark, d):
+    v = _daily_votes(spark, d)
+    rounds = consensus.agreement(v).join(consensus.decide(v).select("item", "round", F.lit(False).alias("achieved")), ["item", "round"])
+    return consensus.convergence(rounds).select("item", F.round("convergence", 6).alias("convergence"))
+
+
+@query
+def model_contribution(spark, d):
+    v = _daily_votes(spark, d)
+    final = v.groupBy("item").agg(F.max_by("key", F.struct("round", "model_id")).alias("key"))
+    return consensus.contributions(v, final).select("item", "model_id", F.round("toward", 6).alias("toward"), F.round("contribution", 6).alias("contribution"))
+
+
+@query
+def influence(spark, d):
+    return consensus.evolution(_daily_votes(spark, d)).select("item", "model_id", "round", "key", "previous", "changed", _joined("influenced_by"))
+
+
+@query
+def disagreement_fields(spark, d):
+    out = consensus.disagreements(_table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], ("l_orderkey",))
+    return out.select("l_orderkey", "field", F.col("n_values").cast("long").alias("n_values"), "agreed", _joined("values"))
+
+
+@query
+def consensus_confidence(spark, d):
+    dec = consensus.decide(_daily_votes(spark, d))
+    c = consensus.confidence(F.col("n_votes"), F.col("n_votes") - F.col("top"), F.col("round"), F.lit(24), F.col("achieved"))
+    return dec.select("item", "round", F.round(c, 6).alias("confidence"))
+
+
+@query
+def gossip_peers(spark, d):
+    v = _daily_votes(spark, d).withColumn("content", F.col("key"))
+    return consensus.gossip_context(v, 0).select("item", "model_id", "own", _joined("peers"))
+
+
+# --- views ----------------------------------------------------------------------------------------------------------
+
+
+def _part_terms(spark, d):
+    return _table(spark, d, "part").select("p_partkey", F.col("p_name").alias("term"), F.lit("keyword").alias("term_type"), F.col("p_type").alias("meaning"), F.lit(None).cast("string").alias("full_form"))
+
+
+@query
+def terms_filter(spark, d):
+    return views.filter_terms(_part_terms(spark, d), "  ECO ").select("p_partkey", "term", "meaning")
+
+
+@query
+def terms_filter_page(spark, d):
+    return views.page_of(views.filter_terms(_part_terms(spark, d), "ring"), ["p_partkey"], page=2, size=20).select("p_partkey", "term")
+
+
+@query
+def terms_total_pages(spark, d):
+    return views.total_pages(views.filter_terms(_part_terms(spark, d), "ring"), 20)
+
+
+@query
+def link_graph_nodes(spark, d):
+    return views.link_graph(terms.link_terms(_part_names(spark, d), _part_words(spark, d), fuzzy=False))[0]
+
+
+@query
+def links_page(spark, d):
+    links = terms.link_terms(_part_names(spark, d), _part_words(spark, d), fuzzy=False).distinct()
+    return views.page_of(links.select("acronym", "keyword", F.round("match_score", 9).alias("match_score")), [F.col("match_score").desc(), "acronym", "keyword"], page=1, kind="links")
+
+
+@query
+def document_term_frequency(spark, d):
+    return views.document_terms(_both_kinds(spark, d), "acronym")
+
+
+@query
+def term_details(spark, d):
+    return views.term_details(C.upper_tokens(_chunks(spark, d)).select("doc_id", "chunk_index", "term"), _chunks(spark, d))
+
+
+@query
+def source_links(spark, d):
+    name = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(".PDF"))).otherwise(F.concat("p_name", F.lit(".txt")))
+    return _table(spark, d, "part").select("p_partkey", views.source_link(name, F.col("p_size")).alias("link"), views.flat_keys(F.col("p_partkey"), F.col("p_size")).alias("key"))
+
+
+# --- prompts --------------------------------------------------------------------------------------------------------
+
+
+def _issues(spark, d):
+    words = ["lacks detail", "Missing context here", "is unclear", "seems ambiguous", "too vague now", "too long", "no examples at all", "not bad, no harm"]
+    said = F.element_at(F.array(*map(F.lit, words)), F.col("p_size") % len(words) + 1)
+    return _table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", said).alias("issue"))
+
+
+@query
+def principle_from_issue(spark, d):
+    return _issues(spark, d).select("p_partkey", prompts.issue_principle(F.col("issue")).alias("principle"), prompts.is_actionable(F.col("issue")).alias("actionable"))
+
+
+@query
+def principle_extract(spark, d):
+    given = F.array(F.struct(F.col("issue").alias("principle"), F.lit(0.7).alias("importance")))
+    fb = _issues(spark, d).select(F.col("p_partkey").alias("feedback_id"), given.alias("principles"), F.array(F.concat(F.lit("Add "), "issue"), F.col("issue")).alias("suggestions"), F.array("issue").alias("issues"))
+    return prompts.extract_principles(fb)
+
+
+@query
+def principle_apply(spark, d):
+    prompt = F.concat(F.lit("Maybe explain the parts, the whole and the "), F.col("issue"), F.lit(". What could it cost?"))
+    p = F.col("issue")
+    return _issues(spark, d).select("p_partkey", prompts.apply_principle(prompt, p).alias("kept"), prompts.apply_principle(prompt, p, False).alias("free"), prompts.simplify(prompt).alias("simple"), prompts.break_down(prompt).alias("parts"), prompts.restructure(prompt).alias("structure"), prompts.capitalise_sentences(prompt).alias("format"))
+
+
+@query
+def prompt_clarify(spark, d):
+    prompt = F.concat(F.lit("Maybe it might "), F.col("issue"), F.lit(" or PERHAPS  not?"))
+    return _issues(spark, d).select("p_partkey", prompts.clarify(prompt).alias("clear"), prompts.make_specific(prompt).alias("specific"))
+
+
+@query
+def principle_dedupe(spark, d):
+    p = _table(spark, d, "part")
+    stored = p.where("p_size <= 10").groupBy(F.col("p_name").alias("principle")).agg(F.min("p_partkey").alias("seq"), F.lit(0.5).alias("importance"))
+    new = p.where("p_size > 10").select(F.col("p_partkey").alias("seq"), F.concat_ws(" ", "p_name", F.when(F.col("p_size") > 30, F.col("p_type"))).alias("principle"), F.lit(0.8).alias("importance"))
+    return prompts.add_principles(stored, new)
+
+
+@query
+def principle_combine(spark, d):
+    p = _table(spark, d, "part").select(F.col("p_name").alias("principle"), (F.col("p_size") / 50).alias("importance"), "p_size")
+    both = prompts.combine_principles(p.where("p_size > 25"), p.where("p_size <= 25"))
+    return both.select("principle", F.round("importance", 6).alias("importance"), F.round(prompts.boost(F.col("importance"), 1.2), 6).alias("boosted"))
+
+
+@query
+def alignment_metrics(spark, d):
+    e = _table(spark, d, "events").select(F.col("user_id").alias("prompt_id"), F.col("event_id").alias("iteration"), (F.col("value") / 1000).alias("score"))
+    final = e.groupBy("prompt_id").agg(F.max("score").alias("final_score"))
+    m = prompts.alignment_metrics(e, final)
+    return m.select("prompt_id", "n_iterations", *(F.round(c, 6).alias(c) for c in ("mean_change", "convergence_rate", "stability")))
+
+
+# --- layout, streams ------------------------------------------------------------------------------------------------
+
+
+@query
+def layout_outside_tables(spark, d):
+    o = _table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 2).alias("x1"), (F.col("l_discount") * 1000).alias("top"), (F.col("l_discount") * 1000 + 4).alias("bottom"), "l_orderkey", "l_partkey")
+    boxes = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("page"), F.lit(5.0).alias("bx0"), F.lit(20.0).alias("btop"), F.lit(30.0).alias("bx1"), F.lit(60.0).alias("bbottom"))
+    return layout.outside_tables(o, boxes).select("doc_id", "page", "l_orderkey", "l_partkey", "x0", "top")
+
+
+@query
+def batch_flat_map(spark, d):
+    items = _table(spark, d, "part").select("p_partkey", F.col("p_name").alias("item"))
+    return providers.flat_map(items, str.split).select("p_partkey", "at", "output")
+
+
+@query
+def event_windows(spark, d):
+    w = ingest.windowed_votes(_table(spark, d, "events").select("ts", F.col("event_type").alias("key")))
+    return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "key", "n")
+
+
+@query
+def token_document_counts(spark, d):
+    found = C.token_occurrences(_chunks(spark, d))
+    return found.groupBy("token").agg(F.count_distinct("doc_id").alias("n_documents"), F.sum(F.size("positions")).cast("long").alias("n_occurrences"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
