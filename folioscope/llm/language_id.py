@@ -71,7 +71,9 @@ class SuffixAutomaton:
                 steps[s, c] = t
         # a symbol that the sample lacks leaves the parse at the root, and is a phrase of its own
         fresh = np.where(steps[0] >= 0, steps[0], 0) | _FLAG
-        return np.where(steps >= 0, steps, fresh[None, :]).ravel()
+        table = np.where(steps >= 0, steps, fresh[None, :])
+        table[0] = fresh  # whatever follows the root begins a phrase
+        return table.ravel()
 
 
 class CrossParser:
@@ -129,7 +131,7 @@ class CrossParser:
         active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than each position
         n = len(self.langs)
         state = np.repeat(np.array(self.roots, np.int32)[None, :], len(blocks), axis=0)
-        counts = np.ones((len(blocks), n), np.int32)  # the phrase at the start
+        counts = np.zeros((len(blocks), n), np.int32)
         for at in range(lengths[0]):
             m = active[at]
             step = self.steps[state[:m] * self.n_symbols + grid[at, :m, None]]
