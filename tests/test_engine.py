@@ -163,7 +163,7 @@ def test_merge_cooccurrences(spark):
 
 def test_prompt_rules(spark):
     df = spark.createDataFrame([("lacks detail here",), ("Missing context",), ("nothing of note",), ("too long",)], "t string")
-    assert [r[0] for r in df.select(prompts.issue_principle(F.col("t"))).collect()] == ["should include detail here", "should include context", "Ensure: thing of te", "Keep prompts concise while maintaining clarity"]
+    assert [r[0] for r in df.select(prompts.issue_principle(F.col("t"))).collect()] == ["should include detail here", "should include context", "Ensure: hing of e", "Keep prompts concise while maintaining clarity"]
     one = spark.createDataFrame([("It might  be the the best best. What is it? yes",)], "p string")
     p = F.col("p")
     got = one.select(prompts.clarify(p), prompts.simplify(p), prompts.break_down(F.lit("a, b and c;")), prompts.restructure(p), prompts.capitalise_sentences(F.lit("ab. cd!ef")), prompts.core_request(p), prompts.make_specific(p)).first()
