@@ -157,7 +157,7 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     rows = docs.select(*keep, F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias(lang), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias(source), F.col(text_col).alias(words))
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     measured = scratch_table(rows.mapInArrow(_measured, f"{carried}, {_SCHEMA}"), "measured")
-    fences = thresholds(measured, lang, source)
+    fences = scratch_table(thresholds(measured, lang, source), "fences")  # its size is known: broadcast if small, else hot groups can be split
     judged = measured.join(fences, [lang, source])
     failed = F.filter(F.array(*(F.when(v > F.col("fences")[k], F.lit(k)) for k, v in rule_measures().items())), lambda x: x.isNotNull())
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
