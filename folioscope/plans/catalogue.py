@@ -35,7 +35,12 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keywords(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.keyword_candidates(_chunks(spark, d), SHARE).withColumnRenamed("token", "term")
+    return _candidates(spark, d).withColumnRenamed("token", "term")
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword candidates of the documents; their tokens are kept, as they are counted before they are chosen."""
+    return corpus.keyword_candidates(_chunks(spark, d), SHARE, save=lambda df, name: df.persist())
 
 
 def _joined(column: str, sep: str = ",") -> Column:
@@ -155,13 +160,13 @@ def acronym_groups(spark, d):
 
 @query
 def keyword_candidates_tf(spark, d):
-    s = corpus.keyword_scores(corpus.keyword_candidates(_chunks(spark, d), SHARE), C.word_totals(_chunks(spark, d)))
+    s = corpus.keyword_scores(_candidates(spark, d), C.word_totals(_chunks(spark, d)))
     return s.select("term", "doc_id", "tf", F.round("score", 9).alias("score"))
 
 
 @query
 def keyword_groups(spark, d):
-    found = corpus.keyword_candidates(_chunks(spark, d), SHARE)
+    found = _candidates(spark, d)
     s = corpus.keyword_scores(found, C.word_totals(_chunks(spark, d)))
     placed = found.withColumnRenamed("token", "term").join(s, ["term", "doc_id"])
     g = terms.score_filter(terms.group_keywords(placed), 0.0)
@@ -566,7 +571,7 @@ def alignment_metrics(spark, d):
     e = _table(spark, d, "events").select(F.col("user_id").alias("prompt_id"), F.col("event_id").alias("iteration"), (F.col("value") / 1000).alias("score"))
     final = e.groupBy("prompt_id").agg(F.max("score").alias("final_score"))
     m = prompts.alignment_metrics(e, final)
-    return m.select("prompt_id", "n_iterations", *(F.round(c, 6).alias(c) for c in ("mean_change", "convergence_rate", "stability")))
+    return m.select("prompt_id", "n_iterations", "mean_change", "convergence_rate", "stability")
 
 
 # --- layout, streams ------------------------------------------------------------------------------------------------

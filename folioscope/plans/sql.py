@@ -345,8 +345,8 @@ SELECT principle, round(i, 6) AS importance, round(least(i * 1.2, 1.0), 6)::DOUB
 FROM (SELECT p_name AS principle, CASE WHEN p_size > 25 THEN p_size / 50::DOUBLE ELSE p_size / 50::DOUBLE * 0.9 END AS i FROM part)""",
     "alignment_metrics": """
 WITH c AS (SELECT user_id, event_id, value / 1000 AS s, value / 1000 - lag(value / 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS ch FROM events)
-SELECT user_id AS prompt_id, count(*) AS n_iterations, round(round(coalesce(avg(ch), 0), 9), 6) AS mean_change,
-       round(round((max(s) - arg_min(s, event_id)) / count(*), 9), 6) AS convergence_rate, round(round(CASE WHEN count(ch) > 1 THEN 1 / (1 + var_pop(ch)) ELSE 1 END, 9), 6) AS stability
+SELECT user_id AS prompt_id, count(*) AS n_iterations, round(coalesce(avg(ch), 0), 9) AS mean_change,
+       round((max(s) - arg_min(s, event_id)) / count(*), 9) AS convergence_rate, round(CASE WHEN count(ch) > 1 THEN 1 / (1 + var_pop(ch)) ELSE 1 END, 9) AS stability
 FROM c GROUP BY user_id""",
     "layout_outside_tables": """
 SELECT l_suppkey AS doc_id, l_linenumber AS page, l_orderkey, l_partkey, l_quantity AS x0, l_discount * 1000 AS top FROM lineitem
