@@ -33,11 +33,20 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
+#: Rows in a batch that a scratch table's Python code gets: with long texts, the usual 10,000 are many megabytes.
+ROWS_IN_BATCH = 1000
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     path = f"{scratch_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(usual), ROWS_IN_BATCH) if int(usual) > 0 else ROWS_IN_BATCH))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

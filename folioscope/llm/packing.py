@@ -8,6 +8,7 @@ each window. No ids are moved between partitions, and no pass depends on the ord
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,37 +18,68 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import scratch_table, text_slices, unused_name
+from folioscope.llm.common import DOCS_AT_ONCE, scratch_table, text_slices, unused_name
 
 WINDOW = 2048
-#: Distinct chunks of text whose ids a worker remembers; beyond that it starts anew.
-CACHED = 400_000
+#: Words whose ids a worker remembers for sure; as many more, used less lately, may be kept too.
+CACHED = 300_000
+
+
+class _Recent:
+    """A mapping that forgets what hasn't been asked for in a while; fill gives the values of missing keys."""
+
+    def __init__(self, fill: Callable[[list], list], size: int):
+        self.fill, self.size, self.now, self.before = fill, size, {}, {}
+
+    def of(self, keys: set) -> dict:
+        """A mapping that holds all of the keys."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        now, before, missing = self.now, self.before, []
+        for k in keys:
+            if k not in now:
+                if k in before:
+                    now[k] = before[k]
+                else:
+                    missing.append(k)
+        if missing:
+            now.update(zip(missing, self.fill(missing)))
+        return now
+
+
+#: The marks that a word ends in: right behind a-z, 0-9 or a Latin-1 letter (two bytes), and before white space.
+_WORD_END = re.compile(rb"[.,;:!?#%$*&](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#%$*&]*(?![^\x20\x09-\x0D])")
 
 
 def chunk_encoder(tokenizer_file: str, end_id: int | None = 1, cached: int = CACHED) -> Callable[[list[str | None]], list[bytes]]:
     """A function from texts to their ids as little-endian 32-bit numbers, followed by end_id.
 
-    For tokenizers whose pieces never reach across ASCII white space: a text's ids are those of its parts between
-    white space, one after the other, and the ids of each part are found once.
+    For tokenizers that lower-case, and whose pieces reach neither across ASCII white space nor from a letter to a
+    mark: A-Z are lower-cased, marks at words' ends are set apart, and a text's ids are those of its parts between
+    white space, one after the other. The ids of each part are found once. Texts with `<|`, where special tokens
+    begin, are only cut at white space.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    known: dict[bytes, bytes] = {}
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
 
+    def tokenized(parts: list[bytes]) -> list[bytes]:
+        out = []
+        for i in range(0, len(parts), 4096):
+            some = [p.decode("utf-8", "replace") for p in parts[i : i + 4096]]
+            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+    def split(text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        return (raw if b"<|" in raw else _WORD_END.sub(rb" \g<0>", raw.lower())).split()
+
+    words = _Recent(tokenized, cached)
+
     def encode(texts: list[str | None]) -> list[bytes]:
-        nonlocal known
-        parts = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        new = list({p for ps in parts for p in ps if p not in known})
-        if len(known) + len(new) > cached:
-            known = {}
-            new = list({p for ps in parts for p in ps})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, e in zip(some, tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
+        parts = [split(t) for t in texts]
+        get = words.of({p for ps in parts for p in ps}).__getitem__
         return [b"".join(map(get, ps)) + end for ps in parts]
 
     return encode
@@ -71,7 +103,7 @@ def _encoded(tokenizer_file: str, end_id: int | None):
 
 def _cut(window: int, n_keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, DOCS_AT_ONCE) for b in batches for i in range(0, b.num_rows, DOCS_AT_ONCE)):
             kept, (at, ids) = batch.columns[:n_keep], batch.columns[n_keep:]
             rows, starts, lengths, cuts = [], [], [], []
             for row, (g, raw) in enumerate(zip(at.to_pylist(), ids.to_pylist())):
