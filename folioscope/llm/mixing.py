@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import unused_name
+from folioscope.llm.common import scratch_table, unused_name
 
 SEED = 17
 #: Without given weights a source's target share is proportional to its size to this power.
@@ -76,12 +76,15 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     like a new one are replaced.
     """
     docs = docs.drop("rate", "replica", "shuffle_key")
-    rates = source_rates(docs, source_col, text_col, **how)
-    name = unused_name(docs, "rate_source")
-    # one row per source: a table that doesn't grow with the documents, yet Spark checks its size before broadcasting
+    spark = docs.sparkSession
+    rates = scratch_table(source_rates(docs, source_col, text_col, **how), "rates")  # a row for each source; its size is known: broadcast if small
+    name, hashed = unused_name(docs, "rate_source"), unused_name(docs, "text_md5")
     rated = docs.join(rates.select(F.col("source").alias(name), "rate"), docs[source_col].eqNullSafe(F.col(name)), "left")
-    u = uniform(seed, docs[id_col], F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
-    count = poisson_count(F.col("rate"), u)
+    rated = rated.withColumn(hashed, F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
+    count = poisson_count(F.col("rate"), uniform(seed, docs[id_col], F.col(hashed)))
     copies = rated.withColumn("replica", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
-    key = uniform(seed + 1, docs[id_col], F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")), F.col("replica"))
-    return copies.select(*(docs[c] for c in docs.columns), "rate", "replica", key.alias("shuffle_key")).orderBy("shuffle_key", id_col)
+    key = uniform(seed + 1, docs[id_col], F.col(hashed), F.col("replica"))
+    out = copies.select(*(docs[c] for c in docs.columns), "rate", "replica", key.alias("shuffle_key"))
+    # keys are uniform, so equal stretches of [0, 1) are equal partitions: a total order without sampling
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(parts, F.floor(F.col("shuffle_key") * parts).cast("int")).sortWithinPartitions("shuffle_key", id_col)
