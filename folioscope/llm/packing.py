@@ -36,12 +36,11 @@ class _Recent:
         if len(self.now) > self.size:
             self.now, self.before = {}, self.now
         now, before, missing = self.now, self.before, []
-        for k in keys:
-            if k not in now:
-                if k in before:
-                    now[k] = before[k]
-                else:
-                    missing.append(k)
+        for k in keys.difference(now):
+            if k in before:
+                now[k] = before[k]
+            else:
+                missing.append(k)
         if missing:
             now.update(zip(missing, self.fill(missing)))
         return now
@@ -79,7 +78,7 @@ def chunk_encoder(tokenizer_file: str, end_id: int | None = 1, cached: int = CAC
 
     def encode(texts: list[str | None]) -> list[bytes]:
         parts = [split(t) for t in texts]
-        get = words.of({p for ps in parts for p in ps}).__getitem__
+        get = words.of(set().union(*parts)).__getitem__
         return [b"".join(map(get, ps)) + end for ps in parts]
 
     return encode
