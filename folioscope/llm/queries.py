@@ -38,7 +38,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_counts.vocabulary(vocabulary_file("piece_bpe_32k.model"))
+    pieces = token_counts.vocabulary(vocabulary_file("piece_bpe_32k.model"), bare_mark=True)
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), pieces, keep=["doc_id"])
 
 

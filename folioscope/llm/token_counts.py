@@ -25,10 +25,12 @@ _DEAD = -1
 class PieceCounter:
     """Counts the pieces of words. initial, following: pieces that begin a word, and that continue one.
 
-    A word that has no pieces throughout counts as one unknown token.
+    An empty initial piece is a bare word mark: a token that begins any word no other initial piece begins, with
+    continuations for all its characters. A word that has no pieces throughout counts as one unknown token.
     """
 
     def __init__(self, initial: Iterable[str], following: Iterable[str]):
+        initial = list(initial)
         self.children: list[dict[str, int]] = [{}, {}]  # 0: where a word begins, 1: where a continuation begins
         ends = [False, False]
         for root, pieces in enumerate((initial, following)):
@@ -45,6 +47,8 @@ class PieceCounter:
                     ends[at] = True
         n = len(self.children)
         self.fails, self.pops = [_DEAD] * n, [0] * n
+        if "" in initial:  # the bare mark is taken off where a word begins
+            self.fails[0], self.pops[0] = 1, 1
         queue = deque((0, 1))
         while queue:
             at = queue.popleft()
@@ -80,10 +84,11 @@ class PieceCounter:
         return n
 
 
-def vocabulary(model_file: str) -> tuple[list[str], list[str]]:
+def vocabulary(model_file: str, bare_mark: bool = False) -> tuple[list[str], list[str]]:
     """The (initial, following) pieces of a sentencepiece model file: those after its word mark, and the others.
 
-    Control, unknown and byte pieces are left out; every single character of the pieces may also continue a word.
+    bare_mark: the mark alone is a piece too (if the model has it), as the empty initial piece; without it a word
+    that no marked piece begins is unknown. Control, unknown and byte pieces are left out; every single character of the pieces may also continue a word.
     """
     import sentencepiece
 
@@ -91,7 +96,7 @@ def vocabulary(model_file: str) -> tuple[list[str], list[str]]:
     ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     pieces = [model.id_to_piece(i) for i in ids]
     mark = "▁"
-    initial = [p[1:] for p in pieces if p[:1] == mark and len(p) > 1]
+    initial = [p[1:] for p in pieces if p[:1] == mark and (bare_mark or len(p) > 1)]
     following = [p for p in pieces if mark not in p]
     return initial, following
 

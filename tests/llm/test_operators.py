@@ -278,6 +278,27 @@ def test_piece_counts(spark, docs, rows):
         assert got[r["doc_id"]] == (len(per), sum(per), max(per, default=0))
 
 
+def test_piece_counts_with_bare_mark(spark, sf_dir, rows):
+    initial, following = map(set, token_counts.vocabulary(queries.vocabulary_file("piece_bpe_32k.model"), bare_mark=True))
+
+    def count(word):
+        n = at = 0
+        while at < len(word):
+            end = next((e for e in range(len(word), at, -1) if word[at:e] in (following if n else initial)), None)
+            if end is None and (n or "" not in initial):
+                return 1
+            n, at = n + 1, at if end is None else end
+        return n
+
+    assert count("4734663219866878$$$") > 10 and count("ßheit") > 1
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op5_token_counts(spark, sf_dir).collect()}
+    for r in rows:
+        per = [count(w) for w in brute.words(r["text"])]
+        assert got[r["doc_id"]] == (len(per), sum(per), max(per, default=0))
+    counter = token_counts.PieceCounter(["a", "ab", ""], ["b", "c"])
+    assert [counter.count(w) for w in ("abc", "b", "cbc", "xa", "bx")] == [2, 2, 4, 1, 1]
+
+
 def test_piece_counts_against_library():
     from tokenizers import Tokenizer, models, pre_tokenizers
 
