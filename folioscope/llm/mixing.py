@@ -1,8 +1,8 @@
 """Mixing of sources to target weights by Poisson replication.
 
 A source's mean repetition rate is its target share of all text over the text it has. Each document's number of
-copies inverts the Poisson distribution with that mean at a uniform number hashed from (seed, id, text), so it
-doesn't depend on partitions or retries. Copies are exploded and shuffled globally by a hash of (seed, id, copy).
+copies inverts the Poisson distribution with that mean at a uniform number hashed from (seed, id, text), or is a
+sum of such numbers where the mean is large, so it doesn't depend on partitions or retries. Copies are exploded and shuffled globally by a hash of (seed, id, copy).
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ SEED = 17
 TEMPERATURE = 0.5
 #: Chances below this are not told apart: the number of copies stops at the point where less than it is left.
 TAIL = 2.0**-53
+#: Means above this are drawn as sums.
+LARGEST = 500
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -27,12 +29,10 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(named, 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
-def poisson_count(mean: Column, u: Column) -> Column:
-    """The least k with P(X <= k) > u for X Poisson with the mean (0 for a null or zero mean).
+def _least_count(mean: Column, u: Column) -> Column:
+    """The least k with P(X <= k) > u for X Poisson with a mean above 0, whose chance of 0 doesn't underflow.
 
     The sum of chances runs over at most mean + 12 * sqrt(mean) + 40 terms, past which less than TAIL is left.
-    Means above 500 are sums of means of at most 500, whose chances don't underflow; see source_rates for the
-    bound of means that this operator meets.
     """
     last = F.ceil(mean + 12 * F.sqrt(mean) + 40).cast("int")
     start = F.struct(F.lit(0).alias("count"), F.exp(-mean).alias("chance"), F.exp(-mean).alias("upto"))
@@ -41,7 +41,18 @@ def poisson_count(mean: Column, u: Column) -> Column:
         chance = s["chance"] * mean / k
         return F.struct((s["count"] + F.when(u >= s["upto"], 1).otherwise(0)).alias("count"), chance.alias("chance"), (s["upto"] + chance).alias("upto"))
 
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["count"]).otherwise(0)
+    return F.aggregate(F.sequence(F.lit(1), last), start, step)["count"]
+
+
+def poisson_count(mean: Column, seed: int, *parts: Column) -> Column:
+    """A Poisson number with that mean, fixed by the seed and the parts (0 for a null or zero mean).
+
+    Up to LARGEST it inverts the distribution at uniform(seed, *parts). A larger mean is cut into equal ones of at
+    most LARGEST, and their numbers, each at a uniform number of its own, are summed, which is Poisson again.
+    """
+    pieces = F.ceil(mean / LARGEST).cast("int")
+    summed = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda n, i: n + _least_count(mean / pieces, uniform(seed, *parts, i)))
+    return F.when(mean > LARGEST, summed).when(mean > 0, _least_count(mean, uniform(seed, *parts))).otherwise(0)
 
 
 def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, total: float = 1.0) -> DataFrame:
@@ -49,7 +60,7 @@ def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "t
 
     weights: target shares (scaled to sum 1; sources not named get 0); by default proportional to size **
     temperature over the sources with text. total: size of the mixture over that of the input. A source without
-    text has rate 1. rate is at most 500 (an error otherwise): a source so much too small can't fill its share.
+    text has rate 1. rate has no upper bound: a source is repeated as often as its share asks.
     """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).cast("long").alias("size"))
     if weights is None:
@@ -63,7 +74,6 @@ def source_rates(docs: DataFrame, source_col: str = "source", text_col: str = "t
     all_raw, all_size = whole["all_raw"] or 0.0, whole["all_size"] or 0
     target = F.col("raw") / F.lit(all_raw) if all_raw else F.lit(0.0)
     rate = F.when(F.col("size") > 0, F.col("target") * F.lit(total * all_size) / F.col("size")).otherwise(1.0)
-    rate = F.when(rate > 500, F.raise_error(F.concat(F.lit("the rate of a source exceeds 500: "), F.col("source")))).otherwise(rate)
     return raised.withColumn("target", target).select("source", "size", "target", F.round(rate.cast("double"), 12).alias("rate"))
 
 
@@ -81,7 +91,7 @@ def mix_sources(docs: DataFrame, source_col: str = "source", id_col: str = "doc_
     name, hashed = unused_name(docs, "rate_source"), unused_name(docs, "text_md5")
     rated = docs.join(rates.select(F.col("source").alias(name), "rate"), docs[source_col].eqNullSafe(F.col(name)), "left")
     rated = rated.withColumn(hashed, F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
-    count = poisson_count(F.col("rate"), uniform(seed, docs[id_col], F.col(hashed)))
+    count = poisson_count(F.col("rate"), seed, docs[id_col], F.col(hashed))
     copies = rated.withColumn("replica", F.explode(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))))
     key = uniform(seed + 1, docs[id_col], F.col(hashed), F.col("replica"))
     out = copies.select(*(docs[c] for c in docs.columns), "rate", "replica", key.alias("shuffle_key"))

@@ -381,6 +381,18 @@ def test_mixing_weights(spark):
         mixing.mix_sources(df, weights={"a": -1})
 
 
+def test_mixing_of_a_tiny_source(spark):
+    df = spark.range(200).selectExpr("id doc_id", "if(id < 3, 'x', repeat('long text ', 600)) text", "if(id < 3, 'tiny', 'large') source")
+    got = mixing.mix_sources(df, weights={"tiny": 1, "large": 3}).groupBy("doc_id", "rate").agg(F.count("*").alias("n"), F.countDistinct("replica").alias("replicas"), F.max("replica").alias("last")).collect()
+    tiny = {r["doc_id"]: r["n"] for r in got if r["doc_id"] < 3}
+    rate = next(r["rate"] for r in got if r["doc_id"] == 0)
+    assert rate == pytest.approx(0.25 * (197 * 6000 + 3) / 3) and rate > 90_000
+    assert len(set(tiny.values())) == 3 and all(abs(n - rate) < 6 * rate**0.5 for n in tiny.values())
+    assert all(r["replicas"] == r["n"] == r["last"] + 1 for r in got)
+    counts = spark.range(3000).select(mixing.poisson_count(F.lit(1200.5), 17, F.col("id")).alias("n")).agg(F.avg("n"), F.var_pop("n")).first()
+    assert abs(counts[0] - 1200.5) < 3 and abs(counts[1] / 1200.5 - 1) < 0.12
+
+
 def test_mixing_odd(odd):
     got = mixing.mix_sources(odd)
     assert got.columns == [*odd.columns, "rate", "replica", "shuffle_key"]
