@@ -5,10 +5,11 @@ substrings. A text is parsed against it into phrases: each is the longest match
 character that the sample lacks is a phrase). Phrases times the logarithm of the sample's length, per character,
 estimate the cross entropy; the language that needs the fewest so normalised phrases wins.
 
-Greedy parsing only follows transitions and starts anew at the root, so each automaton becomes one table of
-transitions in which a failed step is the root's step with a flag. Many texts are parsed at once, one array
-operation per character position; texts longer than ``BLOCK`` characters are parsed in blocks of it (a phrase
-ends at a block's end: at most one phrase more per block).
+Greedy parsing only follows transitions and starts anew at the root, so a failed step is the root's step with a
+flag. The transitions of an automaton are packed into one comb (each state's row is laid into the holes of others),
+so its size follows the sample, not the alphabet. Many stretches of ``BLOCK`` symbols are parsed at once, one array
+operation per position: first as if a phrase began with each stretch, then from where the stretch before really
+ended, until both parses begin a phrase at the same symbol. So a text's phrases are those of one parse of it whole.
 """
 
 from __future__ import annotations
@@ -22,20 +23,26 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import text_slices, unused_name
 
-#: The bound of the labelled sample: documents and characters per language.
-SAMPLE_DOCS = 200
-SAMPLE_CHARS = 40_000
+#: The bound of the labelled sample: rows of each language, and characters of each, as longer texts aren't chosen
+#: while there are others. The chosen texts are learned from whole.
+SAMPLE_DOCS = 100
+LONGEST = 10_000
+#: Rows of all languages together, so that the automata of many languages don't outgrow a task.
+ALL_DOCS = 1000
+#: Symbols that are parsed side by side with others, and in all at once.
 BLOCK = 2048
-#: Letters that get a symbol of their own; the others share one.
-ALPHABET = 94
+AT_ONCE = 1 << 21
+#: Parses that are followed one by one.
+FEW = 8
 UNKNOWN = "und"
-_FLAG = np.int32(1 << 30)
+_FLAG = np.int64(1 << 30)
+_POINTS = 0x110000
 
 
 class SuffixAutomaton:
     """Transitions of the minimal automaton of a text's substrings; state 0 is the root."""
 
-    def __init__(self, symbols: np.ndarray, n_symbols: int):
+    def __init__(self, symbols: np.ndarray):
         length, link, nexts = [0], [-1], [{}]
         last = 0
         for c in symbols.tolist():
@@ -61,19 +68,51 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.n_symbols, self.nexts = n_symbols, nexts
+        self.nexts = nexts
 
-    def parse_table(self) -> np.ndarray:
-        """steps[state * n_symbols + symbol]: the next state, flagged where a new phrase begins at this symbol."""
-        steps = np.full((len(self.nexts), self.n_symbols), -1, np.int32)
-        for s, n in enumerate(self.nexts):
-            for c, t in n.items():
-                steps[s, c] = t
-        # a symbol that the sample lacks leaves the parse at the root, and is a phrase of its own
-        fresh = np.where(steps[0] >= 0, steps[0], 0) | _FLAG
-        table = np.where(steps >= 0, steps, fresh[None, :])
-        table[0] = fresh  # whatever follows the root begins a phrase
-        return table.ravel()
+    def comb(self, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each state, slots of state << 32 | next state, steps from the root).
+
+        The transition of a state by symbol c lies at its place + c; a slot of another state means there is none.
+        The root's row is not in the comb: what follows it begins a phrase.
+        """
+        places = np.zeros(len(self.nexts), np.int64)
+        total = sum(map(len, self.nexts))
+        taken, slots = bytearray(2 * total + 2 * n_symbols + 64), {}
+        one, rng = 0, np.random.default_rng(7)
+        guesses = rng.integers(0, max(1, 2 * total), 1 << 16).tolist()
+        at = 0
+        rows = sorted(range(1, len(self.nexts)), key=lambda s: -len(self.nexts[s]))
+        for s in rows:
+            row = self.nexts[s]
+            if len(row) > 1:
+                while True:
+                    place = guesses[at]
+                    at = (at + 1) & 0xFFFF
+                    if at == 0:
+                        taken.extend(bytes(total))
+                        guesses = rng.integers(0, len(taken) - n_symbols - 1, 1 << 16).tolist()
+                    if not any(taken[place + c] for c in row):
+                        break
+            elif row:  # in any hole: the place may lie before the first slot
+                (c,) = row
+                while one < len(taken) and taken[one]:
+                    one += 1
+                place = one - c
+            else:
+                continue
+            places[s] = place
+            for c, t in row.items():
+                if place + c >= len(taken):
+                    taken.extend(bytes(total + n_symbols))
+                taken[place + c] = 1
+                slots[place + c] = s << 32 | t
+        packed = np.full(len(taken) + 2 * n_symbols, -1, np.int64)
+        packed[np.fromiter(slots.keys(), np.int64, len(slots)) + n_symbols] = np.fromiter(slots.values(), np.int64, len(slots))
+        root = np.zeros(n_symbols, np.int64)
+        for c, t in self.nexts[0].items():
+            root[c] = t
+        return places + n_symbols, packed, root | _FLAG
 
 
 class CrossParser:
@@ -81,63 +120,158 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        texts = {k: _plain(samples[k]) for k in self.langs}
-        codes, counts = np.unique(np.concatenate([_points(t) for t in texts.values()] or [np.empty(0, np.uint32)]), return_counts=True)
-        order = np.lexsort((codes, -counts))
-        common = [int(c) for c in codes[order] if c != 32][:ALPHABET]
-        self.table = np.full(0x10000, 1, np.uint8)  # 0: between words, 1: any other letter
-        for i, c in enumerate(common):
-            if c < 0x10000:
-                self.table[c] = 2 + i
-        for c in range(0x10000):
-            if self.table[c] == 1 and not chr(c).isalpha():
-                self.table[c] = 0
-        self.n_symbols = 2 + len(common)
-        tables, self.roots, self.bits, at = [], [], [], 0
+        texts = {k: samples[k].lower() for k in self.langs}
+        codes = np.unique(np.concatenate([_points(t) for t in texts.values()] or [np.empty(0, np.uint32)]))
+        every = "".join(map(chr, range(_POINTS)))
+        self.table = np.fromiter(map(str.isalpha, every), bool, _POINTS).astype(np.int32)  # 0: between words, 1: any other letter
+        letters = codes[self.table[codes] == 1]
+        self.table[letters] = 2 + np.arange(len(letters))
+        self.n_symbols = 2 + len(letters)
+        places, slots, roots, self.bits, states, at = [], [], [], [], 0, 0
+        self.first = []
         for k in self.langs:
-            symbols = self.symbols(texts[k])
-            steps = SuffixAutomaton(symbols, self.n_symbols).parse_table()
-            flags, states = steps & _FLAG, steps & ~_FLAG
-            tables.append((states + at) | flags)
-            self.roots.append(at)
+            symbols = np.concatenate(list(self.symbols(texts[k])))
+            place, packed, root = SuffixAutomaton(symbols).comb(self.n_symbols)
+            self.first.append(states)
+            known = packed >= 0
+            packed[known] += states * ((1 << 32) + 1)
+            places.append(place + at)
+            slots.append(packed)
+            roots.append(((root & ~_FLAG) + states) | _FLAG)
             self.bits.append(np.log2(max(2, len(symbols))))
-            at += len(steps) // self.n_symbols
-        self.steps = np.concatenate(tables) if tables else np.empty(0, np.int32)
+            states, at = states + len(place), at + len(packed)
+        self.places = np.concatenate(places) if places else np.empty(0, np.int64)
+        self.slots = np.concatenate(slots) if slots else np.empty(0, np.int64)
+        self.roots = np.stack(roots) if roots else np.empty((0, self.n_symbols), np.int64)
 
-    def symbols(self, text: str) -> np.ndarray:
-        """Symbols of a text with runs between words as one, beginning with one."""
-        s = self.table[np.minimum(_points(_plain(text)), 0xFFFF)]
-        s = np.concatenate([np.zeros(1, np.uint8), s])
-        return s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
+    def symbols(self, lowered: str) -> Iterator[np.ndarray]:
+        """Symbols of a lower-cased text, in stretches of at most AT_ONCE; runs between words are one, and it begins with one."""
+        before = 1
+        for i in range(0, max(1, len(lowered)), AT_ONCE):
+            s = self.table[_points(lowered[i : i + AT_ONCE])]
+            if i == 0:
+                s = np.concatenate([np.zeros(1, np.int32), s])
+            kept = s[(s != 0) | (np.concatenate([[before], s[:-1]]) != 0)]
+            before = s[-1]
+            yield kept
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols of each text, phrases of each text and language)."""
-        each = [self.symbols(t) for t in texts]
-        sizes = np.array([len(s) for s in each], np.int64)
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        owner, blocks = [], []
-        for i, s in enumerate(each):
-            for at in range(0, len(s), BLOCK):
-                owner.append(i)
-                blocks.append(s[at : at + BLOCK])
-        if not blocks or not self.langs:
-            return sizes, out
-        lengths = np.array([len(b) for b in blocks])
+    def _step(self, state: np.ndarray, symbol: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The next states, flagged where a phrase begins at the symbol."""
+        found = self.slots[self.places[state] + symbol]
+        return np.where(found >> 32 == state, found & 0xFFFFFFFF, self.roots[lang, symbol])
+
+    def _follow(self, state: int, symbols: np.ndarray, starts: np.ndarray, lang: int) -> tuple[int, int | None]:
+        """(phrases that a parse from that state has more than the block's own, state at the end; None where they met)."""
+        more, places, slots, roots = 0, self.places, self.slots, self.roots[lang].tolist()
+        for c, old in zip(symbols.tolist(), starts.tolist()):
+            found = int(slots[places[state] + c])
+            if found >> 32 == state:
+                state = found & 0xFFFFFFFF
+                more -= old
+            elif old:
+                return more, None
+            else:
+                state = roots[c] & ~int(_FLAG)
+                more += 1
+        return more, state
+
+    def _parse(self, blocks: list[np.ndarray], before: list[int], carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases of each block, states at its end) by language.
+
+        before: the number of the block that each one goes on from, -1 where it goes on from the row of carried.
+        """
+        n, lengths = len(self.langs), np.array([len(b) for b in blocks])
         order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        grid = np.zeros((lengths[0], len(blocks)), np.uint8)
+        grid = np.zeros((int(lengths.max()), len(blocks)), np.int32)
         for column, k in enumerate(order):
-            grid[: lengths[column], column] = blocks[k]
-        active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")  # blocks longer than each position
-        n = len(self.langs)
-        state = np.repeat(np.array(self.roots, np.int32)[None, :], len(blocks), axis=0)
-        counts = np.zeros((len(blocks), n), np.int32)
-        for at in range(lengths[0]):
+            grid[: lengths[k], column] = blocks[k]
+        column_of = np.empty(len(blocks), np.int64)
+        column_of[order] = np.arange(len(blocks))
+        long = lengths[order]
+        active = np.searchsorted(-long, -np.arange(len(grid)), side="left")  # blocks longer than each position
+        langs = np.arange(n)[None, :]
+        state = np.repeat(np.array(self.first, np.int64)[None, :], len(blocks), axis=0)
+        counts, starts = np.zeros((len(blocks), n), np.int64), np.zeros((len(grid), len(blocks), n), bool)
+        for at in range(len(grid)):
             m = active[at]
-            step = self.steps[state[:m] * self.n_symbols + grid[at, :m, None]]
-            counts[:m] += step >> 30
+            step = self._step(state[:m], grid[at, :m, None], langs)
+            starts[at, :m] = step & _FLAG
             state[:m] = step & ~_FLAG
-        np.add.at(out, np.array(owner)[order], counts)
+        counts += starts.sum(axis=0)
+        # now from the states that the blocks before ended in, until the parse meets the first one
+        alone = state.copy()
+        more, chain, following = np.zeros_like(counts), list(range(len(blocks))), np.full(len(blocks), -1)
+        for k, b in enumerate(before):
+            if b >= 0:
+                chain[k], following[b] = chain[b], k
+        chain = np.array(chain)
+        back = np.array(before)
+        pending, all_at_once = np.ones((len(blocks), n), bool), True
+        while pending.any():
+            block, lang = np.nonzero(pending)  # in order of the blocks
+            if not all_at_once:  # the first of each text: what it goes on from is settled
+                first = np.sort(np.unique(chain[block] * n + lang, return_index=True)[1])
+                block, lang = block[first], lang[first]
+            pending[block, lang] = all_at_once = False
+            column, b = column_of[block], back[block]
+            now, left = np.where(b >= 0, state[column_of[b], lang], carried[block, lang]), np.arange(len(block))
+            end = alone[column, lang]
+            more[column, lang] = 0
+            if len(block) <= FEW:  # texts that go on and on without meeting their blocks' parses, as periodic ones do
+                for i, (c, l) in enumerate(zip(column, lang)):
+                    more[c, l], met = self._follow(int(now[i]), grid[: long[c], c], starts[: long[c], c, l], l)
+                    end[i] = end[i] if met is None else met
+                left = left[:0]
+            for at in range(len(grid)):
+                over = long[column[left]] <= at
+                if over.any():
+                    end[left[over]] = now[over]
+                    left, now = left[~over], now[~over]
+                if not len(left):
+                    break
+                c, l = column[left], lang[left]
+                step = self._step(now, grid[at, c], l)
+                flag, old = (step & _FLAG) != 0, starts[at, c, l]
+                apart = ~(flag & old)
+                more[c[apart], l[apart]] += flag[apart].astype(np.int64) - old[apart]
+                left, now = left[apart], (step & ~_FLAG)[apart]
+            else:
+                end[left] = now
+            changed = end != state[column, lang]
+            state[column, lang] = end
+            after = following[block[changed]]
+            pending[after[after >= 0], lang[changed][after >= 0]] = True
+        return (counts + more)[column_of], state[column_of]
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of each text, phrases of each text and language)."""
+        n = len(self.langs)
+        sizes, out = np.zeros(len(texts), np.int64), np.zeros((len(texts), n), np.int64)
+        if not n:
+            return sizes, out
+        ends = np.repeat(np.array(self.first, np.int64)[None, :], len(texts), axis=0)
+        owner, blocks, before, held = [], [], [], 0
+
+        def parsed() -> None:
+            if blocks:
+                counts, states = self._parse(blocks, before, ends[owner])
+                np.add.at(out, np.array(owner), counts)
+                ends[owner] = states  # the last block of a text is written last
+
+        for i, text in enumerate(texts):
+            last = -1
+            for s in self.symbols(text.lower()):
+                sizes[i] += len(s)
+                for at in range(0, len(s), BLOCK):
+                    before.append(last)
+                    last = len(blocks)
+                    owner.append(i)
+                    blocks.append(s[at : at + BLOCK])
+                    held += BLOCK
+                if held > AT_ONCE:
+                    parsed()
+                    owner, blocks, before, held, last = [], [], [], 0, -1
+        parsed()
         return sizes, out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -153,29 +287,28 @@ class CrossParser:
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered)], [float(s) if ok else 0.0 for s, ok in zip(score, lettered)]
 
 
-def _plain(text: str) -> str:
-    return text.lower()
-
-
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Each language's sample: documents in order of a hash of their text until it has max_chars characters.
+def labelled_samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = SAMPLE_DOCS, longest: int = LONGEST) -> dict[str, str]:
+    """Each language's sample: the whole texts of at most max_docs rows, in order of a hash of their text.
 
-    At most max_docs documents of each language, and max_chars characters of each, come to the driver.
+    Of copies, one is chosen. Rows of more than longest characters are chosen only where a language has too few
+    others, the shortest first. At most max_docs rows of each language come to the driver, and ALL_DOCS divided among
+    the languages are used (one at least of each).
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.substring(F.col(text_col), F.lit(1), F.lit(max_chars)).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    chosen = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= max_docs)
-    upto = F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1))
-    chosen = chosen.withColumn("upto", F.coalesce(upto, F.lit(0))).where(F.col("upto") < max_chars)
+    named = [F.col(lang_col).cast("string").alias("lang"), F.greatest(F.length(text_col), F.lit(longest)).alias("over"), F.xxhash64(text_col).alias("h")]
+    keys = known.select(*named).distinct()
+    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("over", "h"))).where(F.col("nth") <= max_docs)
+    chosen = known.select(*named, F.col(text_col).alias("text")).join(F.broadcast(keys), ["lang", "over", "h"])  # at most max_docs keys a language
+    chosen = chosen.groupBy("lang", "nth").agg(F.min("text").alias("text"))
     parts: dict[str, list] = {}
-    for r in chosen.select("lang", "nth", "text").collect():
+    for r in chosen.collect():
         parts.setdefault(r["lang"], []).append((r["nth"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v))[:max_chars] for k, v in parts.items()}
+    most = max(1, ALL_DOCS // max(1, len(parts)))
+    return {k: "\n".join(t for _, t in sorted(v)[:most]) for k, v in parts.items()}
 
 
 def _predicted(parser):
@@ -194,8 +327,9 @@ def identify_languages(docs: DataFrame, samples: dict[str, str], text_col: str =
 
     lang_pred is a key of samples (ties: the first in alphabetical order), or `und` with score 0 where the text is
     null or has no letter, or samples is empty. Only the text is looked at. Repeated rows get equal results; an
-    empty table gives an empty result. Kept columns named like the new ones are left out. The automata go to the
-    tasks as a broadcast; their size is bounded by SAMPLE_CHARS (at most two states a character) per language.
+    empty table gives an empty result. Kept columns named like the new ones are left out. Very long texts are parsed
+    whole, AT_ONCE symbols at a time. The automata go to the tasks as a broadcast of about 60 bytes for each
+    character of the samples, whatever the alphabet.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != text_col and c.lower() not in ("lang_pred", "score")]
     parser = docs.sparkSession.sparkContext.broadcast(CrossParser(samples))

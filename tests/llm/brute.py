@@ -117,6 +117,36 @@ def signatures(text, anchors, chain=2):
     return out or {tuple(ws)}
 
 
+def letters(text):
+    """Lower-cased, with a blank for each run of other characters, and one in front."""
+    return re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()))
+
+
+def substrings(text, longest):
+    text = letters(text)
+    return {text[i : i + k] for k in range(1, longest + 1) for i in range(len(text) - k + 1)}
+
+
+def cross_parse(text, samples, sets=None):
+    """({language: phrases}, {language: bits of a phrase}) of a text.
+
+    sets: the samples' substrings up to some length; longer ones are looked up in the sample.
+    """
+    text, counts, bits = letters(text), {}, {}
+    for lang, sample in samples.items():
+        plain = letters(sample)
+        inside = (sets or {}).get(lang) or ()
+        longest = max(map(len, inside), default=0)
+        at = phrases = 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and (text[at : end + 1] in inside or (end + 1 - at > longest and text[at : end + 1] in plain)):
+                end += 1
+            at, phrases = end, phrases + 1
+        counts[lang], bits[lang] = phrases, math.log2(max(2, len(plain)))
+    return counts, bits
+
+
 class ContextTree:
     """Context-tree weighting by recursion: counts of (context, next byte), all as plain dictionaries."""
 

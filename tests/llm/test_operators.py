@@ -321,23 +321,17 @@ def test_piece_counts_odd(odd):
 # --- 6 ---
 
 
-def test_cross_parsing():
+def test_cross_parsing(monkeypatch):
     samples = {"x": "abracadabra arbor", "y": "zebra fizz buzz"}
     parser = language_id.CrossParser(samples)
-    texts = ["abra cab", "buzz zebra", "q?? ab", ""]
-    _, got = parser.phrases(texts)
-    for t, counts in zip(texts, got):
-        symbols = parser.symbols(t).tolist()
-        for lang, n in zip(parser.langs, counts):
-            sample = parser.symbols(samples[lang]).tolist()
-            inside = {tuple(sample[i:j]) for i in range(len(sample)) for j in range(i + 1, len(sample) + 1)}
-            at = phrases = 0
-            while at < len(symbols):
-                end = at + 1
-                while end < len(symbols) and tuple(symbols[at : end + 1]) in inside:
-                    end += 1
-                at, phrases = end, phrases + 1
-            assert n == phrases, (t, lang)
+    rng = np.random.default_rng(0)
+    texts = ["abra cab", "buzz zebra", "q?? ab", "", "\U00010330\U00010331 abra"]
+    texts += ["".join(rng.choice(list("abrcdoz é\U00010330"), int(rng.integers(0, 300)))) for _ in range(60)]
+    want = [brute.cross_parse(t, samples) for t in texts]
+    for block, at_once, few in ((2048, 1 << 21, 8), (5, 40, 0), (1, 10, 100)):  # where texts are cut doesn't change their phrases
+        for name, value in (("BLOCK", block), ("AT_ONCE", at_once), ("FEW", few)):
+            monkeypatch.setattr(language_id, name, value)
+        assert parser.phrases(texts)[1].tolist() == [[w[0][k] for k in parser.langs] for w in want]
 
 
 def test_language_held_out(spark, sf_dir, rows):
@@ -346,18 +340,41 @@ def test_language_held_out(spark, sf_dir, rows):
     assert all((zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
     assert np.mean([r["lang_pred"] == want[r["doc_id"]] for r in got]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got)
-
-
-def test_language_odd(odd):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    known = read_table(spark, big, "documents").select("doc_id", "lang")
+    got = queries.op6_language_id(spark, big).where("held_out").join(known, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+    assert got > 0.95
+
+
+def test_language_query_against_brute_force(spark, sf_dir, rows):
+    learned = read_table(spark, sf_dir, "documents").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    samples = language_id.labelled_samples(learned)
+    for lang, sample in samples.items():
+        known = {r["text"] for r in rows if r["lang"] == lang and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+        assert len(known) <= language_id.SAMPLE_DOCS and len(sample) == sum(map(len, known)) + len(known) - 1
+    short = [r for r in rows if len(r["text"]) < 1000]
+    got = {r["doc_id"]: r["lang_pred"] for r in queries.op6_language_id(spark, sf_dir).collect()}
+    sets = {k: brute.substrings(v.lower(), 12) for k, v in samples.items()}
+    for r in short:
+        if any(map(str.isalpha, r["text"])):
+            counts, bits = brute.cross_parse(r["text"], samples, sets)
+            assert counts[got[r["doc_id"]]] * bits[got[r["doc_id"]]] == min(counts[k] * bits[k] for k in counts), r["doc_id"]
+
+
+def test_language_odd(spark, odd):
     model = language_id.labelled_samples(odd)
     assert set(model) == {"en", "de", "fr", "es"}
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify_languages(odd, model, keep=["doc_id"]).collect()}
     assert {(1, "und"), (2, "und"), (3, "und")} <= got and (8, "en") in got
     assert {r["lang_pred"] for r in language_id.identify_languages(odd, {}).collect()} == {"und"}
     assert language_id.labelled_samples(odd.limit(0)) == {} and language_id.identify_languages(odd.limit(0), model).count() == 0
-    long_text = "abc " * 3000
+    long_text = "abc " * 600_000  # more symbols than are parsed at once
     parser = language_id.CrossParser({"x": "abc abc abc"})
-    assert parser.phrases([long_text, long_text + "q"])[1].shape == (2, 1)
+    sizes, counts = parser.phrases([long_text, long_text + "q"])
+    assert sizes.tolist() == [2_400_001, 2_400_002] and counts[1, 0] == counts[0, 0] + 1
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 7}") for i in range(700)], "doc_id long, text string, lang string")
+    assert {len(v.split("\n")) for v in language_id.labelled_samples(many, max_docs=30).values()} == {30}
+    assert language_id.labelled_samples(many.withColumn("text", F.repeat("text", 2000)), max_docs=2).keys() == {f"l{i}" for i in range(7)}
 
 
 # --- 7 ---
