@@ -2,13 +2,19 @@
 
 Every text is measured once. The measures, as whole numbers, go to mergeable quantile sketches: histograms of
 fixed log-linear bins (exact below 64, at most 1/32 wide above), so a sketch is a bounded set of (bin, count) and
-merging is adding counts, in any order with the same result. A group's sketch gives its quartiles; a document
-fails a rule if its measure lies beyond its group's fence. Groups with too few documents use the sketch of their language, and then that of all documents,
-merged from the groups' sketches. The thresholds are then joined to the documents.
+merging is adding counts, in any order with the same result. A group's sketch is merged with that of its language at
+the weight of ``PRIOR`` documents, and this with that of all documents, so a small group's is smoothed and a large
+one's is its own, without a size at which this changes.
+
+Both fences of a rule come from the group's sketches: they stand ``SPREADS`` interquartile ranges beyond the
+quartiles. A measure that most documents share has no range; the least spread is what one event (one symbol, one
+repeated line, ...) changes in the group's median document, or the width of the sketch's bins there. The fences are
+then joined to the documents.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,20 +30,32 @@ SYMBOLS = b"#*$%&|<>"
 
 #: The hard rules: least words, and most repeated words of a hundred.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Documents below which a group's own sketch isn't trusted.
-MIN_GROUP = 40
-#: Interquartile ranges beyond the upper quartile where a fence stands, and the least distance of each measure's.
-SPREADS = 4
-MARGINS = {"symbols": 100, "dup_lines": 500, "repeats": 450, "capitals": 300, "shouts": 100}
+#: Documents that a language's sketch counts for in its groups', and that of all documents in a language's.
+PRIOR = 40
+#: Spreads beyond the quartiles where the fences stand.
+SPREADS = 10
+#: Each rule: what is counted, of what, in parts of how many, and how much of it one event adds (a window found twice is six words).
+RULES = {
+    "symbols": ("n_symbols", "n_words", 1000, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, 6),
+    "capitals": ("n_capitals", "n_letters", 1000, 1),
+    "shouts": ("n_shouts", "n_words", 1000, 1),
+    "marks": ("(word_chars - n_letters)", "word_chars", 1000, 1),
+    "word_length": ("word_chars", "n_words", 100, 1),
+}
+SIZES = ("n_words", "n_lines", "n_letters", "word_chars")
+#: A document is so many units of a merged sketch's counts.
+_UNIT = 1000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_shouts")
 _SCHEMA = ", ".join(f"{m} long" for m in MEASURES)
 
 
-def _upper_table() -> np.ndarray:
-    """For each code point below 65,536: 1 for a letter, 3 for a capital."""
-    chars = [chr(c) for c in range(0x10000)]
-    return np.array([c.isalpha() + 2 * c.isupper() for c in chars], np.uint8)
+def _letter_table() -> np.ndarray:
+    """For each code point: 1 for a letter, 3 for a capital."""
+    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    return np.array([(k[0] == "L") + 2 * (k == "Lu") for k in kinds], np.uint8)
 
 
 def measure(text: str | None, kinds: np.ndarray) -> tuple[int, ...]:
@@ -56,7 +74,7 @@ def measure(text: str | None, kinds: np.ndarray) -> tuple[int, ...]:
             if times[t] > 1:
                 repeated += i + 3 - max(covered, i)
                 covered = i + 3
-    kind = kinds[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+    kind = kinds[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     spaces = len(raw) - len(raw.translate(None, b" \t\n\v\f\r"))
     return (
         len(words),
@@ -72,26 +90,16 @@ def measure(text: str | None, kinds: np.ndarray) -> tuple[int, ...]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = _upper_table()
+    kinds = _letter_table()
     for batch in batches:
         for part, texts in text_slices(batch, batch.num_columns - 1):
             rows = np.array([measure(t, kinds) for t in texts], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c) for c in rows.T)], names=[*part.schema.names[:-1], *MEASURES])
 
 
-def _share(part: str, of: str) -> Column:
-    """Thousandths."""
-    return F.expr(f"if({of} > 0, {part} * 1000 div {of}, 0L)")
-
-
 def rule_measures() -> dict[str, Column]:
-    return {
-        "symbols": _share("n_symbols", "n_words"),
-        "dup_lines": _share("n_dup_lines", "n_lines"),
-        "repeats": _share("n_repeat_words", "n_words"),
-        "capitals": _share("n_capitals", "n_letters"),
-        "shouts": _share("n_shouts", "n_words"),
-    }
+    """Each rule's whole number; null where a document has nothing to count in."""
+    return {k: F.expr(f"if({of} > 0, {part} * {scale} div {of}, null)") for k, (part, of, scale, _) in RULES.items()}
 
 
 def bin_of(value: Column) -> Column:
@@ -108,48 +116,56 @@ def bin_top(b: Column) -> Column:
 
 
 def sketch(measured: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rule, bin, n): one mergeable sketch per group and rule."""
-    values = F.array(*(F.struct(F.lit(k).alias("rule"), bin_of(v).alias("bin")) for k, v in rule_measures().items()))
-    return measured.select(*by, F.inline(values)).groupBy(*by, "rule", "bin").agg(F.count("*").alias("n"))
+    """(by..., rule, bin, n): one mergeable sketch per group and rule, and per group and size."""
+    every = {**rule_measures(), **{k: F.when(F.col(k) > 0, F.col(k)) for k in SIZES}}
+    values = F.array(*(F.struct(F.lit(k).alias("rule"), bin_of(v).alias("bin")) for k, v in every.items()))
+    return measured.select(*by, F.inline(values)).where("bin is not null").groupBy(*by, "rule", "bin").agg(F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "rule", "bin").agg(F.sum("n").alias("n"))
 
 
+def smooth(sketches: DataFrame, wider: DataFrame, by: list[str], wider_by: list[str]) -> DataFrame:
+    """sketches, in units, with their wider group's sketch merged in at the weight of PRIOR documents."""
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(*wider_by, "rule"))
+    prior = wider.select(*wider_by, "rule", "bin", F.floor(share * (PRIOR * _UNIT)).cast("long").alias("n"))
+    groups = sketches.select(*by).distinct() if by else None
+    prior = groups.join(prior, wider_by) if wider_by else groups.crossJoin(F.broadcast(prior))  # to all documents' one sketch
+    own = sketches.select(*by, "rule", "bin", (F.col("n") * _UNIT).alias("n"))
+    return merge(own.unionByName(prior.select(*by, "rule", "bin", "n")), by)
+
+
 def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rule, total, q25, q75) of each sketch; a quantile is the greatest value of the bin that it falls into."""
+    """(by..., rule, q25, q50, q75) of each sketch; a quantile is the greatest value of the bin that it falls into."""
     group = Window.partitionBy(*by, "rule")
     run = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-    at = {q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, bin_top(F.col("bin")))).alias(q) for q, k in (("q25", 1), ("q75", 3))}
-    return run.groupBy(*by, "rule").agg(F.first("total").alias("total"), *at.values())
+    at = {q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, bin_top(F.col("bin")))).alias(q) for q, k in (("q25", 1), ("q50", 2), ("q75", 3))}
+    return run.groupBy(*by, "rule").agg(*at.values())
 
 
-def thresholds(measured: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, fences map<rule, long>): the greatest value of each rule that a document of the group may have."""
+def thresholds(measured: DataFrame, lang: str, source: str) -> DataFrame:
+    """(lang, source, fences map<rule, struct<low, high>>): the least and greatest value that a document of the group may have."""
     own = scratch_table(sketch(measured, [lang, source]), "sketches")
-    of_group = quantiles(own, [lang, source])
-    of_lang = quantiles(merge(own, [lang]), [lang])
-    of_all = quantiles(merge(own, []), [])
-    q = [F.col(c) for c in ("total", "q25", "q75")]
-    pick = F.struct(*q)
-    joined = of_group.select(lang, source, "rule", pick.alias("g"))
-    joined = joined.join(of_lang.select(lang, "rule", pick.alias("l")), [lang, "rule"], "left")
-    joined = joined.join(F.broadcast(of_all.select("rule", pick.alias("a"))), "rule", "left")  # a row for each rule
-    best = F.when(F.col("g.total") >= min_group, F.col("g")).when(F.col("l.total") >= min_group, F.col("l")).otherwise(F.col("a"))
-    margin = F.create_map(*(F.lit(x) for kv in MARGINS.items() for x in kv))[F.col("rule")]
-    fence = best["q75"] + F.greatest(SPREADS * (best["q75"] - best["q25"]), margin)
-    return joined.select(lang, source, "rule", fence.cast("long").alias("fence")).groupBy(lang, source).agg(F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"))
+    of_lang = smooth(merge(own, [lang]), merge(own, []), [lang], [])
+    of_group = scratch_table(quantiles(smooth(own, of_lang, [lang, source], [lang]), [lang, source]), "quantiles")
+    size = of_group.where(F.col("rule").isin(*SIZES)).select(lang, source, F.col("rule").alias("of"), F.col("q50").alias("median"))
+    about = F.create_map(*(F.lit(x) for k, (_, of, _, _) in RULES.items() for x in (k, of)))
+    event = F.create_map(*(F.lit(x) for k, (_, _, scale, events) in RULES.items() for x in (k, scale * events)))
+    rules = of_group.where(F.col("rule").isin(*RULES)).withColumn("of", about[F.col("rule")]).withColumn("event", event[F.col("rule")])
+    spread = SPREADS * F.greatest(F.col("q75") - F.col("q25"), F.expr("(event + median - 1) div median"), F.expr("q75 div 32"))
+    fences = rules.join(size, [lang, source, "of"]).select(lang, source, "rule", F.struct((F.col("q25") - spread).alias("low"), (F.col("q75") + spread).alias("high")).alias("fence"))
+    return fences.groupBy(lang, source).agg(F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"))  # one entry a rule
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with MEASURES, base_failed, failed_rules and kept.
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEATED of a hundred words repeated. failed_rules: the
-    rules whose fence the document exceeds. kept: neither. Null texts count as empty and fail. Null languages and
+    rules whose fences the document is beyond. kept: neither. Null texts count as empty and fail. Null languages and
     sources are groups of their own ("" joins them). Repeated rows count each time and get equal verdicts. An empty
-    table gives an empty result. Columns of docs with the names of new ones are replaced. A language's sketch has at most some hundred
-    bins per rule, whatever the number of its documents.
+    table gives an empty result. Columns of docs with the names of new ones are replaced. A sketch has at most some hundred
+    bins per rule, whatever the number of its documents. Very long texts are measured whole.
     """
     new = {*MEASURES, "base_failed", "failed_rules", "kept"}
     keep = [c for c in (keep or docs.columns) if c.lower() not in new]
@@ -158,8 +174,9 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     measured = scratch_table(rows.mapInArrow(_measured, f"{carried}, {_SCHEMA}"), "measured")
     fences = scratch_table(thresholds(measured, lang, source), "fences")  # its size is known: broadcast if small, else hot groups can be split
-    judged = measured.join(fences, [lang, source])
-    failed = F.filter(F.array(*(F.when(v > F.col("fences")[k], F.lit(k)) for k, v in rule_measures().items())), lambda x: x.isNotNull())
+    judged = measured.join(fences, [lang, source], "left")  # no fences where all of a group's documents are empty
+    beyond = (F.when((v > F.col("fences")[k]["high"]) | (v < F.col("fences")[k]["low"]), F.lit(k)) for k, v in rule_measures().items())
+    failed = F.filter(F.array(*beyond), lambda x: x.isNotNull())
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     judged = judged.withColumn("base_failed", base).withColumn("failed_rules", failed)
     return judged.select(*keep, *MEASURES, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

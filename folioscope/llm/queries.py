@@ -151,30 +151,37 @@ m AS (
          (length(text) - length(replace(text, '!', '')))::BIGINT AS n_shouts
   FROM d JOIN split USING (rid) LEFT JOIN covered c USING (rid)),
 v AS (
-  SELECT rid, lang, source, unnest([
-    {{'rule': 'symbols', 'v': CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END}},
-    {{'rule': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END}},
-    {{'rule': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END}},
-    {{'rule': 'capitals', 'v': CASE WHEN n_letters > 0 THEN n_capitals * 1000 // n_letters ELSE 0 END}},
-    {{'rule': 'shouts', 'v': CASE WHEN n_words > 0 THEN n_shouts * 1000 // n_words ELSE 0 END}}], recursive := true)
+  SELECT rid, lang, source, unnest([{", ".join(f"{{'rule': '{k}', 'v': CASE WHEN {of} > 0 THEN {part} * {scale} // {of} END}}" for k, (part, of, scale, _) in quality_rules.RULES.items())},
+    {", ".join(f"{{'rule': '{k}', 'v': nullif({k}, 0)}}" for k in quality_rules.SIZES)}], recursive := true)
   FROM m),
 tops AS (
   SELECT *, CASE WHEN v < 64 THEN v ELSE ((v // (1 << e) + 1) * (1 << e) - 1) END AS top
-  FROM (SELECT *, CASE WHEN v < 64 THEN 0 ELSE length(ltrim(bin(v), '0')) - 6 END AS e FROM v)),
+  FROM (SELECT *, CASE WHEN v < 64 THEN 0 ELSE length(ltrim(bin(v), '0')) - 6 END AS e FROM v WHERE v IS NOT NULL)),
+own AS (SELECT lang, source, rule, top, count(*) AS n FROM tops GROUP BY ALL),
+every AS (SELECT rule, top, sum(n) AS n FROM own GROUP BY ALL),
+prior_lang AS (SELECT rule, top, floor(n::DOUBLE / (sum(n) OVER (PARTITION BY rule))::DOUBLE * {quality_rules.PRIOR * 1000})::BIGINT AS n FROM every),
+of_lang AS (
+  SELECT lang, rule, top, sum(n) AS n FROM (
+    SELECT lang, rule, top, n * 1000 AS n FROM own
+    UNION ALL SELECT lang, rule, top, n FROM (SELECT DISTINCT lang FROM own) CROSS JOIN prior_lang) GROUP BY ALL),
+prior AS (SELECT lang, rule, top, floor(n::DOUBLE / (sum(n) OVER (PARTITION BY lang, rule))::DOUBLE * {quality_rules.PRIOR * 1000})::BIGINT AS n FROM of_lang),
 of_group AS (
-  SELECT lang, source, rule, count(*) AS total, quantile_disc(top, 0.25) AS q25, quantile_disc(top, 0.75) AS q75 FROM tops GROUP BY ALL),
-of_lang AS (SELECT lang, rule, count(*) AS total, quantile_disc(top, 0.25) AS q25, quantile_disc(top, 0.75) AS q75 FROM tops GROUP BY ALL),
-of_all AS (SELECT rule, count(*) AS total, quantile_disc(top, 0.25) AS q25, quantile_disc(top, 0.75) AS q75 FROM tops GROUP BY ALL),
-margins AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in quality_rules.MARGINS.items())}) AS t(rule, margin)),
+  SELECT lang, source, rule, top, sum(n) AS n FROM (
+    SELECT lang, source, rule, top, n * 1000 AS n FROM own
+    UNION ALL SELECT lang, source, rule, top, n FROM (SELECT DISTINCT lang, source FROM own) JOIN prior USING (lang)) GROUP BY ALL),
+run AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY top) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM of_group),
+quartiles AS (
+  SELECT lang, source, rule, min(top) FILTER (upto * 4 >= total) AS q25, min(top) FILTER (upto * 2 >= total) AS q50, min(top) FILTER (upto * 4 >= total * 3) AS q75
+  FROM run GROUP BY ALL),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{of}', {scale * events})" for k, (_, of, scale, events) in quality_rules.RULES.items())}) AS t(rule, of_size, event)),
 fences AS (
-  SELECT lang, source, rule,
-    CASE WHEN g.total >= {quality_rules.MIN_GROUP} THEN g.q75 + greatest({quality_rules.SPREADS} * (g.q75 - g.q25), margin)
-         WHEN l.total >= {quality_rules.MIN_GROUP} THEN l.q75 + greatest({quality_rules.SPREADS} * (l.q75 - l.q25), margin)
-         ELSE a.q75 + greatest({quality_rules.SPREADS} * (a.q75 - a.q25), margin) END AS fence
-  FROM of_group g JOIN of_lang l USING (lang, rule) JOIN of_all a USING (rule) JOIN margins USING (rule)),
+  SELECT q.lang, q.source, q.rule, q25 - spread AS low, q75 + spread AS high FROM (
+    SELECT q.*, {quality_rules.SPREADS} * greatest(q.q75 - q.q25, (event + s.q50 - 1) // s.q50, q.q75 // 32) AS spread
+    FROM quartiles q JOIN rules USING (rule) JOIN quartiles s ON s.lang = q.lang AND s.source = q.source AND s.rule = of_size) q),
 failed AS (
-  SELECT rid, string_agg(rule, ',' ORDER BY list_position(['symbols', 'dup_lines', 'repeats', 'capitals', 'shouts'], rule)) AS rules
-  FROM v JOIN fences USING (lang, source, rule) WHERE v > fence GROUP BY rid)
+  SELECT rid, string_agg(rule, ',' ORDER BY list_position([{", ".join(f"'{k}'" for k in quality_rules.RULES)}], rule)) AS rules
+  FROM v JOIN fences USING (lang, source, rule) WHERE v > high OR v < low GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words AS base_failed,
        NOT (n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words) AND rules IS NULL AS kept,

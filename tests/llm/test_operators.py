@@ -512,10 +512,11 @@ def test_scores_do_not_depend_on_what_is_frequent(odd):
 
 
 def test_quality_measures(rows):
-    kinds = quality_rules._upper_table()
-    texts = [r["text"] for r in rows] + ["", None, "a b a b a b", "x\nx\n \nx", "# $ %& é|\x0b", "a a a a"]
+    kinds = quality_rules._letter_table()
+    texts = [r["text"] for r in rows] + ["", None, "a b a b a b", "x\nx\n \nx", "# $ %& é|\x0b", "a a a a", "\U00010400\U00010428 \u24b6 \u01c5"]
     for t in texts:
         assert quality_rules.measure(t, kinds)[:5] == brute.quality(t)
+    assert quality_rules.measure(texts[-1], kinds)[6:8] == (3, 1)  # letters beyond U+FFFF, and what is no letter
 
 
 def test_quantile_sketch(spark):
@@ -526,7 +527,28 @@ def test_quantile_sketch(spark):
     assert [r["b"] for r in got] == sorted(r["b"] for r in got)
     sk = spark.createDataFrame([("g", "r", b, n) for b, n in ((1, 10), (2, 5), (9, 5))], "k string, rule string, bin long, n long")
     q = quality_rules.quantiles(sk, ["k"]).first()
-    assert (q["total"], q["q25"], q["q75"]) == (20, 1, 2)
+    assert (q["q25"], q["q50"], q["q75"]) == (1, 1, 2)
+
+
+def test_fences_follow_the_groups(spark):
+    """Languages with other word lengths and sources with other symbols get other fences; no fence is a constant away from a quartile."""
+    rng, rows = np.random.default_rng(0), []
+    for lang, source, length, symbols in (("en", "a", 4, 0), ("de", "a", 8, 0), ("en", "b", 4, 30)):
+        for k in range(300):
+            words = ["x" * int(n) for n in rng.integers(length - 1, length + 2, 120)]
+            for i in rng.integers(0, 120, int(rng.integers(symbols, symbols + symbols // 3 + 1))):
+                words[i] += "#"
+            rows.append((len(rows), " ".join(words), lang, source))
+    extra = [(1000, " ".join(["x" * (4 + i % 3) + "#" * (i % 4 == 0) + str(i) for i in range(120)]), "en", s) for s in ("a", "b")]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string")
+    measured = quality_rules.quality_verdicts(df)
+    kinds = quality_rules._letter_table()
+    m = spark.createDataFrame([(r[2], r[3], *quality_rules.measure(r[1], kinds)) for r in rows], "lang string, source string, " + quality_rules._SCHEMA)
+    fences = {(r["lang"], r["source"]): r["fences"] for r in quality_rules.thresholds(m, "lang", "source").collect()}
+    assert fences["de", "a"]["word_length"]["low"] > fences["en", "a"]["word_length"]["low"] and fences["de", "a"]["word_length"]["high"] > fences["en", "a"]["word_length"]["high"] + 200
+    assert fences["en", "b"]["symbols"]["high"] > 2 * fences["en", "a"]["symbols"]["high"]
+    verdict = {r["source"]: "symbols" in r["failed_rules"] for r in measured.where("doc_id = 1000").collect()}
+    assert verdict == {"a": True, "b": False}
 
 
 def test_quality_keeps_clean_documents(spark, sf_dir):
