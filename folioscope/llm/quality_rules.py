@@ -130,8 +130,7 @@ def smooth(sketches: DataFrame, wider: DataFrame, by: list[str], wider_by: list[
     """sketches, in units, with their wider group's sketch merged in at the weight of PRIOR documents."""
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*wider_by, "rule"))
     prior = wider.select(*wider_by, "rule", "bin", F.floor(share * (PRIOR * _UNIT)).cast("long").alias("n"))
-    groups = sketches.select(*by).distinct() if by else None
-    prior = groups.join(prior, wider_by) if wider_by else groups.crossJoin(F.broadcast(prior))  # to all documents' one sketch
+    prior = sketches.select(*by, "rule").distinct().join(prior, [*wider_by, "rule"])
     own = sketches.select(*by, "rule", "bin", (F.col("n") * _UNIT).alias("n"))
     return merge(own.unionByName(prior.select(*by, "rule", "bin", "n")), by)
 

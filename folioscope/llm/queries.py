@@ -62,7 +62,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 7) == 2
-    scored = context_tree.score_texts(docs, docs.where(~held_out)).withColumnRenamed("id", "doc_id")
+    scored = context_tree.score_texts(docs, ~held_out).withColumnRenamed("id", "doc_id")
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
@@ -163,12 +163,12 @@ prior_lang AS (SELECT rule, top, floor(n::DOUBLE / (sum(n) OVER (PARTITION BY ru
 of_lang AS (
   SELECT lang, rule, top, sum(n) AS n FROM (
     SELECT lang, rule, top, n * 1000 AS n FROM own
-    UNION ALL SELECT lang, rule, top, n FROM (SELECT DISTINCT lang FROM own) CROSS JOIN prior_lang) GROUP BY ALL),
+    UNION ALL SELECT lang, rule, top, n FROM (SELECT DISTINCT lang, rule FROM own) JOIN prior_lang USING (rule)) GROUP BY ALL),
 prior AS (SELECT lang, rule, top, floor(n::DOUBLE / (sum(n) OVER (PARTITION BY lang, rule))::DOUBLE * {quality_rules.PRIOR * 1000})::BIGINT AS n FROM of_lang),
 of_group AS (
   SELECT lang, source, rule, top, sum(n) AS n FROM (
     SELECT lang, source, rule, top, n * 1000 AS n FROM own
-    UNION ALL SELECT lang, source, rule, top, n FROM (SELECT DISTINCT lang, source FROM own) JOIN prior USING (lang)) GROUP BY ALL),
+    UNION ALL SELECT lang, source, rule, top, n FROM (SELECT DISTINCT lang, source, rule FROM own) JOIN prior USING (lang, rule)) GROUP BY ALL),
 run AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY top) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM of_group),
 quartiles AS (

@@ -148,82 +148,49 @@ def cross_parse(text, samples, sets=None):
 
 
 class ContextTree:
-    """Context-tree weighting by recursion: counts of (context, next byte), all as plain dictionaries."""
-
-    def __init__(self, counts, depth, share):
-        """counts: {word: n}; a context is a node if n * share >= all bytes."""
-        self.depth = depth
-        self.stats = defaultdict(Counter)
-        total = 0
-        for word, n in counts.items():
-            for context, byte in self.coded(word):
-                total += n
-                for d in range(len(context) + 1):
-                    self.stats[context[len(context) - d :]][byte] += n
-        self.nodes = {c for c, s in self.stats.items() if sum(s.values()) * share >= total} | {b""}
-        self.children = defaultdict(list)
-        for c in self.nodes:
-            if c:
-                self.children[c[1:]].append(c)
-        self.weights = {}
-
-    def coded(self, word):
-        whole = b" " + (word if word == b"\n" else word + b" ")
-        for i in range(1, len(whole)):
-            yield whole[max(0, i - self.depth) : i], whole[i]
-
-    @staticmethod
-    def split(stats, prefix):
-        """Zeros and ones after the bits of prefix."""
-        n = [0, 0]
-        for byte, k in stats.items():
-            bits = format(byte, "08b")
-            if bits.startswith(prefix):
-                n[int(bits[len(prefix)])] += k
-        return n
-
-    @staticmethod
-    def kt(n):
-        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
-
-    def rest(self, context):
-        out = Counter(self.stats[context])
-        for c in self.children[context]:
-            out.subtract(self.stats[c])
-        return out
-
-    def weighted(self, context, prefix):
-        """(log of the weighted probability, share of the node's own estimate)."""
-        key = (context, prefix)
-        if key not in self.weights:
-            own = self.kt(self.split(self.stats[context], prefix))
-            if not self.children[context]:
-                self.weights[key] = (own, 1.0)
+    """Context-tree weighting with plain dictionaries: a decision is (context bytes, bits decided, with a 1 in front)."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.nodes, self.weights = depth, {}, {}
+        for text in texts:
+            for context, byte in self.coded(text):
+                for bits in range(8):
+                    prefix, bit = 1 << bits | byte >> (8 - bits), byte >> (7 - bits) & 1
+                    for d in range(depth + 1):
+                        self.nodes.setdefault((context[depth - d :], prefix), [0, 0])[bit] += 1
+        self.below = defaultdict(float)
+        for context, prefix in sorted(self.nodes, key=lambda x: -len(x[0])):
+            zeros, ones = self.nodes[context, prefix]
+            own = math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+            if len(context) == depth:
+                weighted, stay = own, 1.0
             else:
-                below = self.kt(self.split(self.rest(context), prefix)) + sum(self.weighted(c, prefix)[0] for c in self.children[context])
+                below = self.below[context, prefix]
                 top = max(own, below)
-                self.weights[key] = (top + math.log((math.exp(own - top) + math.exp(below - top)) / 2), 1 / (1 + math.exp(min(700, below - own))))
-        return self.weights[key]
-
-    def chance(self, context, prefix, bit, depth=0):
-        node = context[len(context) - depth :] if depth else b""
-        n = self.split(self.stats[node], prefix)
-        own = (n[bit] + 0.5) / (sum(n) + 1)
-        if not self.children[node]:
-            return own
-        share = self.weighted(node, prefix)[1]
-        longer = context[len(context) - depth - 1 :] if depth < len(context) else None
-        if longer is not None and longer in self.nodes:
-            other = self.chance(context, prefix, bit, depth + 1)
-        else:
-            m = self.split(self.rest(node), prefix)
-            other = (m[bit] + 0.5) / (sum(m) + 1)
-        return share * own + (1 - share) * other
-
-    def score(self, word):
+                weighted = top + math.log((math.exp(own - top) + math.exp(below - top)) / 2)
+                stay = 1 / (1 + math.exp(max(-700, min(700, below - own))))
+            self.weights[context, prefix] = stay
+            if context:
+                self.below[context[1:], prefix] += weighted
+
+    def coded(self, text):
+        raw = b"\n" * self.depth + " ".join(words(lower_ascii(text))).encode("utf-8", "surrogatepass") + b"\n"
+        for i in range(self.depth, len(raw)):
+            yield raw[i - self.depth : i], raw[i]
+
+    def one(self, context, prefix, depth=0):
+        """Chance of a one, mixed over the depths from that on."""
+        node = context[self.depth - depth :]
+        if (node, prefix) not in self.nodes:
+            return 0.5
+        zeros, ones = self.nodes[node, prefix]
+        stay, own = self.weights[node, prefix], (ones + 0.5) / (zeros + ones + 1)
+        return own if depth == self.depth else stay * own + (1 - stay) * self.one(context, prefix, depth + 1)
+
+    def score(self, text):
         total = 0.0
-        for context, byte in self.coded(word):
-            bits = format(byte, "08b")
-            for k in range(8):
-                total += math.log10(self.chance(context, bits[:k], int(bits[k])))
+        for context, byte in self.coded(text):
+            for bits in range(8):
+                chance = self.one(context, 1 << bits | byte >> (8 - bits))
+                total += math.log10(chance if byte >> (7 - bits) & 1 else 1 - chance)
         return total

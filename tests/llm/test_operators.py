@@ -457,30 +457,48 @@ def test_packing_odd(odd):
 # --- 9 ---
 
 
-def test_context_tree_against_recursion():
-    counts = {b"the": 40, b"then": 11, b"tin": 5, b"in": 9, b"\xc3\xa9t": 3, b"\n": 12, b"x": 1}
-    for share in (10, 10**6):
-        plain = brute.ContextTree(counts, context_tree.DEPTH, share)
-        words, n = list(counts), np.array(list(counts.values()))
-        word, contexts, symbols = context_tree.context_codes(words)
-        depth = (contexts >> np.uint64(56)).astype(int)
-        keys = np.concatenate([context_tree.shorter(contexts[depth >= d], d) for d in range(context_tree.DEPTH + 1)])
-        syms = np.concatenate([symbols[depth >= d] for d in range(context_tree.DEPTH + 1)]).astype(int)
-        mass = np.concatenate([n[word][depth >= d] for d in range(context_tree.DEPTH + 1)])
-        total = n[word].sum()
-        unique, at = np.unique(keys, return_inverse=True)
-        keep = (np.bincount(at, weights=mass) * share >= total)[at]
-        tree = context_tree.ContextTree(keys[keep], syms[keep], mass[keep].astype(float))
-        ask = [*words, b"thin", b"zzz", b"thethethe"]
-        assert np.allclose(tree.score(ask), [plain.score(w) for w in ask], rtol=1e-4)
-        assert np.allclose((10.0**tree.costs).sum(axis=1), 1, atol=1e-4)
-
-
-def test_trained_tree_sums_to_one_per_token(spark):
-    df = spark.createDataFrame([("a b ab",), ("b",)], "text string")
-    tree = context_tree.train_tree(context_tree.word_counts(df), 10**6)
-    assert np.allclose((10.0**tree.costs).sum(axis=1), 1, atol=1e-4)
-    assert tree.score([b"b"])[0] > tree.score([b"q"])[0]
+def test_context_tree_against_brute_force(spark, monkeypatch):
+    learned = ["The cat, the hat. The CAT", "tin then in", "\u00e9t\u00e9 the", "", None, "the cat the hat the cat"]
+    asked = [*learned, "the then", "zzz \U0001f600", "x" * 40, "the cat"]
+    df = spark.createDataFrame([(i, t, i < len(learned)) for i, t in enumerate(asked)], "doc_id long, text string, learn boolean")
+    plain = brute.ContextTree(learned, context_tree.DEPTH)
+    for sent in (0, 5, 10**6):
+        got = {r["id"]: r["score"] for r in context_tree.score_texts(df, F.col("learn"), sent=sent).collect()}
+        assert all(got[i] == pytest.approx(plain.score(t), rel=1e-5) for i, t in enumerate(asked)), sent
+    windows = np.concatenate([w for _, w in context_tree._pieces([context_tree._coded(context_tree.tokens(t)) for t in asked])])
+    monkeypatch.setattr(context_tree, "AT_ONCE", 7)  # where texts are cut changes no window
+    assert np.concatenate([w for _, w in context_tree._pieces([context_tree._coded(context_tree.tokens(t)) for t in asked])]).tolist() == windows.tolist()
+
+
+def test_predictions_sum_to_one():
+    rng = np.random.default_rng(0)
+    raw = bytes(rng.choice(list(b"abc \n"), 3000).tolist())
+    found, n = np.unique(context_tree.windows(raw), return_counts=True)
+    trees = context_tree.grow(found, n.astype(float))
+    rows = []
+    for bits, t in enumerate(trees[2]):
+        short, at = np.unique(context_tree._shorter(t.keys, 2, bits), return_inverse=True)
+        rows.append((short >> bits, np.full(len(short), bits), short & ((1 << bits) - 1), *(np.bincount(at, weights=w) for w in (t.zeros, t.ones, t.weighted))))
+    crown = context_tree.Crown(*(np.concatenate(c) for c in zip(*rows)))
+    for context in (*found[:20] >> 8, 0, 97 << 32):
+        keys = (int(context) << 8) + np.arange(256)
+        assert (10 ** crown.costs(keys, context_tree.chances(trees, keys))).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_lookup():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 5000))
+    table = context_tree.Lookup(keys[::2], np.arange(len(keys[::2]), dtype=np.float32))
+    values, found = table.of(keys)
+    assert found.tolist() == [i % 2 == 0 for i in range(len(keys))] and values[::2].tolist() == list(range(len(keys[::2]))) and not values[1::2].any()
+    assert not context_tree.Lookup(keys[:0], np.empty(0, np.float32)).of(keys)[1].any()
+
+
+def test_scores_of_the_table(spark, sf_dir, rows):
+    got = {r["doc_id"]: r for r in queries.op9_context_tree(spark, sf_dir).collect()}
+    plain = brute.ContextTree([r["text"] for r in rows if not got[r["doc_id"]]["held_out"]], context_tree.DEPTH)
+    some = [r for r in rows if len(r["text"]) < 1500]
+    assert len(some) > 20 and all(got[r["doc_id"]]["score"] == pytest.approx(plain.score(r["text"]), rel=1e-5) for r in some)
+    assert np.mean([r["bits_per_byte"] for r in got.values() if r["held_out"]]) < 2.4
 
 
 def test_base_scores(spark, sf_dir, rows):
@@ -495,17 +513,17 @@ def test_base_scores(spark, sf_dir, rows):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(b), sum(counts[t] > 0 for t in b), n)
         assert abs(r["base_score"] - sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in b)) < 1e-6 * len(b)
         assert r["score"] < 0
-    assert 1 < np.mean([r["bits_per_byte"] for r in got.values() if r["held_out"]]) < 4
 
 
-def test_scores_do_not_depend_on_what_is_frequent(odd):
-    a = context_tree.score_texts(odd, odd, frequent_share=1)
-    b = context_tree.score_texts(odd, odd, frequent_share=10**9)
+def test_scores_do_not_depend_on_what_is_sent(odd):
+    a = context_tree.score_texts(odd, F.lit(True), frequent_share=1, sent=0)
+    b = context_tree.score_texts(odd, F.lit(True))
     key = lambda r: (str(r["id"]), r["n_tokens"], round(r["score"], 4), round(r["base_score"], 6), r["n_known"])
     assert sorted(map(key, a.collect())) == sorted(map(key, b.collect())) and a.count() == len(ODD)
-    assert context_tree.score_texts(odd.limit(0), odd).count() == 0
-    none = context_tree.score_texts(odd, odd.limit(0)).collect()
+    assert context_tree.score_texts(odd.limit(0), F.lit(True)).count() == 0
+    none = context_tree.score_texts(odd, F.lit(None).cast("boolean")).collect()
     assert len(none) == len(ODD) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in none)
+    assert all(r["score"] == pytest.approx(-8 * np.log10(2) * r["n_bytes"], rel=1e-5) for r in none)
 
 
 # --- 10 ---
