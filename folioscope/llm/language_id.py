@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import text_slices, unused_name
@@ -292,16 +292,17 @@ def _points(text: str) -> np.ndarray:
 
 
 def labelled_samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = SAMPLE_DOCS, longest: int = LONGEST) -> dict[str, str]:
-    """Each language's sample: the whole texts of at most max_docs rows, in order of a hash of their text.
+    """Each language's sample: the whole texts of at most max_docs rows, dealt out by a hash of their text.
 
-    Of copies, one is chosen. Rows of more than longest characters are chosen only where a language has too few
-    others, the shortest first. At most max_docs rows of each language come to the driver, and ALL_DOCS divided among
-    the languages are used (one at least of each).
+    Texts are dealt to max_docs buckets, and of each the one with the least hash is chosen (of copies, one). Texts of more
+    than longest characters are chosen only where a bucket has no other, the shortest first. At most max_docs rows of each
+    language come to the driver, and ALL_DOCS divided among the languages are used (one at least of each).
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    named = [F.col(lang_col).cast("string").alias("lang"), F.greatest(F.length(text_col), F.lit(longest)).alias("over"), F.xxhash64(text_col).alias("h")]
-    keys = known.select(*named).distinct()
-    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("over", "h"))).where(F.col("nth") <= max_docs)
+    hashed = F.xxhash64(text_col)
+    named = [F.col(lang_col).cast("string").alias("lang"), F.greatest(F.length(text_col), F.lit(longest)).alias("over"), hashed.alias("h")]
+    keys = known.select(*named).groupBy("lang", F.pmod("h", F.lit(max_docs)).alias("nth")).agg(F.min(F.struct("over", "h")).alias("k"))
+    keys = keys.select("lang", "nth", "k.over", "k.h")
     chosen = known.select(*named, F.col(text_col).alias("text")).join(F.broadcast(keys), ["lang", "over", "h"])  # at most max_docs keys a language
     chosen = chosen.groupBy("lang", "nth").agg(F.min("text").alias("text"))
     parts: dict[str, list] = {}
