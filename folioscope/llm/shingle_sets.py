@@ -1,11 +1,9 @@
-"""Near-duplicate groups by the exact Jaccard likeness of word-shingle sets.
+"""Sets of word shingles: minwise sketches that find likely pairs, and exact Jaccard likeness of given pairs.
 
-A set is the XXH64 hashes of a text's shingles in ascending order. Two sets of likeness t or more share a hash
-within their prefixes, the first n - ceil(t * n) + 1 hashes of each, so pairs that share one there are all pairs
-worth comparing; sizes, places of the shared hash and numbers of shared ones exclude further ones. Equal sets are one node.
-
-Pairs are compared in two rounds, so that a large group of near copies doesn't give all its pairs: first each set
-with the least node that shares a hash, then those pairs that the first round's links leave unconnected.
+A text's set holds the XXH64 hashes of its shingles. For each of ``BANDS`` bands, ``ROWS`` minima of the set under
+fixed permutations are hashed together: sets of likeness s share a band with chance s ** ROWS, so at 0.8 a pair shares
+none of 24 bands of 4 with chance 3e-6. The low bytes of 64 minima estimate likeness; pairs estimated more than
+``SLACK`` below the threshold aren't compared (a pair at the threshold falls there with chance 1e-6).
 """
 
 from __future__ import annotations
@@ -16,116 +14,134 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import drop_scratch, scratch_table, text_key, text_slices, unused_name
-from folioscope.llm.components import connected_components
+from folioscope.llm.common import scratch_table, text_key, text_slices
+from folioscope.llm.components import join_hot
 
 THRESHOLD = 0.8
-#: Up to so many nodes are sent to all tasks, which pick out their sets; more are joined by a shuffle.
+BANDS, ROWS, SKETCH, SLACK = 24, 4, 64, 0.26
+#: Up to so many texts' hashes are sent to all tasks, which pick out their texts; more are joined by a shuffle.
 SENT = 2_000_000
 
+_SEEDS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
 
-def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct signed hashes of a text's shingles; empty for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's word shingles, in order, repeats included; of the whole sequence if it is shorter. A-Z are lower-cased."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only ASCII space splits
     if not words:
-        return np.empty(0, np.int64)
-    whole = b" ".join(words)
-    ends = list(accumulate(map((1).__add__, map(len, words))))
-    digest = xxhash.xxh64_intdigest
+        return np.empty(0, np.uint64)
+    whole, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [digest(whole, seed)]
-    else:
-        hashes = [digest(whole[a : b - 1], seed) for a, b in zip([0, *ends], ends[width - 1 :])]
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+        return np.array([digest(whole, seed)], np.uint64)
+    ends = list(accumulate(map((1).__add__, map(len, words))))
+    return np.array([digest(whole[a : b - 1], seed) for a, b in zip([0, *ends], ends[width - 1 :])], np.uint64)
+
+
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """([sets, BANDS] hashes of bands, SKETCH low bytes of minima) of sets of hashes; empty sets have those of one number."""
+    sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+    minima = np.empty((len(sets), BANDS * ROWS), np.uint64)
+    at, group, size = 0, [], 0
+    for i, s in enumerate(sets):
+        group.append(s)
+        size += len(s)
+        if size > 1 << 16 or i == len(sets) - 1:  # so much at once stays in the cache
+            every = np.concatenate(group)
+            starts = np.cumsum([0, *map(len, group[:-1])])
+            for k in range(BANDS * ROWS):
+                minima[at : i + 1, k] = np.minimum.reduceat((every ^ _SEEDS[0, k]) * _SEEDS[1, k], starts)
+            at, group, size = i + 1, [], 0
+    mixed = np.zeros((len(sets), BANDS), np.uint64)
+    for r in range(ROWS):
+        mixed = (mixed ^ minima[:, r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    low = np.ascontiguousarray((minima[:, :SKETCH] >> np.uint64(48)).astype(np.uint8))
+    return mixed.view(np.int64), [row.tobytes() for row in low]
+
+
+def _estimated(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, SKETCH) for c in (2, 3))
+            keep = (a == b).sum(axis=1) >= SKETCH * (threshold - SLACK)
+            yield batch.select([0, 1]).filter(keep)
+
+    return run
+
 
+def _verified(threshold: float):
+    """Rows (u, v, a, b) -> the (u, v) whose sets a and b have at least that likeness."""
 
-def _with_sets(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in text_slices(batch, batch.num_columns - 1):
-                sets = [shingle_set(t, width, seed) for t in texts]
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).to_numpy().view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(nodes), hashes], names=[*part.schema.names[:-1], "node", "hashes"])
+            us, vs = batch.column(2), batch.column(3)
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(x[i].as_py(), np.int64) for x in (us, vs))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep[i] = common >= threshold * (len(a) + len(b) - common) - 1e-9
+            yield batch.select([0, 1]).filter(keep)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets have at least that likeness, as a scratch table."""
-    pairs = scratch_table(pairs, "pairs")
-    asked = scratch_table(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    if asked.count() <= SENT:  # else all sets would be shuffled to find a few
-        asked = F.broadcast(asked)
-    asked = scratch_table(sets.select("node", "hashes").join(asked, "node", "left_semi").dropDuplicates(["node"]), "asked")
-    both = pairs.join(asked.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(asked.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    likely = both.where(common >= threshold * (F.size("a") + F.size("b") - common) - 1e-9)
-    out = scratch_table(likely.select("u", "v"), "likely")
-    drop_scratch(pairs, asked)
-    return out
-
-
-def jaccard_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """sets (node, hashes sorted) -> links (u, v) whose components are those of likeness >= threshold."""
-    size = F.size("hashes")
-    prefix = F.slice("hashes", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
-    rows = sets.where(size > 0).select("node", size.alias("n"), F.posexplode(prefix).alias("at", "hash"))
-    rows = rows.repartition("hash").dropDuplicates(["hash", "node"])
-    same = Window.partitionBy("hash")
-    shared = rows.withColumn("rows", F.count("*").over(same)).withColumn("least", F.min(F.struct("node", "n", "at")).over(same))
-    shared = scratch_table(shared.where("rows > 1").select("hash", "node", "n", "at", "least"), "shared")
-
-    def possible(nu, iu, nv, iv):
-        """No more in common than the shorter sides before and after the shared hash, and the hash."""
-        most = F.least(iu, iv) + 1 + F.least(nu - iu, nv - iv) - 1
-        return most >= threshold / (1 + threshold) * (nu + nv) - 1e-9
-
-    def enough(nu, nv):
-        """Past the prefix that ends first, no more in common than the rest of that set: the prefixes share the others."""
-        rest = F.greatest(F.ceil(nu * threshold - 1e-9), F.ceil(nv * threshold - 1e-9)) - 1
-        return F.col("c") + rest >= threshold / (1 + threshold) * (nu + nv) - 1e-9
-
-    def candidates(rows, u, nu, v, nv):
-        counted = rows.groupBy(F.col(u).alias("u"), F.col(v).alias("v")).agg(F.count("*").alias("c"), F.first(nu).alias("nu"), F.first(nv).alias("nv"))
-        return counted.where(enough(F.col("nu"), F.col("nv"))).select("u", "v")
-
-    starred = shared.where((F.col("node") > F.col("least.node")) & possible(F.col("n"), F.col("at"), F.col("least.n"), F.col("least.at")))
-    first = _verified(candidates(starred, "least.node", "least.n", "node", "n"), sets, threshold)
-    roots = connected_components(first).withColumnRenamed("root", "root_")
-    placed = shared.select("hash", "node", "n", "at").join(roots, "node", "left").select("hash", "node", "n", "at", F.coalesce("root_", "node").alias("root"))
-    # hashes of which all sets are connected already have nothing to compare
-    every = Window.partitionBy("hash")
-    open_ = placed.withColumn("low", F.min("root").over(every)).withColumn("high", F.max("root").over(every)).where("low < high")
-    open_ = scratch_table(open_.select("hash", "node", "n", "at", "root"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    crossed = a.join(b, F.col("a.hash") == F.col("b.hash")).where((F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & possible(F.col("a.n"), F.col("a.at"), F.col("b.n"), F.col("b.at")))
-    second = _verified(candidates(crossed, "a.node", "a.n", "b.node", "b.n"), sets, threshold)
-    drop_scratch(shared, open_)
-    return first.unionByName(second)
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay: one of each group joined by chains of likeness >= threshold.
-
-    That with the least id stays (null ids last, then the least text hash). Texts without words are one group. All
-    columns of docs are kept. Of fully repeated rows of the document that stays, one stays.
+def _sets(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, 1):
+                found = [np.unique(shingle_hashes(t, width, seed)).view(np.int64).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "hashes"])
+
+    return run
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, width: int, seed: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of the pairs (u, v) of nodes(node, key, n, sketch) whose sets have at least that likeness, as a scratch table.
+
+    key: the hash of a text of docs with the node's set. Repeated pairs are compared once.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    sets = scratch_table(rows.mapInArrow(_with_sets(width, seed), f"id {id_type}, key long, node long, hashes array<long>"), "sets")
-    roots = connected_components(jaccard_links(sets, threshold)).withColumnRenamed("node", "of_node")
-    groups = sets.select("id", "key", "node").join(roots, F.col("node") == F.col("of_node"), "left").withColumn("root", F.coalesce("root", "node"))
-    no_id, name, key, nth = (unused_name(docs, x) for x in ("no_id", "id_name", "text_hash", "nth"))
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("b"))
-    best = best.select(F.col("b.none").alias(no_id), F.coalesce(F.col("b.id").cast("string"), F.lit("")).alias(name), F.col("b.key").alias(key))
-    best = scratch_table(best, "best")
-    drop_scratch(sets)
-    keyed = docs.withColumns({no_id: F.col(id_col).isNull(), name: F.coalesce(F.col(id_col).cast("string"), F.lit("")), key: text_key(text_col)})
-    same = Window.partitionBy(no_id, name, key).orderBy(key)  # the join's partitioning and order: no further exchange
-    kept = keyed.join(best, [no_id, name, key]).withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
-    return kept.select(*(keyed[c] for c in docs.columns))
+    near = pairs.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    near = scratch_table(near, "pairs")
+
+    def both(rows: DataFrame, of_node: DataFrame, column: str) -> DataFrame:
+        """rows(u, v) with that column of both nodes, as a and b; a node in very many pairs is dealt to many tasks."""
+        for side, name, other in (("v", "b", "u"), ("u", "a", "v")):
+            named = of_node.select(F.col("node").alias(side), F.col(column).alias(name), *([F.col("n").alias(f"n{side}")] if column == "sketch" else []))
+            rows = join_hot(rows, named, side, other)
+        return rows
+
+    sized = both(near, nodes, "sketch").where((F.least("nu", "nv") >= F.greatest("nu", "nv") * threshold - 1e-9))
+    likely = scratch_table(sized.select("u", "v", "a", "b").mapInArrow(_estimated(threshold), "u long, v long"), "likely")
+    asked = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    asked = scratch_table(asked, "asked")
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    wanted = asked.select("key")
+    texts = texts.join(F.broadcast(wanted) if asked.count() <= SENT else wanted, "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.min("text").alias("text"))  # of copies, one; copies meet in the task that reads them
+    sets = scratch_table(asked.join(texts.mapInArrow(_sets(width, seed), "key long, hashes binary"), "key"), "sets")
+    return scratch_table(both(likely, sets, "hashes").select("u", "v", "a", "b").mapInArrow(_verified(threshold), "u long, v long"), "similar")
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """(bucket, node) of nodes(node, bands): a bucket is a band and its hash."""
+    return nodes.select("node", F.explode(F.transform("bands", lambda h, i: F.xxhash64(i, h))).alias("bucket"))
+
+
+def open_pairs(placed: DataFrame) -> DataFrame:
+    """placed(bucket, node, root): the pairs (u, v) of nodes that share a bucket and have different roots."""
+    rows = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    open_ = scratch_table(placed.join(rows, "bucket"), "open")
+    a = open_.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
+    b = open_.select("bucket", F.col("node").alias("v"), F.col("root").alias("rv"))
+    return a.join(b, "bucket").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv"))).select("u", "v")
+
+
+def least_pairs(rows: DataFrame) -> DataFrame:
+    """rows(bucket, node): each node with the least of its bucket."""
+    least = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return join_hot(rows, least, "bucket", "node").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+

@@ -15,13 +15,17 @@ Two fingerprints with at most four differing bits, e1 + e2 + e3 <= 4, fall under
 Rows that share a key are compared bit by bit, so the links are exact. A key shared by more rows than
 ``group_limit`` is cut into blocks that are compared pair by pair in tasks of their own; each comparison gives a
 spanning forest of the links it finds, never all pairs. Equal fingerprints are one node, joined before any key.
+
+Likeness of shingle sets of 0.8 leaves about ten of 64 bits different, which no keys of a 64-bit fingerprint can reach.
+``drop_near_duplicates(likeness=...)`` therefore takes the links as one source of candidates and minwise bands (see
+shingle_sets) as a second one, and verifies every candidate by the exact Jaccard likeness of the sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.llm import shingle_sets
 from folioscope.llm.common import drop_scratch, scratch_table, text_key, text_slices, unused_name
-from folioscope.llm.components import connected_components
+from folioscope.llm.components import connected_components, join_hot
+from folioscope.llm.shingle_sets import shingle_hashes
 
 #: First bit and width of the three segments; generator polynomial of the Golay code.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -43,29 +49,22 @@ GROUP_LIMIT = 4096
 SMALL_GROUP = 16
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of the XXH64 hashes of a text's word shingles, as an unsigned number; 0 for a text without words."""
-    if not text:
-        return 0
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only ASCII space splits
-    if not words:
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of unsigned 64-bit hashes, as an unsigned number; 0 for none."""
+    if not len(hashes):
         return 0
-    whole = b" ".join(words)
-    if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(whole, seed)]
-    else:
-        ends = list(accumulate(map((1).__add__, map(len, words))))
-        starts = [0, *ends]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(whole[a : b - 1], seed) for a, b in zip(starts, ends[width - 1 :])]
     ones = np.zeros(64, np.int64)
-    every = np.array(hashes, np.uint64)
-    for i in range(0, len(every), 1 << 16):
-        part = every[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of the XXH64 hashes of a text's word shingles; 0 for a text without words."""
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
 @cache
 def _golay() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes of each byte at its three places, and the error pattern of each syndrome."""
@@ -316,20 +315,70 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(links)
     rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch_table(rooted.select("print", "root").join(least, "root"), "named")
+    named = scratch_table(join_hot(rooted.select("print", "root"), least, "root", "print"), "named")
     drop_scratch(links, nodes)
     return rows.join(named, "print").select("id", "key", "print", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def _sketched(width: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, batch.num_columns - 1):
+                hashes = [shingle_hashes(t, width, seed) for t in texts]
+                prints = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+                sets = [np.unique(h) for h in hashes]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
+                bands, sketches = shingle_sets.sketches(sets)
+                offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * shingle_sets.BANDS)
+                columns = [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], "node", "n", "print", "sketch", "bands"])
+
+    return run
+
+
+def likeness_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, threshold: float = shingle_sets.THRESHOLD) -> DataFrame:
+    """One row per document: (id, key, root), with one root for documents joined by chains of Jaccard likeness >= threshold.
+
+    Equal sets of shingles are one node; all texts without words are one. Candidates are the links of fingerprints and
+    the nodes that share a minwise band, at first each with the least of its bucket, so that a large group of near
+    copies doesn't give all its pairs; then those of a bucket that the first ones left unconnected.
+    """
+    if threshold < shingle_sets.THRESHOLD:
+        raise ValueError(f"the bands find likeness of {shingle_sets.THRESHOLD} or more, not {threshold}")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    rows = rows.mapInArrow(_sketched(width, seed), f"id {id_type}, key long, node long, n long, print long, sketch binary, bands array<long>")
+    rows = scratch_table(rows, "sketches")
+    nodes = rows.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    nodes = scratch_table(nodes, "nodes")
+    buckets = scratch_table(shingle_sets.banded(nodes.where("n > 0")), "buckets")
+    prints = scratch_table(nodes.groupBy("print").agg(F.min("node").alias("least")), "prints")
+    links = fingerprint_links(prints)
+    of_links = links.join(prints.select(F.col("print").alias("u"), F.col("least").alias("a")), "u").join(prints.select(F.col("print").alias("v"), F.col("least").alias("b")), "v")
+    of_links = of_links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    of_prints = shingle_sets.least_pairs(nodes.select(F.col("print").alias("bucket"), "node"))
+    first = shingle_sets.least_pairs(buckets).unionByName(of_prints).unionByName(of_links)
+    first = shingle_sets.similar_pairs(first, nodes, docs, text_col, width, seed, threshold)
+    roots = scratch_table(connected_components(first), "roots")
+    placed = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    second = shingle_sets.similar_pairs(shingle_sets.open_pairs(placed), nodes, docs, text_col, width, seed, threshold)
+    roots = connected_components(first.unionByName(second)).select(F.col("node").alias("of_node"), "root")
+    named = scratch_table(nodes.select("node").join(roots, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "named")
+    drop_scratch(buckets, prints, links, nodes)
+    return rows.select("id", "key", "node").join(named, "node").select("id", "key", "root")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float | None = None, **how) -> DataFrame:
     """The rows of docs that stay: one of each group, that with the least id (null ids last, then the least text hash).
 
-    All columns of docs are kept. Of fully repeated rows of the document that stays, one stays.
+    Groups are simhash_groups', or, if a likeness is given, likeness_groups' at that threshold. All columns of docs are
+    kept. Of fully repeated rows of the document that stays, one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, **how)
+    groups = simhash_groups(docs, id_col, text_col, **how) if likeness is None else likeness_groups(docs, id_col, text_col, threshold=likeness, **how)
     no_id, name, key, nth = (unused_name(docs, x) for x in ("no_id", "id_name", "text_hash", "nth"))
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("b"))
     best = best.select(F.col("b.none").alias(no_id), F.coalesce(F.col("b.id").cast("string"), F.lit("")).alias(name), F.col("b.key").alias(key))
+    best = scratch_table(best, "best")
     keyed = docs.withColumns({no_id: F.col(id_col).isNull(), name: F.coalesce(F.col(id_col).cast("string"), F.lit("")), key: text_key(text_col)})
     same = Window.partitionBy(no_id, name, key).orderBy(key)  # the join's partitioning and order: no further exchange
     kept = keyed.join(best, [no_id, name, key]).withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)

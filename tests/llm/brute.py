@@ -44,6 +44,20 @@ def groups(prints, bits=4):
     return [find(i) for i in range(len(prints))]
 
 
+def similar_groups(texts, width=5, threshold=0.8):
+    """Least index reachable of each text by chains of Jaccard likeness of its word shingles."""
+    sets, root = [], list(range(len(texts)))
+    for t in texts:
+        ws = words(lower_ascii(t))
+        sets.append(frozenset(" ".join(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))) if ws else frozenset())
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or len(a & b) >= threshold * len(a | b):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
 def dedup_lines(docs):
     """[(id, text)] in order of id -> {id: (text, n_lines, n_removed)}."""
     seen, gone = {}, defaultdict(set)

@@ -19,7 +19,7 @@ def test_stages(spark, sf_dir):
     rows = [r for r in sorted(docs.collect(), key=lambda r: r["doc_id"]) if verdicts[r["doc_id"]]]
     cleaned = brute.dedup_lines([(r["doc_id"], r["text"]) for r in rows])
     texts = [cleaned[r["doc_id"]][0] for r in rows]
-    roots = brute.groups([brute.simhash(t, 5) for t in texts])
+    roots = brute.similar_groups(texts)
     kept = [(r["doc_id"], t, r["source"]) for i, (r, t, g) in enumerate(zip(rows, texts, roots)) if g == i]
     mixed = Counter(i for i, _ in brute.mixture(kept))
 
@@ -57,19 +57,6 @@ def test_contract(spark, sf_dir):
 
 
 def test_near_duplicates_by_likeness(spark, sf_dir):
-    def shingles(text):
-        ws = brute.words(brute.lower_ascii(text))
-        return frozenset(" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))) if ws else frozenset()
-
-    def kept(rows):
-        sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
-        for i in range(len(rows)):
-            for j in range(i):
-                a, b = sets[i], sets[j]
-                if a == b or len(a & b) >= 0.8 * len(a | b):
-                    root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
-        return [r[0] for i, r in enumerate(rows) if root[i] == i]
-
     words = [f"w{i}" for i in range(300)]
     made = [(10_000 + k, " ".join(["new", *words[2 * k : 2 * k + 200], "end"])) for k in range(40)]  # chains of near copies
     made += [(20_000 + k, " ".join([*words[:60], *(f"x{k}_{i}" for i in range(40))])) for k in range(30)]  # a common passage
@@ -78,5 +65,5 @@ def test_near_duplicates_by_likeness(spark, sf_dir):
     more = spark.createDataFrame([(i, t, "en", "made", 0) for i, t in made], docs.schema)
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect()) + made
     got = corpus_pipeline.near_duplicates(spark, docs.unionByName(more), sf_dir)
-    assert sorted(r["doc_id"] for r in got.collect()) == kept(rows)
+    assert sorted(r["doc_id"] for r in got.collect()) == [r[0] for i, (r, g) in enumerate(zip(rows, brute.similar_groups([t for _, t in rows]))) if i == g]
     assert not {145, 177} & {r["doc_id"] for r in got.collect()}  # 11 and 17 bits from 6 and 1, likeness 0.83
