@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import line_dedup, mixing, packing, quality_rules, shingle_sets
+from folioscope.llm import line_dedup, mixing, packing, quality_rules, simhash_golay
 from folioscope.llm.common import read_table, scratch_table
 from folioscope.llm.queries import vocabulary_file
 
@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Near copies: sets of five-word shingles of Jaccard likeness 0.8 or more, and chains of such.
     """
-    return shingle_sets.drop_similar(docs, width=5).select(*COLUMNS)
+    return simhash_golay.drop_near_duplicates(docs, width=5, likeness=0.8).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
