@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents handed to Python code at once, so a worker holds a few MB of text at a time.
+#: Documents and bytes of text handed to Python code at once, so a worker holds a few MB of text at a time (or one text).
 DOCS_AT_ONCE = 512
+BYTES_AT_ONCE = 4 << 20
 
 _own_folder: list[str] = []
 
@@ -23,30 +27,34 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one of this process only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary one of this process in local mode, else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="folioscope-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
     return f"file://{_own_folder[0]}"
 
 
-#: Rows in a batch that a scratch table's Python code gets: with long texts, the usual 10,000 are many megabytes.
-ROWS_IN_BATCH = 1000
+#: Rows and bytes in a batch that a scratch table's Python code gets: with long texts, the usual 10,000 are many megabytes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    usual = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(usual), ROWS_IN_BATCH) if int(usual) > 0 else ROWS_IN_BATCH))
+    usual = {k: spark.conf.get(k) for k in BATCHES}
+    for k, most in BATCHES.items():
+        spark.conf.set(k, most)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(setting, usual)
+        for k, v in usual.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -79,6 +87,11 @@ def unused_name(df: DataFrame, wish: str) -> str:
 
 def text_slices(batch: pa.RecordBatch, column: int = 0, at_once: int = DOCS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of a batch with their texts as Python strings (None: null)."""
-    for start in range(0, batch.num_rows, at_once):
-        part = batch.slice(start, at_once)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        full = np.searchsorted(ends, (ends[start - 1] if start else 0) + BYTES_AT_ONCE, side="right")
+        size = max(1, min(int(full) - start, at_once))
+        part = batch.slice(start, size)
+        start += size
         yield part, part.column(column).to_pylist()

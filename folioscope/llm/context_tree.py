@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -255,6 +256,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, learn) -> (word, or window; n: times in texts to learn from, seen: times in all)."""
     words: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()  # of the other texts, and of those to learn from
     keys, n, seen = (np.empty(0, np.int64) for _ in range(3))
+    held: list[np.ndarray] = []
     schema = pa.schema([("word", pa.binary()), ("window", pa.int64()), ("n", pa.int64()), ("seen", pa.int64())])
 
     def of_words() -> Iterator[pa.RecordBatch]:
@@ -265,6 +267,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(list(times.keys()), pa.binary()), none, of_each if learned else pa.array(np.zeros(len(times), np.int64)), of_each], schema=schema)
             times.clear()
 
+    def merged(keys: np.ndarray, n: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The counts with those of the windows held, each with a bit for learning from its text."""
+        if not held:
+            return keys, n, seen
+        new = np.sort(np.concatenate(held))
+        held.clear()
+        first = np.nonzero(np.concatenate([[True], new[1:] >> 1 != new[:-1] >> 1]))[0]
+        all_keys = np.concatenate([keys, new[first] >> 1])
+        n, seen = np.concatenate([n, np.add.reduceat(new & 1, first)]), np.concatenate([seen, np.diff(np.append(first, len(new)))])
+        order = np.argsort(all_keys, kind="stable")
+        all_keys = all_keys[order]
+        first = np.nonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))[0]
+        return all_keys[first], np.add.reduceat(n[order], first), np.add.reduceat(seen[order], first)
+
+    def of_windows() -> Iterator[pa.RecordBatch]:
+        nonlocal keys, n, seen
+        for i in range(0, len(keys), COUNTED):
+            some = slice(i, i + COUNTED)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys[some]), pa.binary()), pa.array(keys[some]), pa.array(n[some]), pa.array(seen[some])], schema=schema)
+        keys, n, seen = (np.empty(0, np.int64) for _ in range(3))
+
     for batch in batches:
         for part, texts in text_slices(batch):
             learn = part.column(1).to_pylist()
@@ -276,22 +299,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from of_words()
             weight = np.array([bool(x) for x in learn], np.int64)
             for owner, found in _pieces([_coded(ws) for ws in split]):
-                order = np.argsort(found)
-                found, learned = found[order], weight[owner[order]]
-                first = np.nonzero(np.concatenate([[True], found[1:] != found[:-1]]))[0]
-                all_keys = np.concatenate([keys, found[first]])
-                more = np.concatenate([n, np.add.reduceat(learned, first)]), np.concatenate([seen, np.diff(np.append(first, len(found)))])
-                order = np.argsort(all_keys, kind="stable")
-                all_keys = all_keys[order]
-                first = np.nonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]]))[0]
-                keys, n, seen = all_keys[first], np.add.reduceat(more[0][order], first), np.add.reduceat(more[1][order], first)
-                if len(keys) > AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n), pa.array(seen)], schema=schema)
-                    keys, n, seen = (np.empty(0, np.int64) for _ in range(3))
+                held.append(found << 1 | weight[owner])
+            if sum(map(len, held)) > AT_ONCE:
+                keys, n, seen = merged(keys, n, seen)
+            if len(keys) > AT_ONCE:
+                yield from of_windows()
+    keys, n, seen = merged(keys, n, seen)
     yield from of_words()
-    for i in range(0, len(keys), COUNTED):
-        some = slice(i, i + COUNTED)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(keys[some]), pa.binary()), pa.array(keys[some]), pa.array(n[some]), pa.array(seen[some])], schema=schema)
+    yield from of_windows()
 
 
 def corpus_counts(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
@@ -384,44 +399,38 @@ def _doc_parts(words, costs):
     """Texts -> a row for each document with its sums over what was sent, and one for each of its other words and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (counts, base), lookup = words.value, costs.value
+        place_of, counts, base = words.value  # place 0: words that weren't sent
+        lookup = costs.value
         for batch in batches:
-            for part, texts in text_slices(batch, batch.num_columns - 1, 256):
+            for part, texts in text_slices(batch, batch.num_columns - 1):
                 split = [tokens(t) for t in texts]
                 coded = [_coded(ws) for ws in split]
                 n = len(split)
-                known, base_sum, index, rare, times = [], [], [], [], []
-                for i, ws in enumerate(split):
-                    bag = Counter(ws)
-                    bag[END] += 1
-                    k, b = 0, 0.0
-                    for w, m in bag.items():
-                        if w in counts:
-                            k += m * (counts[w] > 0)
-                            b += m * base[w]
-                        else:
-                            index.append(i)
-                            rare.append(w)
-                            times.append(m)
-                    known.append(k)
-                    base_sum.append(b)
+                flat = pa.array(list(chain.from_iterable(chain(ws, (END,)) for ws in split)), pa.binary()).dictionary_encode()
+                owner = np.repeat(np.arange(n), [len(ws) + 1 for ws in split])
+                number = flat.indices.to_numpy()
+                place = np.array([place_of.get(w, 0) for w in flat.dictionary.to_pylist()], np.int32)[number]
+                known = np.bincount(owner, weights=counts[place] > 0, minlength=n).astype(np.int64)
+                base_sum = np.bincount(owner, weights=base[place], minlength=n)
+                other = place == 0
+                rare, times = np.unique(owner[other] << 32 | number[other], return_counts=True)
                 score, others = np.zeros(n), []
-                for owner, found in _pieces(coded):
+                for of_text, found in _pieces(coded):
                     values, hit = lookup.of(found)
-                    score += np.bincount(owner, weights=values, minlength=n)
-                    others.append(owner[~hit] << 48 | found[~hit])
+                    score += np.bincount(of_text, weights=values, minlength=n)
+                    others.append(of_text[~hit] << 48 | found[~hit])
                 left, m = np.unique(np.concatenate(others) if others else np.empty(0, np.int64), return_counts=True)
-                rows = np.concatenate([np.arange(n), np.array(index, np.int64), left >> 48])
                 r, c = len(rare), len(left)
-                take = pa.array(rows)
+                take = pa.array(np.concatenate([np.arange(n), rare >> 32, left >> 48]))
 
-                def column(values, kind):
-                    return pa.array([*values, *([0] * (r + c))], kind)
+                def column(values: np.ndarray) -> pa.Array:
+                    return pa.array(np.concatenate([values, np.zeros(r + c, values.dtype)]))
 
                 columns = [x.take(take) for x in part.columns[:-1]]
-                columns += [pa.array([*([None] * n), *rare, *([None] * c)], pa.binary()), pa.array(np.concatenate([np.zeros(n + r, np.int64), left & ((1 << 48) - 1)]), mask=np.arange(n + r + c) < n + r)]
-                columns += [pa.array(np.concatenate([np.ones(n, np.int64), np.array(times, np.int64), m]))]
-                columns += [column([len(ws) + 1 for ws in split], pa.int64()), column(known, pa.int64()), column([len(x) for x in coded], pa.int64()), column(base_sum, pa.float64()), column(score.tolist(), pa.float64())]
+                of_word = pa.array(np.concatenate([np.zeros(n, np.int64), rare & 0xFFFFFFFF, np.zeros(c, np.int64)]), mask=np.repeat([True, False, True], [n, r, c]))
+                columns += [flat.dictionary.take(of_word), pa.array(np.concatenate([np.zeros(n + r, np.int64), left & ((1 << 48) - 1)]), mask=np.arange(n + r + c) < n + r)]
+                columns += [pa.array(np.concatenate([np.ones(n, np.int64), times, m]))]
+                columns += [column(x) for x in (np.bincount(owner, minlength=n), known, np.array([len(x) for x in coded], np.int64), base_sum, score)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "word", "window", "times", "n_tokens", "n_known", "n_bytes", "base_score", "score"])
 
     return run
@@ -448,9 +457,9 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     _, lookup = most_frequent(costs, sent)
     known = words.where(F.col("seen") * frequent_share >= (sums["seen"] or 0)).toArrow()
     bottom = float(np.log10(n_all + n_distinct + 1))
-    base = (np.log10(known["n"].to_numpy().astype(np.float64) + 1) - bottom).tolist()
-    common = known["word"].to_pylist()
-    of_words = spark.sparkContext.broadcast((dict(zip(common, known["n"].to_pylist())), dict(zip(common, base))))
+    times = np.concatenate([[0], known["n"].to_numpy()])
+    base = np.where(np.arange(len(times)) > 0, np.log10(times + 1.0) - bottom, 0)
+    of_words = spark.sparkContext.broadcast((dict(zip(known["word"].to_pylist(), range(1, len(times)))), times, base))
 
     rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

@@ -11,9 +11,11 @@ each chain is read off the array of content words by index, in one pass.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from folioscope.llm.common import scratch_table, text_key
 from folioscope.llm.components import connected_components
@@ -26,6 +28,10 @@ ANCHORS = tuple(
     el los las del y se por con para al es no""".split()
 )
 CHAIN = 2
+#: Quantiles of the ids by which documents are dealt out.
+CELLS = 128
+#: Up to so many heads of blocks are sent to all tasks, which pick out their texts; more are joined by a shuffle.
+SENT = 1_000_000
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,29 +72,69 @@ def jaccard(a: Column, b: Column) -> Column:
     return _let(F.size(F.array_intersect(a, b)), lambda common: common / (F.size(a) + F.size(b) - common))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 1024) -> DataFrame:
+def _block_of(docs: DataFrame, id_col: str, rows_per_block: int) -> tuple[Column, Column]:
+    """(cell, block) of an id, the second given the first: neighbouring ids are dealt to blocks of about that many rows.
+
+    Cells are equal shares of the rows (quantiles of the ids, at most CELLS), so a gap in the ids is one cell's matter;
+    a cell of numbers is cut into blocks of equal width. Null ids have cell and block -1.
+    """
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"))
+    parts = max(1, min(CELLS, known.count() // rows_per_block))
+    cells = known.repartitionByRange(parts, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    cells = sorted((r["low"], r["high"], r["n"]) for r in cells.collect())  # at most CELLS rows
+    numeric = isinstance(known.schema["id"].dataType, NumericType)
+
+    def cell(first: int, last: int) -> Column:  # a binary search: the last cell that begins at the id or before
+        if first >= last:
+            return F.lit(first)
+        middle = (first + last + 1) // 2
+        return F.when(F.col("id") < F.lit(cells[middle][0]), cell(first, middle - 1)).otherwise(cell(middle, last))
+
+    widths = [max(1, n // rows_per_block) if numeric else 1 for _, _, n in cells]
+    starts = list(accumulate(widths, initial=0))
+    number = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(cell(0, len(cells) - 1) if cells else F.lit(-1))
+    block = F.col("cell").cast("long")
+    if numeric and cells:
+
+        def of_cell(values: list, kind: str) -> Column:
+            return F.get(F.array(*(F.lit(v).cast(kind) for v in values)), F.col("cell"))
+
+        low, high, width = of_cell([c[0] for c in cells], "double"), of_cell([c[1] for c in cells], "double"), of_cell(widths, "long")
+        within = F.floor((F.col("id").cast("double") - low) * width / (high - low + 1.0))
+        block = of_cell(starts[:-1], "long") + F.greatest(F.lit(0), F.least(width - 1, within))
+    return number, F.coalesce(block, F.lit(-1)).cast("long")
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_block: int = 256) -> DataFrame:
     """(id, text, next_text): next is the document with the next smaller id, and the greatest after the least.
 
-    Null texts are empty. Ids are dealt to blocks of neighbouring ids; within a block next is the following row,
-    and the least of a block is followed by the head of the next lower one, found on one row per block. Rows that
-    share an id follow each other in the order of a hash of their text; null ids come last.
+    Null texts are empty. Ids of any type that has an order are dealt to blocks of neighbouring ids (see _block_of); within
+    a block next is the following row, and the least of a block is followed by the head of the next lower one, found on
+    one row per block. Rows that share an id follow each other in the order of a hash of their text; null ids come last.
     """
+    cell, block = _block_of(docs, id_col, rows_per_block)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    span = rows.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("id").alias("n")).first()
-    low, high, n = span["a"] or 0, span["b"] or 0, span["n"]
-    blocks = max(1, n // rows_per_block)
-    block = F.coalesce(F.floor((F.col("id").cast("double") - F.lit(float(low))) * (blocks / (float(high) - float(low) + 1.0))), F.lit(-1)).cast("long")
-    rows = rows.withColumn("block", block)
+    rows = rows.withColumn("cell", cell).withColumn("block", block)
     order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
-    rows = rows.withColumn("following", F.lead("text").over(Window.partitionBy("block").orderBy(*order)))
-    heads = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("block", block)
-    # the head of a block: its greatest id and, among ties, the least hash
-    heads = heads.groupBy("block").agg(F.min_by("text", F.struct((-F.col("id")).alias("id"), F.xxhash64("text"))).alias("head"))
+    # the head of a block: its greatest id and, among ties, the least hash; its text is looked up by both
+    hashed = rows.select("id", F.xxhash64("text").alias("h"), "cell", "block")
+    top = hashed.groupBy("cell", "block").agg(F.max("id").alias("id"))
+    of_top = hashed.join(top.withColumnsRenamed({"block": "of_block", "id": "top_id"}).drop("cell"), F.col("block") == F.col("of_block"))
+    heads = of_top.where(F.col("id").eqNullSafe(F.col("top_id"))).groupBy("cell", "block").agg(F.min("h").alias("h"), F.first("id").alias("id"))
     heads = scratch_table(heads, "heads")
-    ring = heads.withColumn("lower", F.lead("block").over(Window.orderBy(F.col("block").desc())))
-    top = heads.agg(F.max("block")).first()[0]
-    ring = ring.select("block", F.coalesce("lower", F.lit(top)).alias("goes_to"))
-    after = ring.join(heads.withColumnRenamed("block", "goes_to"), "goes_to").select("block", "head")
+    # the next lower block of the cell, or the highest one of the next lower cell, of which there are at most CELLS
+    highest = sorted((r["cell"], r["top"]) for r in heads.groupBy("cell").agg(F.max("block").alias("top")).collect())
+    below = {c: highest[i - 1][1] for i, (c, _) in enumerate(highest)}
+    lower = F.lead("block").over(Window.partitionBy("cell").orderBy(F.col("block").desc()))
+    down = F.create_map(*(F.lit(x) for pair in below.items() for x in pair))[F.col("cell")] if below else F.lit(None)
+    ring = heads.select("block", F.coalesce(lower, down.cast("long")).alias("goes_to"))
+    asked = heads.select(F.col("block").alias("goes_to"), F.col("h").alias("head_h"), F.col("id").alias("head_id"))
+    if heads.count() <= SENT:  # else all texts would be shuffled to find these
+        asked = F.broadcast(asked)
+    texts = rows.withColumn("h", F.xxhash64("text")).join(asked, F.col("block") == F.col("goes_to"))
+    texts = texts.where(F.col("id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))).groupBy("goes_to").agg(F.min("text").alias("head"))
+    after = scratch_table(ring.join(texts, "goes_to").select("block", "head"), "after")
+    rows = rows.withColumn("following", F.lead("text").over(Window.partitionBy("block").orderBy(*order)))
     return rows.join(after, "block", "left").select("id", "text", F.coalesce("following", "head").alias("next_text"))
 
 
