@@ -84,8 +84,14 @@ def term_positions(term: Column, text: Column) -> Column:
 
 def proximity_weight(a: Column, b: Column) -> Column:
     """exp(-d / 100), but at least 0.1, for the least distance d of two arrays of positions; 0 if either is empty."""
-    gaps = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.abs(x - y))))
-    return F.coalesce(F.greatest(F.exp(-F.array_min(gaps) / 100), F.lit(0.1)), F.lit(0.0))
+    # in one order, told apart by the last bit, the nearest two of different arrays are neighbours
+    both = F.array_sort(F.concat(F.transform(a, lambda x: x * 2), F.transform(b, lambda y: y * 2 + 1)))
+
+    def least(p: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        return F.array_min(F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda x, y: F.when(x.bitwiseXOR(y).bitwiseAND(1) == 1, F.shiftright(y, 1) - F.shiftright(x, 1))))
+
+    return F.coalesce(F.greatest(F.exp(-let(both, least) / 100), F.lit(0.1)), F.lit(0.0))
 
 
 def join_hyphen_breaks(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,17 +37,25 @@ def literal_vector(values) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
+@lru_cache(200_000)
+def _places(word: str, dimensions: int) -> np.ndarray:
+    """Where a word counts: a place, or, behind the places, one that counts down."""
+    marked = f"<{word}>"
+    hashes = [zlib.crc32(g.encode()) for g in {marked, *(marked[i : i + 3] for i in range(len(marked) - 2))}]
+    return np.array([h % dimensions + dimensions * (h >> 31) for h in hashes], np.int64)
+
+
 def hashed_vector(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
     """A deterministic unit vector of a text's words and their trigrams, counted at hashed places with hashed signs.
 
-    Stands in for a trained encoder, whose vectors can be given instead wherever one is asked for.
+    Stands in for a trained encoder, whose vectors can be given instead wherever one is asked for. A word's grams are
+    hashed once per worker.
     """
-    out = np.zeros(dimensions)
-    for word in re.findall(r"[^\W_]+", (text or "").lower()):
-        marked = f"<{word}>"
-        for gram in {marked, *(marked[i : i + 3] for i in range(len(marked) - 2))}:
-            h = zlib.crc32(gram.encode())
-            out[h % dimensions] += 1 - 2 * (h >> 31)
+    found = [_places(w, dimensions) for w in re.findall(r"[^\W_]+", (text or "").lower())]
+    if not found:
+        return np.zeros(dimensions)
+    counts = np.bincount(np.concatenate(found), minlength=2 * dimensions)
+    out = (counts[:dimensions] - counts[dimensions:]).astype(np.float64)
     length = np.sqrt((out * out).sum())
     return out / length if length else out
 

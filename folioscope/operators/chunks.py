@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def page_chunks(pages: DataFrame, pieces: Column) -> DataFrame:
     """Chunks of pages(doc_id, page, text): one per element of pieces (array of string) that isn't blank.
 
@@ -27,26 +31,43 @@ def document_chunks(documents: DataFrame) -> DataFrame:
     return each.select("doc_id", name.alias("chunk_id"), F.col("at").cast("long").alias("chunk_index"), F.lit(1).alias("page"), "text")
 
 
-def placed_tokens(text: Column, least: int) -> Column:
-    """array<struct<token, at>>: runs of at least so many of a-z in the lower-cased text, and where they start."""
-    parts = F.split(F.regexp_replace(F.lower(text), "[^a-z]", " "), " ")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token: string, at: int>>").alias("found"))
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores where it would be read in fewer tasks, as one small file is; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
 
-    def step(s: Column, part: Column) -> Column:
-        found = F.when(F.length(part) >= least, F.concat(s["found"], F.array(F.struct(part.alias("token"), s["at"].alias("at"))))).otherwise(s["found"])
-        return F.struct((s["at"] + F.length(part) + 1).alias("at"), found.alias("found"))
+def _tokens_of(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(f"[a-z]{{{least},}}").finditer
+        for batch in batches:
+            rows, tokens, sizes, places = [], [], [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                found: dict[str, list[int]] = {}
+                for m in find(text or ""):
+                    found.setdefault(m.group(), []).append(m.start())
+                rows.extend([i] * len(found))
+                tokens.extend(found)
+                for at in found.values():
+                    sizes.append(len(at))
+                    places.extend(at)
+            index = pa.array(rows, pa.int64())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            positions = pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32()))
+            names = [*batch.schema.names[:3], "token", "positions"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in range(3)), pa.array(tokens, pa.string()), positions], names=names)
 
-    return F.aggregate(parts, start, step)["found"]
+    return run
 
 
 def token_occurrences(chunks: DataFrame, least: int = 6) -> DataFrame:
-    """(doc_id, page, chunk_index, token, positions): a row per chunk and token."""
-    each = chunks.select("doc_id", "page", "chunk_index", placed_tokens(F.col("text"), least).alias("t"))
-    grouped = F.transform(
-        F.array_distinct(F.transform("t", lambda x: x["token"])),
-        lambda w: F.struct(w.alias("token"), F.transform(F.filter("t", lambda x: x["token"] == w), lambda x: x["at"]).alias("positions")),
-    )
-    return each.select("doc_id", "page", "chunk_index", F.inline(grouped))
+    """(doc_id, page, chunk_index, token, positions): a row per chunk and token, found in one pass over each text.
+
+    Tokens are runs of at least so many of a-z in the lower-cased text; positions are where they start, from 0.
+    """
+    rows = chunks.select("doc_id", "page", "chunk_index", F.lower("text").alias("text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+    return rows.mapInArrow(_tokens_of(least), f"{kept}, token string, positions array<int>")
 
 
 def frequent_tokens(occurrences: DataFrame, share: float = 0.02) -> DataFrame:

@@ -42,46 +42,52 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, threshold: f
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
-#: Terms up to which one automaton finds them all in a pass over the texts; more are compared term by term.
+#: Terms that one automaton finds in a pass over the texts; more are looked for in several passes.
 AUTOMATON_TERMS = 200_000
 
 
 def _found_terms(names):
-    """(id, text) -> (id, term_key) for each of the names that the text contains."""
+    """(id, text) -> (id, folded) for each of the lower-cased names that the text contains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         for name in names.value:
-            automaton.add_word(name.lower(), name)
+            automaton.add_word(name, name)
         if len(automaton):
             automaton.make_automaton()
         for batch in batches:
             rows, keys = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text and len(automaton):
-                    found = {name for _, name in automaton.iter(text.lower())}
+                    found = {name for _, name in automaton.iter(text)}
                     rows.extend([i] * len(found))
                     keys.extend(sorted(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=[batch.schema.names[0], "term_key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string())], names=[batch.schema.names[0], "folded"])
 
     return run
 
 
-def primary_terms(results: DataFrame, terms: DataFrame) -> DataFrame:
-    """results(result_id, text) with terms(term_key, ...) whose key the text contains, whole word or not.
+def primary_terms(results: DataFrame, terms: DataFrame, at_once: int = AUTOMATON_TERMS) -> DataFrame:
+    """results(result_id, text) with terms(term_key, ...) whose key the text contains, whole word or not, in any case.
 
-    Up to AUTOMATON_TERMS keys are sent to the tasks as one automaton, which reads each text once. Keys that differ
-    in case only count as the last of them there; give them in one case.
+    The distinct lower-cased keys go to the tasks as automata, about at_once keys in each; each automaton reads each
+    text once. Keys that differ in case only are each found.
     """
     spark = results.sparkSession
-    names = [r[0] for r in terms.select("term_key").where("term_key <> ''").distinct().limit(AUTOMATON_TERMS + 1).collect()]
-    if len(names) > AUTOMATON_TERMS:
-        return results.select("result_id", "text").join(terms, F.lower("text").contains(F.lower("term_key"))).drop("text")
     kind = results.schema["result_id"].dataType.simpleString()
-    found = results.select("result_id", "text").mapInArrow(_found_terms(spark.sparkContext.broadcast(names)), f"result_id {kind}, term_key string")
-    return found.join(terms, "term_key")
+    folded = terms.where("term_key <> ''").withColumn("folded", F.lower("term_key"))
+    keys = folded.select("folded").distinct().persist()
+    pieces = max(1, -(-keys.count() // at_once))
+    texts = results.select("result_id", F.lower("text").alias("text"))
+    found = None
+    for piece in range(pieces):
+        names = [r[0] for r in keys.where(F.pmod(F.xxhash64("folded"), F.lit(pieces)) == piece).collect()]
+        part = texts.mapInArrow(_found_terms(spark.sparkContext.broadcast(names)), f"result_id {kind}, folded string")
+        found = part if found is None else found.unionByName(part)
+    keys.unpersist()
+    return found.join(folded, "folded").drop("folded")
 
 
 def related_terms(primary: DataFrame, terms: DataFrame, links: DataFrame, companions: DataFrame, max_cooccurrences: int = MAX_COOCCURRENCES) -> DataFrame:

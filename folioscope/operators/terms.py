@@ -95,14 +95,18 @@ def merge_rejected(keywords: DataFrame, rejected: DataFrame) -> DataFrame:
     occurrences where both have one, else the one that isn't 0.
     """
     old = keywords.select("term", F.col("occurrences").alias("oa"), F.col("mean_score").alias("ma"))
-    new = rejected.groupBy("term").agg(F.flatten(F.collect_list("occurrences")).alias("ob"), F.max("mean_score").alias("mb"))
+    new = rejected.select("term", "mean_score", F.explode("occurrences").alias("o"))
+    held = keywords.select("term", F.explode("occurrences").alias("o")).select("term", "o.doc_id", "o.chunk_index").distinct()
+    counted = new.groupBy("term").agg(F.count("*").alias("nb"), F.max("mean_score").alias("mb"))
+    fresh = new.select("term", "o", F.col("o.doc_id").alias("doc_id"), F.col("o.chunk_index").alias("chunk_index")).join(held, ["term", "doc_id", "chunk_index"], "left_anti")
+    fresh = fresh.groupBy("term").agg(F.collect_list("o").alias("added"))
     empty = F.array().cast(keywords.schema["occurrences"].dataType)
-    both = old.join(new, "term", "full_outer").select("term", F.coalesce("oa", empty).alias("oa"), F.coalesce("ob", empty).alias("ob"), F.coalesce("ma", F.lit(0.0)).alias("ma"), F.coalesce("mb", F.lit(0.0)).alias("mb"))
-    held = F.transform("oa", lambda x: F.struct(x["doc_id"], x["chunk_index"]))
-    added = F.filter("ob", lambda x: ~F.array_contains(held, F.struct(x["doc_id"], x["chunk_index"])))
-    na, nb = F.size("oa"), F.size("ob")
+    both = old.join(counted, "term", "full_outer").join(fresh, "term", "left").select(
+        "term", F.coalesce("oa", empty).alias("oa"), F.coalesce("added", empty).alias("added"), F.coalesce("nb", F.lit(0)).alias("nb"), F.coalesce("ma", F.lit(0.0)).alias("ma"), F.coalesce("mb", F.lit(0.0)).alias("mb")
+    )
+    na, nb = F.size("oa"), F.col("nb")
     mean = F.when((F.col("ma") > 0) & (F.col("mb") > 0), (F.col("ma") * na + F.col("mb") * nb) / (na + nb)).otherwise(F.greatest("ma", "mb"))
-    merged = both.select("term", F.concat("oa", added).alias("occurrences"), mean.alias("mean_score"))
+    merged = both.select("term", F.concat("oa", "added").alias("occurrences"), mean.alias("mean_score"))
     return merged.select("term", F.size("occurrences").cast("long").alias("total_count"), "mean_score", "occurrences")
 
 

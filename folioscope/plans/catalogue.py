@@ -31,7 +31,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return C.document_chunks(_table(spark, d, "documents"))
+    return C.document_chunks(C.spread(_table(spark, d, "documents")))
 
 
 def _keywords(spark: SparkSession, d: str) -> DataFrame:
