@@ -8,6 +8,7 @@ each window. No ids are moved between partitions, and no pass depends on the ord
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,7 +23,9 @@ from folioscope.llm.common import DOCS_AT_ONCE, scratch_table, text_slices, unus
 
 WINDOW = 2048
 #: Words whose ids a worker remembers for sure; as many more, used less lately, may be kept too.
-CACHED = 300_000
+CACHED = 100_000
+#: Documents whose words are looked up together.
+DOCS_TOGETHER = 128
 
 
 class _Recent:
@@ -58,6 +61,7 @@ def chunk_encoder(tokenizer_file: str, end_id: int | None = 1, cached: int = CAC
     white space, one after the other. The ids of each part are found once. Texts with `<|`, where special tokens
     begin, are only cut at white space.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of its own only cost
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -89,7 +93,7 @@ def _encoded(tokenizer_file: str, end_id: int | None):
         encode = chunk_encoder(tokenizer_file, end_id)
         part_no, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, texts in text_slices(batch, batch.num_columns - 1):
+            for part, texts in text_slices(batch, batch.num_columns - 1, DOCS_TOGETHER):
                 ids = encode(texts)
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = before + np.cumsum(counts) - counts
