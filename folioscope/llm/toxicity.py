@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import text_slices, unused_name
 
-#: The bound of the training sample: labelled documents of each label.
+#: The bound of the training sample: labelled rows of each label, learned from whole.
 SAMPLE_DOCS = 1000
-#: Characters of a training document that are learned from (scoring reads whole texts).
-TRAIN_CHARS = 4000
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 SPAN = 16
@@ -71,6 +69,11 @@ def spans_of(n: int) -> np.ndarray:
     return starts[:-1] if len(starts) > 1 and n - starts[-1] < SPAN // 2 else starts
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, between ASCII white space, for training and scoring alike."""
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
 class ToxicityModel:
     """bias, and the number that each subword row adds to a word's logit."""
 
@@ -86,7 +89,7 @@ class ToxicityModel:
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Of the most toxic span of each text; the bias for a text without words."""
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        split = [words_of(t) for t in texts]
         new = list({w for ws in split for w in ws if w not in self.known})
         if len(self.known) + len(new) > CACHED:
             self.known = {}
@@ -149,7 +152,7 @@ def _fit(texts: list[str], y_doc: np.ndarray, seed: int) -> ToxicityModel:
     index: dict[str, int] = {}
     tokens, starts, span_doc, at = [], [], [], 0
     for d, text in enumerate(texts):
-        words = text.split()
+        words = [w.decode("utf-8", "replace") for w in words_of(text)]
         if words:
             tokens.extend(index.setdefault(w, len(index)) for w in words)
             s = spans_of(len(words))
@@ -227,17 +230,17 @@ def _fit(texts: list[str], y_doc: np.ndarray, seed: int) -> ToxicityModel:
     return ToxicityModel((params[0] * trust) @ way, params[2][1] - params[2][0])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """At most max_docs documents of each label, in order of a hash of their id, come to the driver.
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[int]]:
+    """At most max_docs rows of each label, in order of a hash of their id, come to the driver with their whole texts.
 
-    docs(doc_id, text), labels(doc_id, toxic): rows with a null id or label aren't used; of several labels of one
-    id the greatest counts; texts are cut to max_chars.
+    docs(doc_id, text), labels(doc_id, toxic): rows with a null id, label or text aren't used; of several labels of one
+    id the greatest counts, of several texts the least.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs) for k in (0, 1)]
     ids = chosen[0].unionByName(chosen[1])  # at most 2 * max_docs rows
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring(F.col("text"), F.lit(1), F.lit(max_chars)).alias("text")).join(F.broadcast(ids), "doc_id")
-    found = sorted(map(tuple, rows.select("doc_id", "toxic", "text").distinct().collect()))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect())
     return [f[2] for f in found], [int(f[1]) for f in found]
 
 
@@ -257,7 +260,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
     """docs' columns keep (all but the text) with score (0 to 1) and predicted (1 if score >= 0.5).
 
     Whole texts are scored, and nothing but the text is looked at. Null and empty texts have the score of the
-    model's bias. Repeated rows get equal scores; an empty table gives an empty result. Kept columns named like the
+    model's bias; very long texts are split into spans like others. Repeated rows get equal scores; an empty table gives an empty result. Kept columns named like the
     new ones are left out. The model goes to the tasks as a broadcast of BUCKETS numbers.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != text_col and c.lower() not in ("score", "predicted")]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -131,6 +132,32 @@ def signatures(text, anchors, chain=2):
     return out or {tuple(ws)}
 
 
+def toxicity(text, weights, bias, span=16, sizes=(3, 4, 5)):
+    """The chance of label 1: of the span of words with the greatest mean, a word being the mean of its subwords' weights."""
+    mask, mult = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def of_word(word):
+        core = word.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—\n")
+        rows = [zlib.crc32(core.encode()) * mult & mask]
+        marked = f"<{core}>"
+        for n in sizes:
+            for i in range(len(marked) - n + 1):
+                h = n
+                for c in marked[i : i + n]:
+                    h = (h ^ ord(c)) * mult & mask
+                    h ^= h >> 29
+                rows.append(h * mult & mask)
+        values = [weights[(h >> 40) % len(weights)] for h in rows]
+        return sum(values) / len(values)
+
+    found = [of_word(w) for w in words(text)]
+    cuts = list(range(0, len(found), span))
+    if len(cuts) > 1 and len(found) - cuts[-1] < span // 2:
+        cuts.pop()
+    means = [sum(s) / len(s) for s in (found[a:b] for a, b in zip(cuts, [*cuts[1:], len(found)]))]
+    return 1 / (1 + math.exp(-(bias + max(means, default=0))))
+
+
 def letters(text):
     """Lower-cased, with a blank for each run of other characters, and one in front."""
     return re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.lower()))

@@ -242,6 +242,26 @@ def test_toxicity_learns_words_and_misspellings():
     assert model.score(["", None])[0] < 0.5
 
 
+def test_toxicity_query_against_brute_force(spark, sf_dir, rows):
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(*toxicity.labelled_sample(docs, labels.where(~held_out)))
+    got = {r["doc_id"]: r for r in queries.op4_toxicity(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows[:80]:
+        want = brute.toxicity(r["text"], model.rows.tolist(), model.bias)
+        g = got[r["doc_id"]]
+        assert g["score"] == pytest.approx(want, abs=1e-5) and g["predicted"] == int(g["score"] >= 0.5) and g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert brute.toxicity("", model.rows.tolist(), model.bias) == pytest.approx(model.score([None])[0], abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    many = spark.range(500).selectExpr("7L doc_id", "concat('text ', id) text").unionByName(spark.createDataFrame([(8, "a\u00a0b\u3000c")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(many, labels) == (["text 0", "a\u00a0b\u3000c"], [1, 0])
+    assert toxicity.words_of("a\u00a0b\u3000c d") == ["a\u00a0b\u3000c".encode(), b"d"]
+
+
 def test_toxicity_held_out(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.1")
     got = queries.op4_toxicity(spark, big).where("held_out").join(read_table(spark, big, "labels"), "doc_id").select("predicted", "toxic").collect()
