@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ CONTENTS_LINES = (
     r"^\s*-\s*\d+\s*-\s*$",
     r"^\s*\[\s*\d+\s*\]\s*$",
 )
+# Fixed value: the mark of a cut text.
 TRUNCATED = "\n\n[... truncated to fit token limit ...]"
 
 
@@ -91,7 +93,7 @@ def proximity_weight(a: Column, b: Column) -> Column:
         n = F.greatest(F.size(p) - 1, F.lit(0))
         return F.array_min(F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda x, y: F.when(x.bitwiseXOR(y).bitwiseAND(1) == 1, F.shiftright(y, 1) - F.shiftright(x, 1))))
 
-    return F.coalesce(F.greatest(F.exp(-let(both, least) / 100), F.lit(0.1)), F.lit(0.0))
+    return let(let(both, least), lambda d: F.when(d.isNull(), 0.0).otherwise(F.greatest(F.exp(-d / 100), F.lit(0.1))))
 
 
 def join_hyphen_breaks(text: Column) -> Column:
@@ -136,6 +138,32 @@ def tidy_markdown(text: Column) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), r"(?U)(?:\n[^\S\n]*)+\z", "")
 
 
+def estimate_tokens(encoding_file: str, pattern: str = r"\s*\S+|\s+"):
+    """A column function: the number of byte-pair tokens of a text under a file of ranks (0 for an empty or null one).
+
+    The file holds a line per token: its bytes in base 64 and its rank. Texts are cut by the pattern before they are
+    merged, as the vocabulary was trained to.
+    """
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        encoding = _encoding(encoding_file, pattern)
+        return pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
+
+    return counted
+
+
+@lru_cache(4)
+def _encoding(file: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def truncate(text: Column, max_tokens: int) -> Column:
     """Texts of more than four characters a token lose their rest and get a mark (the result may exceed the limit)."""
     size = max_tokens * 4

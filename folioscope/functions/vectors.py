@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -65,6 +65,20 @@ def hashed_embedding(texts: pd.Series) -> pd.Series:
     return pd.Series([hashed_vector(t).astype(np.float32) for t in texts])
 
 
+def static_embedding(texts: DataFrame, vectors: DataFrame, id_col: str, text_col: str, dimensions: int) -> DataFrame:
+    """(id, vector) of texts(id, text): the mean of the vectors of a text's words, scaled to length 1.
+
+    vectors(token, vector): static token vectors, of lower-cased words (runs of letters and digits). Words without one
+    don't count; a text without any has a zero vector. Words are joined to their vectors; sums of a text's are formed
+    before they are shuffled.
+    """
+    words = F.explode_outer(F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    found = texts.select(F.col(id_col).alias("id"), words.alias("token")).join(vectors.select("token", "vector"), "token", "left")
+    sums = [F.coalesce(F.avg(F.col("vector")[i].cast("double")), F.lit(0.0)) for i in range(dimensions)]
+    means = found.groupBy("id").agg(F.array(*sums).alias("m"))
+    return means.select("id", let(norm(F.col("m")), lambda n: F.transform("m", lambda x: F.when(n > 0, x / n).otherwise(0.0))).alias("vector"))
+
+
 def log_bin(value: Column, tolerance: float) -> Column:
     """`range_log_bin_k` with k the whole part of ln|v| / ln(1 + tolerance), negated for v < 0; `range_zero` for 0."""
     k = (F.log(F.abs(value)) / F.lit(math.log(1 + tolerance))).cast("int")

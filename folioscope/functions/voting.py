@@ -79,9 +79,19 @@ def struct_key(value: Column, spec: VotingField) -> Column:
     return F.concat_ws(":", F.lit("model"), *named)
 
 
+def item_key(item: Column, fields: list[str]) -> Column:
+    """An item of a list of structs as one word: its term, else the first 20 characters of its text, else of its first field."""
+    given = item["term"].cast("string") if "term" in fields else item["text" if "text" in fields else fields[0]].cast("string").substr(1, 20)
+    return F.coalesce(given, F.lit("null"))
+
+
 def field_key(value: Column, spec: VotingField, embed: Callable[[Column], Column] | None = None) -> Column | None:
     """A field's part of the voting key (None: it doesn't count). Text is SEMANTIC through embed, else as it is."""
-    items = F.transform(value, lambda x: struct_key(x, spec)) if spec.fields and spec.strategy not in (DERIVED, IGNORE) else value
+    items = value
+    if spec.fields and spec.strategy in (ORDERED_ALIKE, UNORDERED_ALIKE):
+        items = F.transform(value, lambda x: item_key(x, list(spec.fields)))
+    elif spec.fields and spec.strategy not in (DERIVED, IGNORE):
+        items = F.transform(value, lambda x: struct_key(x, spec))
     if spec.strategy == IGNORE:
         return None
     if spec.strategy == SEMANTIC:

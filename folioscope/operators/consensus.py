@@ -15,9 +15,13 @@ THRESHOLD = 0.85
 OUTLIER_SHARE = 0.7
 
 
-def vote_groups(votes: DataFrame, by: tuple[str, ...] = ("item", "round")) -> DataFrame:
-    """(by..., key, n, first_seq, place): groups of equal votes, largest first (ties: who was asked first)."""
-    grouped = votes.groupBy(*by, "key").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+def vote_groups(votes: DataFrame, by: tuple[str, ...] = ("item", "round"), weight: str | None = None) -> DataFrame:
+    """(by..., key, n, first_seq, place): groups of equal votes, largest first (ties: who was asked first).
+
+    weight: a column whose sum n is then, in place of the number of votes.
+    """
+    size = F.count("*") if weight is None else F.sum(weight)
+    grouped = votes.groupBy(*by, "key").agg(size.alias("n"), F.min("seq").alias("first_seq"))
     order = Window.partitionBy(*by).orderBy(F.col("n").desc(), "first_seq", "key")
     return grouped.withColumn("place", F.row_number().over(order))
 
@@ -130,6 +134,62 @@ def disagreements(responses: DataFrame, fields: list[str], by: tuple[str, ...] =
     return sets.select(*by, "field", F.size("values").alias("n_values"), (F.size("values") == 1).alias("agreed"), "values")
 
 
+def information_flow(votes: DataFrame) -> DataFrame:
+    """(item, round, model_id, peers): for each vote of a model that was shown its peers' votes of the round before, who they were."""
+    peers = votes.select("item", F.col("model_id").alias("peer"), "seq", (F.col("round") + 1).alias("round"))
+    asked = votes.select("item", "round", "model_id").join(peers, ["item", "round"]).where("peer <> model_id")
+    return asked.groupBy("item", "round", "model_id").agg(F.sort_array(F.collect_list(F.struct("seq", "peer")))["peer"].alias("peers"))
+
+
+def round_metrics(votes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(item, round, convergence, achieved, n_responses, unique_votes): each round by itself."""
+    unique = votes.groupBy("item", "round").agg(F.count_distinct("key").alias("unique_votes"))
+    out = decide(votes, threshold).join(agreement(votes), ["item", "round"]).join(unique, ["item", "round"])
+    score = F.when(F.col("achieved"), 1.0).otherwise(F.round(0.6 * F.col("agreement"), 9))
+    return out.select("item", "round", score.alias("convergence"), "achieved", F.col("n_votes").alias("n_responses"), "unique_votes")
+
+
+def call_statistics(calls: DataFrame) -> DataFrame:
+    """calls(duration_ms) -> one row: total_calls, total_duration_ms, avg_duration_ms (0 without calls)."""
+    total = F.coalesce(F.sum("duration_ms"), F.lit(0.0))
+    return calls.agg(F.count("*").alias("total_calls"), total.alias("total_duration_ms"), F.coalesce(F.avg("duration_ms"), F.lit(0.0)).alias("avg_duration_ms"))
+
+
+# The texts that explain a result; the numbers of rounds, models and dissenting models go in.
+ACHIEVED_TEXT = (
+    "Consensus was successfully achieved after %d round(s) of deliberation. All participating models converged to agreement through iterative "
+    "refinement and peer collaboration. The final response represents the collective wisdom of all %d models."
+)
+FAILED_TEXT = (
+    "Consensus was not achieved after %d round(s) of deliberation%s. The system fell back to majority voting to determine the final response. "
+    "Despite the lack of full agreement, this represents the best collective judgment available."
+)
+DISSENT_TEXT = " with %d dissenting model(s): %s"
+
+
+def results(votes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row per item: total_rounds, total_model_calls, n_models, achieved, dissenting, dissent_rate, total_refinements,
+    avg_refinements, reasoning.
+
+    Only the last round decides, and dissent is looked for only where it found no consensus. A refinement is a vote
+    of a model that was shown votes of its peers.
+    """
+    sizes = votes.groupBy("item").agg(F.count_distinct("round").alias("total_rounds"), F.count("*").alias("total_model_calls"), F.count_distinct("model_id").alias("n_models"), F.max("round").alias("last"))
+    last = votes.join(sizes.select("item", F.col("last").alias("round")), ["item", "round"], "left_semi")
+    out = sizes.join(decide(last, threshold).select("item", "achieved"), "item")
+    alone = outliers(last).groupBy("item").agg(F.sort_array(F.collect_list(F.struct("seq", "model_id")))["model_id"].alias("alone"))
+    refined = information_flow(votes).groupBy("item").agg(F.count("*").alias("refined"))
+    none = F.array().cast("array<string>")
+    out = out.join(alone, "item", "left").join(refined, "item", "left").withColumn("dissenting", F.when(F.col("achieved"), none).otherwise(F.coalesce("alone", none)))
+    n, total = F.size("dissenting"), F.coalesce("refined", F.lit(0))
+    said = F.when(n > 0, F.format_string(DISSENT_TEXT, n, F.array_join("dissenting", ", "))).otherwise("")
+    reasoning = F.when(F.col("achieved"), F.format_string(ACHIEVED_TEXT, "total_rounds", "n_models")).otherwise(F.format_string(FAILED_TEXT, F.col("total_rounds"), said))
+    return out.select(
+        "item", "total_rounds", "total_model_calls", "n_models", "achieved", "dissenting", (n / F.col("n_models")).alias("dissent_rate"),
+        total.alias("total_refinements"), (total / F.col("total_rounds")).alias("avg_refinements"), reasoning.alias("reasoning"),
+    )
+
+
 def quality(agreement_: Column, speed: Column) -> Column:
     return (agreement_ + 1 - speed) / 2
 

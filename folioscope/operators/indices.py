@@ -31,16 +31,24 @@ def chunk_terms(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
     return chunks.join(lists, keys)
 
 
-def document_stats(documents: DataFrame, chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
+def table_counts(pages: DataFrame) -> DataFrame:
+    """pages(doc_id, tables array) -> (doc_id, n_tables)."""
+    return pages.groupBy("doc_id").agg(F.sum(F.coalesce(F.size("tables"), F.lit(0))).cast("long").alias("n_tables"))
+
+
+def document_stats(documents: DataFrame, chunks: DataFrame, occurrences: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """documents(doc_id) with pages, chunks, distinct terms, and acronyms and keywords among them.
 
-    occurrences(doc_id, term, kind).
+    occurrences(doc_id, term, kind). pages(doc_id, tables): adds n_tables.
     """
     of_chunks = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_distinct("page").alias("n_pages"))
     terms = occurrences.select("doc_id", "term", "kind").distinct()
     of_terms = terms.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.count_if(F.col("kind") == "acronym").alias("n_acronyms"), F.count_if(F.col("kind") == "keyword").alias("n_keywords"))
     out = documents.select("doc_id").join(of_chunks, "doc_id", "left").join(of_terms, "doc_id", "left")
-    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_pages", "n_chunks", "n_terms", "n_acronyms", "n_keywords")))
+    names = ["n_pages", "n_chunks", "n_terms", "n_acronyms", "n_keywords"]
+    if pages is not None:
+        out, names = out.join(table_counts(pages), "doc_id", "left"), [*names, "n_tables"]
+    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names))
 
 
 def corpus_totals(chunks: DataFrame, terms: DataFrame, links: DataFrame) -> DataFrame:

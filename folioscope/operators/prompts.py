@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 from functools import reduce
 
@@ -223,3 +225,37 @@ def align(prompts: DataFrame, evaluate: Callable[[DataFrame], DataFrame], feedba
         changed = apply_principles(F.col("prompt"), F.transform("ps", lambda p: F.struct(p["principle"].alias("principle"), p["importance"].alias("importance"))), preserve_context)
         now = joined.select("prompt_id", F.when((F.col("score") < threshold) & F.col("ps").isNotNull(), changed).otherwise(F.col("prompt")).alias("prompt"))
     return evaluate(now), history
+
+
+# --- prompt builders ------------------------------------------------------------------------------------------------
+
+
+def fill_prompt(template: str, given: dict[str, Column]) -> Column:
+    """A template with {name} places, filled with columns (null: empty). A place without a column is an error."""
+    parts = re.split(r"\{(\w+)\}", template)
+    missing = sorted({n for n in parts[1::2] if n not in given})
+    if missing:
+        raise ValueError(f"no value for {', '.join(missing)}")
+    return F.concat(*(F.coalesce(given[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+
+def chunking_prompt(text: Column, most: int = 5000) -> Column:
+    """What a model that cuts pages into chunks is asked; at most that many characters of the page are shown."""
+    return fill_prompt("Cut this page into passages that can be understood alone. Keep its words and their order.\n\n{page}", {"page": F.substring(text, 1, most)})
+
+
+def meaning_prompt(term: Column, contexts: Column, most: int = 3000) -> Column:
+    """What a model that judges a term is asked: the term and where it was found, at most that many characters of it."""
+    shown = F.substring(F.array_join(F.transform(contexts, lambda c: F.concat(F.lit("- "), c)), "\n"), 1, most)
+    return fill_prompt("Say whether {term} is a term of these documents, and what it means in them.\n\n{shown}", {"term": term, "shown": shown})
+
+
+def refinement_prompt(query: Column, own: Column, peers: Column, round_: Column) -> Column:
+    """What a model is asked after a round: its own answer and its peers', numbered."""
+    numbered = F.array_join(F.transform(peers, lambda p, i: F.concat(F.lit("Answer "), (i + 1).cast("string"), F.lit(": "), p)), "\n")
+    return fill_prompt("{query}\n\nRound {round}. You answered: {own}\n\nOthers answered:\n{peers}\n\nAnswer again; keep your answer where theirs don't convince you.", {"query": query, "round": round_, "own": own, "peers": numbered})
+
+
+def judge_prompt(first: Column, second: Column, n_votes: Column) -> Column:
+    """What a judge is asked about the two answers of a tie."""
+    return fill_prompt("{n} votes end in a tie of two answers.\n\nFirst: {first}\n\nSecond: {second}\n\nGive the better one, or one that is better than both, in the same form.", {"n": n_votes, "first": first, "second": second})

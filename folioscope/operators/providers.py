@@ -70,3 +70,8 @@ def expansions(chunks: DataFrame) -> DataFrame:
     words = F.slice("w", F.greatest(F.size("w") - F.length("term") + 1, F.lit(1)), F.length("term"))
     initials = F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
     return each.select("term", F.array_join(words, " ").alias("full_form"), initials.alias("i")).where("i = term").select("term", "full_form").distinct()
+
+
+def map_reduce(items: DataFrame, ask: Callable[[str], list], aggregate: Callable[[Column], Column], by: str, item_col: str = "item") -> DataFrame:
+    """flat_map of items, whose outputs are then aggregated for each value of by -> (by, result)."""
+    return flat_map(items, ask, item_col).groupBy(by).agg(aggregate(F.col("output")).alias("result"))

@@ -102,6 +102,23 @@ def related_terms(primary: DataFrame, terms: DataFrame, links: DataFrame, compan
     return keys.join(terms, "term_key")
 
 
+def relations_of(names: DataFrame, terms: DataFrame, links: DataFrame, companions: DataFrame, max_cooccurrences: int = MAX_COOCCURRENCES) -> DataFrame:
+    """names(term_key) -> (term_key, kind, related, place): the terms related to each name that is a term's key.
+
+    First those linked to it, in either direction, as often as they are (kind "link", by name), then its first
+    companions that aren't linked to it ("companion", by rank). Related names that are no term's key are dropped.
+    """
+    known = terms.select("term_key").distinct()
+    asked = names.select("term_key").distinct().join(known, "term_key", "left_semi")
+    ends = links.select(F.col("acronym").alias("term_key"), F.col("keyword").alias("related")).unionByName(links.where("acronym <> keyword").select(F.col("keyword").alias("term_key"), F.col("acronym").alias("related")))
+    linked = asked.join(ends, "term_key").join(known.withColumnRenamed("term_key", "related"), "related", "left_semi").select("term_key", "related")
+    near = companions.where(F.col("rank") <= max_cooccurrences).select(F.col("term").alias("term_key"), F.col("other").alias("related"), F.col("rank").cast("long").alias("rank"))
+    near = asked.join(near, "term_key").join(known.withColumnRenamed("term_key", "related"), "related", "left_semi").join(linked.distinct(), ["term_key", "related"], "left_anti")
+    both = linked.select("term_key", F.lit("link").alias("kind"), "related", F.lit(0).cast("long").alias("rank")).unionByName(near.select("term_key", F.lit("companion").alias("kind"), "related", "rank"))
+    order = Window.partitionBy("term_key").orderBy((F.col("kind") == "companion"), "rank", "related")
+    return both.select("term_key", "kind", "related", F.row_number().over(order).cast("long").alias("place"))
+
+
 def query_frequencies(all_terms: DataFrame, query: Column) -> DataFrame:
     """(result_id, term) with frequency: how often each term stands in the query, where it does."""
     return all_terms.withColumn("frequency", count_substring(F.lower(query), F.lower("term"))).where("frequency > 0")

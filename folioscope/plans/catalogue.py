@@ -468,6 +468,42 @@ def gossip_peers(spark, d):
     return consensus.gossip_context(v, 0).select("item", "model_id", "own", _joined("peers"))
 
 
+@query
+def consensus_results(spark, d):
+    r = consensus.results(_daily_votes(spark, d))
+    return r.select("item", "total_rounds", "total_model_calls", "n_models", "achieved", _joined("dissenting"), F.round("dissent_rate", 6).alias("dissent_rate"), "total_refinements", F.round("avg_refinements", 6).alias("avg_refinements"), "reasoning")
+
+
+@query
+def round_metrics(spark, d):
+    return consensus.round_metrics(_daily_votes(spark, d)).select("item", "round", F.round("convergence", 6).alias("convergence"), "achieved", "n_responses", "unique_votes")
+
+
+@query
+def information_flow(spark, d):
+    return consensus.information_flow(_daily_votes(spark, d)).select("item", "round", "model_id", _joined("peers"))
+
+
+@query
+def weighted_votes(spark, d):
+    v = _daily_votes(spark, d).withColumn("weight", (F.col("seq") % 3).cast("long"))
+    return consensus.vote_groups(v, weight="weight").where("place = 1").select("item", "round", F.col("key").alias("winner"), F.col("n").alias("weight"))
+
+
+@query
+def call_statistics(spark, d):
+    s = consensus.call_statistics(_table(spark, d, "events").select(F.round("value").alias("duration_ms")))
+    return s.select("total_calls", "total_duration_ms", F.round("avg_duration_ms", 6).alias("avg_duration_ms"))
+
+
+@query
+def vote_item_keys(spark, d):
+    """Lists of structs count by the beginnings of their items' first fields."""
+    rows = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.struct("l_returnflag", "l_partkey").alias("x"), "l_suppkey"))).alias("r"))
+    spec = voting.VotingField(voting.ORDERED_ALIKE, fields={"l_returnflag": voting.VotingField(), "l_partkey": voting.VotingField()})
+    return rows.select("l_orderkey", voting.field_key(F.col("r.x"), spec).alias("key"))
+
+
 # --- views ----------------------------------------------------------------------------------------------------------
 
 
@@ -517,6 +553,65 @@ def source_links(spark, d):
     return _table(spark, d, "part").select("p_partkey", views.source_link(name, F.col("p_size")).alias("link"), views.flat_keys(F.col("p_partkey"), F.col("p_size")).alias("key"))
 
 
+@query
+def document_chunk_order(spark, d):
+    return views.document_chunks(_chunks(spark, d), [3, 1, 2]).select("doc_id", "chunk_index", "text")
+
+
+@query
+def companions_by_frequency(spark, d):
+    k = _keywords(spark, d)
+    c = terms.cooccurrences(k, k.groupBy("term").agg(F.count("*").alias("total_count")))
+    return views.companions_by_frequency(c).select("term", F.array_join(F.transform("others", lambda x: F.concat_ws(":", x["other"], x["frequency"].cast("string"))), ",").alias("others"))
+
+
+@query
+def page_tables(spark, d):
+    pages = _table(spark, d, "nation").select(F.col("n_regionkey").alias("doc_id"), F.array_repeat("n_name", (F.col("n_nationkey") % 3).cast("int")).alias("tables"))
+    return indices.table_counts(pages)
+
+
+def _part_relations(spark, d):
+    """Terms, links and companions of the parts' names and words: relations with links in both directions."""
+    names, words = _part_names(spark, d), _part_words(spark, d)
+    t = names.select(F.col("term").alias("term_key"), "term", F.lit("acronym").alias("term_type")).unionByName(words.select(F.col("term").alias("term_key"), "term", F.lit("keyword").alias("term_type"))).dropDuplicates(["term_key"])
+    pairs = _table(spark, d, "part").select(F.lower("p_brand").alias("term"), F.explode(F.split(F.lower("p_type"), " ")).alias("other")).groupBy("term", "other").agg(F.count("*").alias("n"))
+    c = pairs.withColumn("rank", F.expr("row_number() over (partition by term order by n desc, other)"))
+    return t, terms.link_terms(names, words, fuzzy=False), c
+
+
+@query
+def related_terms_linked(spark, d):
+    """Search results whose terms are related to others by links: parts, with their names and the words of their types."""
+    t, links, c = _part_relations(spark, d)
+    results = _table(spark, d, "part").select(F.col("p_partkey").alias("result_id"), F.col("p_name").alias("term"), F.lit("acronym").alias("term_type"))
+    return search.related_terms(results, t, links, c).select("result_id", "term_key")
+
+
+@query
+def term_relations(spark, d):
+    t, links, c = _part_relations(spark, d)
+    asked = t.where("term_type = 'keyword'").select("term_key")
+    return search.relations_of(asked, t, links, c).select("term_key", "kind", "related", "place")
+
+
+@query
+def search_with_links(spark, d):
+    """Enhanced results of a query over the parts, with terms found through links."""
+    t, links, c = _part_relations(spark, d)
+    found = _table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("result_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), (F.col("p_size") / 100).alias("score"))
+    out = search.enhanced(found, "standard polished steel and large brass", t, links, c)
+    return out.select("result_id", F.round("relevance", 6).alias("relevance"), F.round("combined", 6).alias("combined"), _joined("primary_terms"), F.size("related_terms").alias("n_related"))
+
+
+@query
+def static_vectors(spark, d):
+    """Texts as means of static token vectors."""
+    words = _part_words(spark, d).select(F.col("term").alias("token"), F.array(F.length("term").cast("double"), F.ascii("term").cast("double"), F.lit(1.0)).alias("vector"))
+    v = V.static_embedding(_table(spark, d, "part"), words, "p_partkey", "p_name", 3)
+    return v.select(F.col("id").alias("p_partkey"), F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[1], 6).alias("y"), F.round(F.col("vector")[2], 6).alias("z"))
+
+
 # --- prompts --------------------------------------------------------------------------------------------------------
 
 
@@ -574,6 +669,22 @@ def alignment_metrics(spark, d):
     return m.select("prompt_id", "n_iterations", "mean_change", "convergence_rate", "stability")
 
 
+@query
+def prompt_builders(spark, d):
+    p = _table(spark, d, "part")
+    name, kind = F.col("p_name"), F.col("p_type")
+    return p.select(
+        "p_partkey", prompts.chunking_prompt(name, 10).alias("chunking"), prompts.meaning_prompt(name, F.array(kind, name), 20).alias("meaning"),
+        prompts.refinement_prompt(name, kind, F.array(name, kind), F.col("p_size")).alias("refinement"), prompts.judge_prompt(name, kind, F.col("p_size")).alias("judge"),
+    )
+
+
+@query
+def map_reduce(spark, d):
+    items = _table(spark, d, "part").select("p_size", F.col("p_name").alias("item"))
+    return providers.map_reduce(items, str.split, lambda o: F.count_distinct(o), "p_size").select("p_size", F.col("result").alias("n_words"))
+
+
 # --- layout, streams ------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from folioscope.operators import consensus
+
 _CHUNKS = """
 chunks AS (
   SELECT doc_id, doc_id || '_p1_c' || pos AS chunk_id, pos AS chunk_index, 1::INTEGER AS page, text
@@ -125,6 +129,33 @@ cells AS (
   UNION ALL
   SELECT n_regionkey, n_nationkey + 1, [n_nationkey::VARCHAR, n_name, CASE WHEN n_nationkey % 2 = 0 THEN '<even & |>' END] FROM nation)"""
 
+_FLOW = """,
+flow AS (
+  SELECT v.item, v.round, v.model_id, string_agg(p.model_id, ',' ORDER BY p.seq, p.model_id) AS peers
+  FROM votes v JOIN votes p ON p.item = v.item AND p.round = v.round - 1 AND p.model_id <> v.model_id GROUP BY ALL)"""
+
+_ACHIEVED = "n_votes < 2 OR top * 2 > n_votes OR (top <> second AND top >= 0.85 * n_votes)"
+
+_PART_RELATIONS = (
+    _PART_LINKS
+    + """,
+known AS (SELECT acronym AS term_key, 'acronym' AS term_type FROM names UNION ALL SELECT keyword, 'keyword' FROM words ANTI JOIN names ON keyword = acronym),
+companions AS (
+  SELECT *, row_number() OVER (PARTITION BY term ORDER BY n DESC, other) AS rank
+  FROM (SELECT term, other, count(*) AS n FROM (SELECT lower(p_brand) AS term, unnest(string_split(lower(p_type), ' ')) AS other FROM part) GROUP BY ALL))"""
+)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _formatted(text: str, *values: str) -> str:
+    """A text with %d and %s places as an expression that joins it with values."""
+    parts = re.split("%[ds]", text)
+    return " || ".join(x for i, p in enumerate(parts) for x in (_quoted(p), *values[i : i + 1]))
+
+
 _QUERY_SCORES = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)"
 
 ORACLES: dict[str, str] = {
@@ -354,4 +385,96 @@ WHERE NOT (l_linenumber <= 4 AND l_suppkey IN (SELECT s_suppkey FROM supplier) A
     "batch_flat_map": """SELECT p_partkey, (generate_subscripts(s, 1) - 1)::INTEGER AS "at", unnest(s) AS output FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type AS key, count(*) AS n FROM events GROUP BY ALL",
     "token_document_counts": f"WITH {_TOKENS} SELECT term AS token, count(DISTINCT doc_id) AS n_documents, sum(len(positions))::BIGINT AS n_occurrences FROM occ GROUP BY term",
+    "toc_summary": """
+SELECT doc_id, CASE WHEN len(p) > 0 THEN 'Sections: ' || array_to_string(p[1:8], '; ') ELSE '' END AS summary
+FROM (SELECT doc_id, list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: trim(x)), lambda x: length(x) < 100)[1:10] AS p FROM documents)""",
+    "whole_word_matches": f"""
+WITH {_CHUNKS}{_ACRONYMS},
+named AS (SELECT DISTINCT lower(term) AS term, doc_id FROM acr),
+held AS (SELECT n.term, c.doc_id, c.chunk_index, lower(c.text) AS t FROM named n JOIN chunks c ON c.doc_id = n.doc_id AND contains(lower(c.text), n.term)),
+places AS (SELECT *, unnest(range(length(t))) AS pos FROM held)
+SELECT term, doc_id, chunk_index, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM places
+WHERE substr(t, pos + 1, length(term)) = term AND (pos = 0 OR NOT regexp_matches(substr(t, pos, 1), '[\\pL\\pN\\pM_]')) AND NOT regexp_matches(substr(t, pos + 1 + length(term), 1), '[\\pL\\pN\\pM_]')
+GROUP BY term, doc_id, chunk_index""",
+    "vector_norms": """
+SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm,
+       substr(md5(array_to_string(list_transform(embedding, lambda x: round_even(x::DOUBLE * 12, 0)::INTEGER::VARCHAR), ',')), 1, 8) AS bucket FROM embeddings""",
+    "vote_item_keys": f"""
+WITH {_ORDER_LISTS}
+SELECT l_orderkey, 'ordered_alike:size_exact_' || len(f) || ':content_' || array_to_string(f[1:floor(len(f) * 0.8)::INTEGER], ':') AS key FROM lists""",
+    "information_flow": f"WITH {_DAILY}{_FLOW} SELECT * FROM flow",
+    "weighted_votes": f"""
+WITH {_DAILY},
+g AS (SELECT item, round, key, sum(seq % 3)::BIGINT AS n, min(seq) AS first_seq FROM votes GROUP BY ALL)
+SELECT item, round, key AS winner, n AS weight FROM (SELECT *, row_number() OVER (PARTITION BY item, round ORDER BY n DESC, first_seq, key) AS place FROM g) WHERE place = 1""",
+    "call_statistics": "SELECT count(*) AS total_calls, sum(round(value)) AS total_duration_ms, round(avg(round(value)), 6) AS avg_duration_ms FROM events",
+    "round_metrics": f"""
+WITH {_DAILY_GROUPS},
+u AS (SELECT item, round, count(DISTINCT key) AS unique_votes, count(*) AS n FROM votes GROUP BY ALL)
+SELECT item, round, round(CASE WHEN {_ACHIEVED} THEN 1.0 ELSE 0.6::DOUBLE * (1 - (unique_votes - 1) / (n - 1)::DOUBLE) END, 6)::DOUBLE AS convergence, {_ACHIEVED} AS achieved, n_votes AS n_responses, unique_votes
+FROM decided JOIN u USING (item, round)""",
+    "consensus_results": f"""
+WITH {_DAILY_GROUPS}{_FLOW},
+sizes AS (SELECT item, count(DISTINCT round) AS total_rounds, count(*) AS total_model_calls, count(DISTINCT model_id) AS n_models, max(round) AS last FROM votes GROUP BY item),
+done AS (SELECT item, {_ACHIEVED} AS achieved FROM decided JOIN sizes USING (item) WHERE round = last),
+spread AS (SELECT item, round, key, n, sum(n) OVER w AS whole, max(n) OVER w AS largest FROM groups WINDOW w AS (PARTITION BY item, round)),
+alone AS (
+  SELECT v.item, string_agg(model_id, ',' ORDER BY v.seq, model_id) AS names, count(*) AS n FROM votes v JOIN sizes s ON s.item = v.item AND v.round = s.last
+  JOIN spread g ON g.item = v.item AND g.round = v.round AND g.key = v.key WHERE whole >= 3 AND g.n = 1 AND largest >= 0.7 * whole GROUP BY v.item),
+refined AS (SELECT item, count(*) AS total FROM flow GROUP BY item),
+r AS (
+  SELECT s.*, achieved, CASE WHEN achieved THEN 0 ELSE coalesce(a.n, 0) END AS n, CASE WHEN achieved THEN '' ELSE coalesce(names, '') END AS names, coalesce(total, 0) AS total
+  FROM sizes s JOIN done USING (item) LEFT JOIN alone a USING (item) LEFT JOIN refined USING (item))
+SELECT item, total_rounds, total_model_calls, n_models, achieved, names AS dissenting, round(n / n_models, 6) AS dissent_rate, total AS total_refinements, round(total / total_rounds, 6) AS avg_refinements,
+  CASE WHEN achieved THEN {_formatted(consensus.ACHIEVED_TEXT, "total_rounds", "n_models")}
+       ELSE {_formatted(consensus.FAILED_TEXT, "total_rounds", "CASE WHEN n > 0 THEN " + _formatted(consensus.DISSENT_TEXT, "n", "replace(names, ',', ', ')") + " ELSE '' END")} END AS reasoning
+FROM r""",
+    "document_chunk_order": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, text FROM chunks WHERE doc_id IN (1, 2, 3) ORDER BY doc_id, chunk_index",
+    "companions_by_frequency": f"WITH {_KEYWORDS}{_COOC} SELECT term, string_agg(other || ':' || frequency, ',' ORDER BY frequency DESC, other) AS others FROM cooc GROUP BY term",
+    "page_tables": "SELECT n_regionkey AS doc_id, sum(n_nationkey % 3)::BIGINT AS n_tables FROM nation GROUP BY 1",
+    "related_terms_linked": f"""
+WITH {_PART_RELATIONS}
+SELECT DISTINCT p_partkey AS result_id, keyword AS term_key FROM part JOIN links ON acronym = p_name
+UNION SELECT p_partkey, other FROM part JOIN companions ON term = p_name WHERE rank <= 5 AND other IN (SELECT term_key FROM known)""",
+    "term_relations": f"""
+WITH {_PART_RELATIONS},
+asked AS (SELECT term_key FROM known WHERE term_type = 'keyword'),
+linked AS (
+  SELECT term_key, related FROM asked JOIN (SELECT acronym AS term_key, keyword AS related FROM links UNION ALL SELECT keyword, acronym FROM links WHERE keyword <> acronym) USING (term_key)
+  WHERE related IN (SELECT term_key FROM known)),
+near AS (
+  SELECT term_key, other AS related, rank FROM asked JOIN companions ON term = term_key
+  WHERE rank <= 5 AND other IN (SELECT term_key FROM known) AND (term_key, other) NOT IN (SELECT term_key, related FROM linked))
+SELECT term_key, kind, related, row_number() OVER (PARTITION BY term_key ORDER BY kind = 'companion', rank, related) AS place
+FROM (SELECT term_key, 'link' AS kind, related, 0 AS rank FROM linked UNION ALL SELECT term_key, 'companion', related, rank FROM near)""",
+    "search_with_links": f"""
+WITH {_PART_RELATIONS},
+found AS (SELECT p_partkey AS result_id, lower(p_name || ' ' || p_type) AS t, p_size / 100::DOUBLE AS score FROM part WHERE p_partkey % 50 = 0),
+prim AS (SELECT result_id, term_key, term_type FROM found JOIN known ON term_key <> '' AND contains(t, lower(term_key))),
+rel AS (
+  SELECT result_id, keyword AS term_key FROM prim JOIN links ON acronym = term_key WHERE term_type = 'acronym' AND keyword IN (SELECT term_key FROM known)
+  UNION SELECT result_id, acronym FROM prim JOIN links ON keyword = term_key WHERE term_type = 'keyword' AND acronym IN (SELECT term_key FROM known)
+  UNION SELECT result_id, other FROM prim JOIN companions ON term = term_key WHERE rank <= 5 AND other IN (SELECT term_key FROM known)),
+said AS (
+  SELECT result_id, (length(q) - length(replace(q, lower(term_key), ''))) // length(term_key) AS n
+  FROM (SELECT result_id, term_key FROM prim UNION SELECT result_id, term_key FROM rel), (SELECT 'standard polished steel and large brass' AS q)),
+rated AS (SELECT result_id, round(0.7 * sum(n) + 0.3 * count(*), 9) AS relevance FROM said WHERE n > 0 GROUP BY result_id)
+SELECT result_id, round(coalesce(relevance, 0), 6)::DOUBLE AS relevance, round(score * 0.6 + least(coalesce(relevance, 0)::DOUBLE / 10, 0.4), 6) AS combined,
+  coalesce((SELECT string_agg(DISTINCT term_key, ',' ORDER BY term_key) FROM prim p WHERE p.result_id = f.result_id), '') AS primary_terms,
+  (SELECT count(DISTINCT term_key) FROM rel r WHERE r.result_id = f.result_id)::INTEGER AS n_related
+FROM found f LEFT JOIN rated USING (result_id)""",
+    "static_vectors": """
+WITH w AS (SELECT p_partkey, unnest(list_filter(string_split_regex(lower(p_name), '[^\\pL\\pN]+'), lambda x: x <> '')) AS t FROM part),
+m AS (SELECT p_partkey, avg(length(t)) AS x, avg(ascii(t)) AS y, 1.0::DOUBLE AS z FROM w GROUP BY p_partkey)
+SELECT p_partkey, round(x / sqrt(x * x + y * y + z * z), 6) AS x, round(y / sqrt(x * x + y * y + z * z), 6) AS y, round(z / sqrt(x * x + y * y + z * z), 6) AS z FROM m""",
+    "prompt_builders": """
+SELECT p_partkey,
+  'Cut this page into passages that can be understood alone. Keep its words and their order.' || chr(10) || chr(10) || substr(p_name, 1, 10) AS chunking,
+  'Say whether ' || p_name || ' is a term of these documents, and what it means in them.' || chr(10) || chr(10) || substr('- ' || p_type || chr(10) || '- ' || p_name, 1, 20) AS meaning,
+  p_name || chr(10) || chr(10) || 'Round ' || p_size || '. You answered: ' || p_type || chr(10) || chr(10) || 'Others answered:' || chr(10) || 'Answer 1: ' || p_name || chr(10) || 'Answer 2: ' || p_type
+    || chr(10) || chr(10) || 'Answer again; keep your answer where theirs don''t convince you.' AS refinement,
+  p_size || ' votes end in a tie of two answers.' || chr(10) || chr(10) || 'First: ' || p_name || chr(10) || chr(10) || 'Second: ' || p_type || chr(10) || chr(10)
+    || 'Give the better one, or one that is better than both, in the same form.' AS judge
+FROM part""",
+    "map_reduce": "SELECT p_size, count(DISTINCT w) AS n_words FROM (SELECT p_size, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY p_size",
 }

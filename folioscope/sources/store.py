@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +80,23 @@ def copied_name(path: str) -> str:
     name = path.rsplit("/", 1)[-1]
     stem, dot, ending = name.rpartition(".")
     return f"{stem if dot else name}_{zlib.crc32(path.encode()):08x}{dot + ending if dot else ''}"
+
+
+def export_refined(prompts: DataFrame, principles: DataFrame, folder: str, stem: str) -> tuple[str, str]:
+    """Refined prompts and their principles as JSON, in folders named after the stem."""
+    paths = f"{folder}/{stem}_refined_prompts", f"{folder}/{stem}_principles"
+    for df, path in zip((prompts, principles), paths):
+        df.write.mode("overwrite").json(path)
+    return paths
+
+
+def timed(save: Callable[[DataFrame, str], DataFrame], log: Callable[[str], None] = logging.getLogger(__name__).info) -> Callable[[DataFrame, str], DataFrame]:
+    """A build's save function that also logs how long each relation took."""
+
+    def run(df: DataFrame, name: str) -> DataFrame:
+        began = time.perf_counter()
+        out = save(df, name)
+        log(f"{name}: {time.perf_counter() - began:.3f} s")
+        return out
+
+    return run

@@ -1,6 +1,7 @@
 """Consensus, comparison, search, knowledge base, prompts, layout and sources on hand-made rows."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -256,3 +257,42 @@ def test_streamed_counts(spark, tmp_path):
 def test_encoder_column(spark):
     v = spark.createDataFrame([("a",), (None,)], "t string").select(hashed_embedding("t")).collect()
     assert len(v[0][0]) == 256 and not any(v[1][0])
+
+
+def test_token_estimates_and_prompts(spark, tmp_path):
+    import base64
+
+    from folioscope.functions import text as T
+    from folioscope.operators import prompts
+    from folioscope.sources import store
+
+    file = tmp_path / "ranks"
+    tokens = [bytes([i]) for i in range(256)] + [b"ab", b"abc", b" a"]
+    file.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+    df = spark.createDataFrame([("abcab abc x",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.estimate_tokens(str(file))("t")).collect()] == [6, 0, 0]  # abc ab, blank abc, blank x
+    with pytest.raises(ValueError):
+        prompts.fill_prompt("{a} {b}", {"a": F.lit(1)})
+    paths = store.export_refined(spark.createDataFrame([("p", "q")], "prompt string, refined string"), spark.createDataFrame([("x", 0.5)], "principle string, importance double"), str(tmp_path), "run")
+    assert [spark.read.json(p).count() for p in paths] == [1, 1] and paths[0].endswith("run_refined_prompts")
+    said = []
+    store.timed(lambda df, name: df, said.append)(df, "chunks")
+    assert said[0].startswith("chunks: ")
+
+
+def test_terms_that_differ_in_case(spark):
+    from folioscope.operators import search
+
+    results = spark.createDataFrame([(1, "An APPLE a day"), (2, "pear")], "result_id long, text string")
+    keys = spark.createDataFrame([("Apple",), ("apple",), ("ear",), ("",), ("plum",)], "term_key string")
+    for at_once in (1, 2, 1000):
+        assert sorted(tuple(r) for r in search.primary_terms(results, keys, at_once).collect()) == [(1, "Apple"), (1, "apple"), (2, "ear")]
+
+
+def test_nearest_positions(spark):
+    from folioscope.functions import text as T
+
+    cases = [([1, 50, 300], [260, 20]), ([5], [5]), ([], [3]), ([0, 9], [400])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<int>, b array<int>")
+    got = [r[0] for r in df.orderBy("i").select(T.proximity_weight(F.col("a"), F.col("b"))).collect()]
+    assert got == [pytest.approx(max(math.exp(-min(abs(x - y) for x in a for y in b) / 100), 0.1)) if a and b else 0 for a, b in cases]
