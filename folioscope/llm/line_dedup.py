@@ -52,7 +52,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     firsts = scratch_table(firsts, "windows")  # so both sides of the join below are plain exchanges, whose hot keys can be split
     later = windows.join(firsts, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
-    return later.select(F.col("place.id").alias("id"), F.col("place.key").alias("key"), F.explode("covered").alias("at")).groupBy("id", "key").agg(F.collect_set("at").alias("gone"))
+    return later.select(F.col("place.id").alias("id"), F.col("place.key").alias("key"), F.explode("covered").alias("at")).groupBy("id", "key").agg(F.sort_array(F.collect_set("at")).alias("gone"))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """An array without the positions in gone (ascending): what lies between each two neighbours of them, end to end."""
+    ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    n = F.size(gone) + 1
+    return F.flatten(F.zip_with(F.slice(ends, F.lit(1), n), F.slice(ends, F.lit(2), n), lambda p, q: F.slice(lines, p + 2, q - p - 1)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
@@ -68,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = repeated_lines(docs, id_col, text_col, width)
     keyed = docs.withColumn(key, text_key(text_col))
     joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone["id"]) & (keyed[key] == gone["key"]), "left")
-    kept = F.array_join(F.filter(_lines(keyed, text_col), lambda x, i: ~F.array_contains(gone["gone"], i)), "\n")
+    kept = F.array_join(_without(_lines(keyed, text_col), gone["gone"]), "\n")
     columns = [F.when(gone["gone"].isNull(), keyed[c]).otherwise(kept).alias(c) if c == text_col else keyed[c] for c in docs.columns]
     return joined.select(
         *columns,

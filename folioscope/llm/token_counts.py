@@ -88,7 +88,8 @@ def vocabulary(model_file: str, bare_mark: bool = False) -> tuple[list[str], lis
     """The (initial, following) pieces of a sentencepiece model file: those after its word mark, and the others.
 
     bare_mark: the mark alone is a piece too (if the model has it), as the empty initial piece; without it a word
-    that no marked piece begins is unknown. Control, unknown and byte pieces are left out; every single character of the pieces may also continue a word.
+    that no marked piece begins is unknown. Control, unknown and byte
+    pieces are left out.
     """
     import sentencepiece
 
