@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.fuzzy import expansion_match, fuzzy_scores
 from folioscope.functions.text import normalize_term, proximity_weight, term_positions, whole_word
+from folioscope.operators.search import primary_terms
 
 TOP_COOCCURRENCES = 10
 LINKING_THRESHOLD = 0.65
@@ -121,14 +122,19 @@ def merge_cooccurrences(a: DataFrame, b: DataFrame, top: int = TOP_COOCCURRENCES
 def link_terms(acronyms: DataFrame, keywords: DataFrame, threshold: float = LINKING_THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """acronyms(term, full_form) x keywords(term) -> links (acronym, keyword, match_score >= threshold).
 
-    Every pair is scored, as the measure can't be turned into keys; the acronyms, whose number a vocabulary
-    bounds, are the side that is copied. Contained keywords are scored by an expression, other pairs (if fuzzy) by
-    an Arrow function. Acronyms without a full form have no links.
+    Keywords that a full form contains are found by automata of the keywords, and scored by an expression. If fuzzy,
+    all other pairs are scored by an Arrow function, as that measure can't be turned into keys; the acronyms, whose
+    number a vocabulary bounds, are then the side that is copied. Acronyms without a full form have no links.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie between 0 and 1")
     a = acronyms.where(F.coalesce(F.col("full_form"), F.lit("")) != "").select(F.col("term").alias("acronym"), "full_form")
-    pairs = keywords.select(F.col("term").alias("keyword")).join(a, F.lit(True))
+    if not fuzzy and threshold > 0:
+        named = a.select(F.struct("acronym", "full_form").alias("result_id"), F.col("full_form").alias("text"))
+        found = primary_terms(named, keywords.select(F.col("term").alias("term_key")))
+        pairs = found.select("result_id.acronym", "result_id.full_form", F.col("term_key").alias("keyword"))
+    else:
+        pairs = keywords.select(F.col("term").alias("keyword")).join(a, F.lit(True))
     decided, score = expansion_match(F.col("full_form"), F.col("keyword"))
     direct = pairs.where(decided).select("acronym", "keyword", score.alias("match_score"))
     if fuzzy:
