@@ -23,9 +23,9 @@ from folioscope.llm.common import DOCS_AT_ONCE, scratch_table, text_slices, unus
 
 WINDOW = 2048
 #: Words whose ids a worker remembers for sure; as many more, used less lately, may be kept too.
-CACHED = 150_000
+CACHED = 400_000
 #: Documents whose words are looked up together.
-DOCS_TOGETHER = 256
+DOCS_TOGETHER = 512
 
 
 class _Recent:
