@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import context_tree, language_id, line_dedup, mixing, packing, quality_rules, simhash_golay, spotsigs, token_counts, toxicity
+from folioscope.llm import context_tree, language_id, line_dedup, mixing, packing, quality_rules, search_sql, simhash_golay, spotsigs, token_counts, toxicity, vector_codes, wand_search
 from folioscope.llm.common import read_table, remainder
 
 
@@ -72,8 +72,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", rules)
 
 
+def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wand_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_spotsigs, op2_line_dedup, op3_simhash_golay, op4_toxicity, op5_token_counts, op6_language_id, op7_mixing, op8_packing, op9_context_tree, op10_quality_rules)
+    every = (op1_spotsigs, op2_line_dedup, op3_simhash_golay, op4_toxicity, op5_token_counts, op6_language_id, op7_mixing, op8_packing, op9_context_tree, op10_quality_rules, op12_wand, op13_vector_codes)
     return {f.__name__: f for f in every}
 
 
@@ -191,4 +199,4 @@ FROM m LEFT JOIN failed USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINE_DEDUP_SQL, "op7_mixing": _MIXING_SQL, "op10_quality_rules": _QUALITY_SQL}
+    return {"op2_line_dedup": _LINE_DEDUP_SQL, "op7_mixing": _MIXING_SQL, "op10_quality_rules": _QUALITY_SQL, "op12_wand": search_sql.WAND_SQL, "op13_vector_codes": search_sql.vector_sql()}
