@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import context_tree, language_id, line_dedup, mixing, packing, quality_rules, search_sql, simhash_golay, spotsigs, token_counts, toxicity, vector_codes, wand_search
+from folioscope.llm import context_tree, language_id, line_dedup, mixing, packing, personal_data, personal_data_sql, quality_rules, search_sql, simhash_golay, spotsigs, token_counts, toxicity, vector_codes, wand_search
 from folioscope.llm.common import read_table, remainder
 
 
@@ -72,6 +72,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", rules)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(read_table(spark, sf_dir, "documents"))
+    spans = F.array_sort(F.concat("base", F.transform("found", lambda s: s.dropFields("score"))))
+    counts = [F.size(F.filter("base", personal_data.of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(personal_data.span_list(F.col("base")), 256).alias("base_sha256"), personal_data.span_list(spans).alias("spans"))
+
+
 def op12_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wand_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -81,7 +88,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_spotsigs, op2_line_dedup, op3_simhash_golay, op4_toxicity, op5_token_counts, op6_language_id, op7_mixing, op8_packing, op9_context_tree, op10_quality_rules, op12_wand, op13_vector_codes)
+    every = (op1_spotsigs, op2_line_dedup, op3_simhash_golay, op4_toxicity, op5_token_counts, op6_language_id, op7_mixing, op8_packing, op9_context_tree, op10_quality_rules, op11_personal_data, op12_wand, op13_vector_codes)
     return {f.__name__: f for f in every}
 
 
@@ -199,4 +206,4 @@ FROM m LEFT JOIN failed USING (rid)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _LINE_DEDUP_SQL, "op7_mixing": _MIXING_SQL, "op10_quality_rules": _QUALITY_SQL, "op12_wand": search_sql.WAND_SQL, "op13_vector_codes": search_sql.vector_sql()}
+    return {"op2_line_dedup": _LINE_DEDUP_SQL, "op7_mixing": _MIXING_SQL, "op10_quality_rules": _QUALITY_SQL, "op11_personal_data": personal_data_sql.personal_data_sql(), "op12_wand": search_sql.WAND_SQL, "op13_vector_codes": search_sql.vector_sql()}
