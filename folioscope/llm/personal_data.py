@@ -129,18 +129,43 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike("[0-9@]"), found).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,found:string,kind:int,patterns:array<bigint>>>"))
 
 
-def _fillers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, filler): the distinct words that follow each of the patterns and don't look like identifiers."""
+def _slots(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, filler): the words that follow each of the patterns, wherever they stand, and don't look like identifiers."""
     words = F.split(F.btrim(F.translate(F.coalesce("text", F.lit("")), _CAPITALS, _SMALL), F.lit(" \t\n\x0b\x0c\r")), _SPACE)
-    each = let(F.transform(words, _context_word), lambda w: F.flatten(F.transform(w, lambda x, j: F.transform(_keys(w, j), lambda k: F.struct(k.alias("pattern"), x.alias("filler"))))))
-    slots = texts.select(F.explode(each).alias("s")).select("s.pattern", "s.filler")
+    led = texts.select(F.concat(F.array(F.lit("")), words).alias("w"))
+    # three arrays side by side, so that the rest is compiled: lambdas over every word would be interpreted
+    threes = led.select(F.explode(F.arrays_zip(F.col("w").alias("two"), F.slice("w", 2, F.size("w")).alias("one"), F.slice("w", 3, F.size("w")).alias("filler"))).alias("t")).select("t.*")
+    one, two = _context_word(F.col("one")), _context_word(F.col("two"))
+    keyed = threes.where("filler is not null").select(
+        F.when(one != "", F.xxhash64(F.lit(1), one)).alias("k1"), F.when((one != "") & (two != ""), F.xxhash64(F.lit(2), two, one)).alias("k2"), "filler"
+    )
     known = patterns.select("pattern")
     if known.count() <= SENT:
-        slots = slots.join(F.broadcast(known), "pattern", "left_semi")
+        for k, p in (("k1", "p1"), ("k2", "p2")):
+            keyed = keyed.join(F.broadcast(known.select(F.col("pattern").alias(p))), F.col(k) == F.col(p), "left")
+        slots = keyed.where("p1 is not null or p2 is not null").select(F.explode(F.array("p1", "p2")).alias("pattern"), "filler").where("pattern is not null")
     else:
-        slots = join_hot(slots.distinct(), known, "pattern", "filler")
+        slots = keyed.select(F.explode(F.array("k1", "k2")).alias("pattern"), "filler").where("pattern is not null").distinct()
+        slots = join_hot(slots, known, "pattern", "filler")
     ordinary = slots.where(~F.contains("filler", F.lit("@")) & ((_n_digits(F.col("filler")) < DIGITS) | (F.length("filler") < SHORTEST)))
-    return ordinary.distinct()
+    return ordinary.select("pattern", _context_word(F.col("filler")).alias("filler"))
+
+
+def _ordinary(texts: DataFrame, patterns: DataFrame, confidence: int) -> DataFrame:
+    """(pattern, n_ordinary): the number of distinct other words that follow each of patterns(pattern, n), where n candidates do.
+
+    Patterns that can't reach the confidence even if all their candidates become known are left out: a first pass sets one bit of
+    256 for each word, and so many bits are at most the number of words. The second one counts the rest exactly.
+    """
+    bit = F.pmod(F.xxhash64("filler"), F.lit(256))
+    masks = [F.coalesce(F.bit_or(F.when(F.floor(bit / 64) == i, F.expr("shiftleft(1L, cast(pmod(xxhash64(filler), 64) as int))"))), F.lit(0)) for i in range(4)]
+    least = _slots(texts, patterns).groupBy("pattern").agg(sum(map(F.bit_count, masks)).alias("least"))
+    open_ = patterns.join(least, "pattern", "left").where(1000 * F.col("n") >= confidence * (F.col("n") + F.coalesce("least", F.lit(0)))).select("pattern", "n")
+    open_ = scratch_table(open_, "open")
+    if open_.isEmpty():
+        return open_.select("pattern", F.lit(0).cast("long").alias("n_ordinary"))
+    counts = _slots(texts, open_).distinct().groupBy("pattern").agg(F.count("*").alias("c"))
+    return open_.join(counts, "pattern", "left").select("pattern", F.coalesce("c", F.lit(0)).cast("long").alias("n_ordinary"))
 
 
 def _supported(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -161,14 +186,14 @@ def bootstrap(edges: DataFrame, texts: DataFrame, rounds: int = ROUNDS, confiden
     known = scratch_table(edges.where("kind is not null").groupBy("found").agg(F.min("kind").alias("kind"), F.lit(1000).cast("long").alias("score")), "known")
     if edges.where("kind is null").isEmpty():
         rounds = 0
-    ordinary = spark.createDataFrame([], "pattern long, n_ordinary long")
+    counted, ordinary = spark.createDataFrame([], "pattern long"), spark.createDataFrame([], "pattern long, n_ordinary long")
     patterns = spark.createDataFrame([], "pattern long, kind int, confidence long")
     for _ in range(rounds):
         supported = scratch_table(_supported(edges, known), "supported")
-        fresh = scratch_table(supported.select("pattern").join(ordinary, "pattern", "left_anti"), "fresh")
+        fresh = scratch_table(supported.select("pattern").join(counted, "pattern", "left_anti").join(size, "pattern"), "fresh")
         if not fresh.isEmpty():
-            counts = fresh.join(_fillers(texts, fresh).groupBy("pattern").agg(F.count("*").alias("n")), "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n_ordinary"))
-            ordinary = scratch_table(ordinary.unionByName(counts), "ordinary")
+            counted = counted.unionByName(fresh.select("pattern"))
+            ordinary = scratch_table(ordinary.unionByName(_ordinary(texts, fresh, confidence)), "ordinary")
         sure = supported.join(ordinary, "pattern").join(size, "pattern").select("pattern", "kind", F.floor(F.col("score") / (F.col("n") + F.col("n_ordinary"))).alias("confidence"))
         patterns = scratch_table(sure.where(F.col("confidence") >= confidence), "patterns")
         reached = join_hot(edges.where("kind is null").select("pattern", "found"), patterns, "pattern", "found")
@@ -176,7 +201,7 @@ def bootstrap(edges: DataFrame, texts: DataFrame, rounds: int = ROUNDS, confiden
         found = scratch_table(best.select("found", (-F.col("b.k")).alias("kind"), "b.score"), "reached")
         now = scratch_table(known.where("score = 1000").unionByName(found.where("score < 1000")).unionByName(found.where("score >= 1000").withColumn("score", F.lit(999).cast("long"))), "known")
         settled = now.where("score < 1000").exceptAll(known.where("score < 1000")).isEmpty()
-        drop_scratch(known, supported, fresh, found)
+        drop_scratch(known, supported, found)
         known = now
         if settled:
             break
