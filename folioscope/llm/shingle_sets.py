@@ -14,11 +14,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import scratch_table, text_key, text_slices
-from folioscope.llm.components import join_hot
+from folioscope.llm.common import drop_scratch, scratch_table, text_key, text_slices
+from folioscope.llm.components import connected_components, join_hot
 
 THRESHOLD = 0.8
 BANDS, ROWS, SKETCH, SLACK = 24, 4, 64, 0.26
@@ -99,31 +99,44 @@ def _sets(width: int, seed: int):
     return run
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, width: int, seed: int, threshold: float = THRESHOLD) -> DataFrame:
-    """Those of the pairs (u, v) of nodes(node, key, n, sketch) whose sets have at least that likeness, as a scratch table.
-
-    key: the hash of a text of docs with the node's set. Repeated pairs are compared once.
-    """
-    near = pairs.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    near = scratch_table(near, "pairs")
+def both_sides(rows: DataFrame, of_node: DataFrame, column: str) -> DataFrame:
+    """rows(u, v, ...) with that column of both nodes, as a and b; a node in very many pairs is dealt to many tasks."""
+    for side, name, other in (("v", "b", "u"), ("u", "a", "v")):
+        named = of_node.select(F.col("node").alias(side), F.col(column).alias(name), *([F.col("n").alias(f"n{side}")] if column == "sketch" else []))
+        rows = join_hot(rows, named, side, other)
+    return rows
 
-    def both(rows: DataFrame, of_node: DataFrame, column: str) -> DataFrame:
-        """rows(u, v) with that column of both nodes, as a and b; a node in very many pairs is dealt to many tasks."""
-        for side, name, other in (("v", "b", "u"), ("u", "a", "v")):
-            named = of_node.select(F.col("node").alias(side), F.col(column).alias(name), *([F.col("n").alias(f"n{side}")] if column == "sketch" else []))
-            rows = join_hot(rows, named, side, other)
-        return rows
 
-    sized = both(near, nodes, "sketch").where((F.least("nu", "nv") >= F.greatest("nu", "nv") * threshold - 1e-9))
-    likely = scratch_table(sized.select("u", "v", "a", "b").mapInArrow(_estimated(threshold), "u long, v long"), "likely")
-    asked = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
-    asked = scratch_table(asked, "asked")
+def sets_of(asked: DataFrame, docs: DataFrame, text_col: str, width: int, seed: int) -> DataFrame:
+    """asked(node, key) -> (node, hashes) as a scratch table: the set of each node, read from one text of docs with that key."""
+    asked = scratch_table(asked.select("node", "key"), "asked")
     texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
     wanted = asked.select("key")
     texts = texts.join(F.broadcast(wanted) if asked.count() <= SENT else wanted, "key", "left_semi")
     texts = texts.groupBy("key").agg(F.min("text").alias("text"))  # of copies, one; copies meet in the task that reads them
-    sets = scratch_table(asked.join(texts.mapInArrow(_sets(width, seed), "key long, hashes binary"), "key"), "sets")
-    return scratch_table(both(likely, sets, "hashes").select("u", "v", "a", "b").mapInArrow(_verified(threshold), "u long, v long"), "similar")
+    return scratch_table(asked.join(texts.mapInArrow(_sets(width, seed), "key long, hashes binary"), "key").select("node", "hashes"), "sets")
+
+
+def likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (u, v) of nodes(node, n, sketch), once each, that sizes and sketches don't rule out, as a scratch table."""
+    near = pairs.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    sized = both_sides(scratch_table(near, "pairs"), nodes, "sketch").where((F.least("nu", "nv") >= F.greatest("nu", "nv") * threshold - 1e-9))
+    return scratch_table(sized.select("u", "v", "a", "b").mapInArrow(_estimated(threshold), "u long, v long"), "likely")
+
+
+def verified_pairs(likely: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sets(node, hashes) have at least that likeness, as a scratch table."""
+    return scratch_table(both_sides(likely, sets, "hashes").select("u", "v", "a", "b").mapInArrow(_verified(threshold), "u long, v long"), "similar")
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, width: int, seed: int, threshold: float = THRESHOLD) -> DataFrame:
+    """Those of the pairs (u, v) of nodes(node, key, n, sketch) whose sets have at least that likeness, as a scratch table.
+
+    key: the hash of a text of docs with the node's set. Repeated pairs are compared once.
+    """
+    likely = likely_pairs(pairs, nodes, threshold)
+    asked = likely.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    return verified_pairs(likely, sets_of(asked, docs, text_col, width, seed), threshold)
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -131,17 +144,127 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.explode(F.transform("bands", lambda h, i: F.xxhash64(i, h))).alias("bucket"))
 
 
-def open_pairs(placed: DataFrame) -> DataFrame:
-    """placed(bucket, node, root): the pairs (u, v) of nodes that share a bucket and have different roots."""
-    rows = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    open_ = scratch_table(placed.join(rows, "bucket"), "open")
-    a = open_.select("bucket", F.col("node").alias("u"), F.col("root").alias("ru"))
-    b = open_.select("bucket", F.col("node").alias("v"), F.col("root").alias("rv"))
-    return a.join(b, "bucket").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv"))).select("u", "v")
-
-
 def least_pairs(rows: DataFrame) -> DataFrame:
     """rows(bucket, node): each node with the least of its bucket."""
     least = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     return join_hot(rows, least, "bucket", "node").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
 
+
+def open_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, node, root) of rows(bucket, node): the buckets whose nodes have several roots, as a scratch table."""
+    placed = rows.join(roots.select("node", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return scratch_table(join_hot(placed, several, "bucket", "node"), "open")
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, hashes) -> (node, n, hash) for each hash of the set."""
+    for batch in batches:
+        for node, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.frombuffer(hashes, np.int64)
+            for start in range(0, len(own), 1 << 16):
+                part = own[start : start + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), len(own))), pa.array(part)], names=["node", "n", "hash"])
+
+
+def rare_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node): nodes by the rarest shingles of their sets, as a scratch table.
+
+    Of n shingles the n - ceil(threshold * n) + 1 rarest ones: two sets of that likeness share one of these. Passages that many
+    sets share are their commonest shingles, and so bring no two together unless they make up nearly all of both.
+    """
+    every = scratch_table(sets.select("node", "hashes").mapInArrow(_hashes, "node long, n long, hash long"), "hashes")
+    shared = join_hot(every, every.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"), "hash", "node")
+    of_node = Window.partitionBy("node")  # the shingles of one text
+    ranked = shared.withColumns({"nth": F.row_number().over(of_node.orderBy("df", "hash")), "n_shared": F.count("*").over(of_node)})
+    rarest = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - (F.col("n") - F.col("n_shared"))  # the unshared ones are the rarest
+    keys = scratch_table(ranked.where(F.col("nth") <= rarest).select(F.col("hash").alias("bucket"), "node"), "keys")
+    drop_scratch(every)
+    return keys
+
+
+def _linked(threshold: float):
+    """A block of rows (node, root, left, hashes) -> links (u, v) that join the roots of alike sets, one on the left: a forest, never all pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, roots, left = (table[c].to_numpy() for c in ("node", "root", "left"))
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in table["hashes"]]
+        sizes, at = np.array(list(map(len, sets))), np.nonzero(left)[0]
+        values, owner = np.concatenate([sets[i] for i in at] or [np.empty(0, np.int64)]), np.repeat(np.arange(len(at)), sizes[at])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        found, us, vs = roots.copy(), [], []
+        for b in np.nonzero(~left)[0].tolist():
+            low, high = np.searchsorted(values, sets[b], "left"), np.searchsorted(values, sets[b], "right")
+            counts = high - low
+            rows = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            common = np.bincount(owner[rows], minlength=len(at))
+            alike = common >= threshold * (sizes[at] + sizes[b] - common) - 1e-9
+            for a in at[alike].tolist():
+                if found[a] != found[b]:
+                    us.append(nodes[a])
+                    vs.append(nodes[b])
+                    found[found == found[a]] = found[b]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return run
+
+
+#: Buckets of up to PAIRED nodes give their pairs; larger ones are compared in blocks of about BLOCK_NODES sets and BLOCK_HASHES hashes.
+PAIRED, BLOCK_NODES, BLOCK_HASHES = 8, 512, 1 << 21
+#: Rounds in which the nodes of a large bucket that isn't one component yet are compared with one of them, before all are.
+PIVOTS = 2
+
+
+def pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
+    """open_(bucket, node, root): each node with one of its bucket that a hash chooses anew each turn, if their roots differ."""
+    chosen = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "node").alias("h"), "node", "root")).alias("p"))
+    chosen = chosen.select("bucket", F.col("p.node").alias("u"), F.col("p.root").alias("ru"))
+    return join_hot(open_, chosen, "bucket", "node").where("root <> ru").select("u", F.col("node").alias("v"))
+
+
+def links_of_open(open_: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """open_(bucket, node, root) -> links (u, v) that join whatever is alike within a bucket, exactly.
+
+    In a large bucket the nodes outside its commonest root (the left side) meet all of its nodes, in blocks; so rows are
+    repeated once for each block of the left side, and only links leave a block. Buckets of the same nodes count once.
+    """
+    sized = open_.join(nodes.select("node", "n"), "node")
+    per = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("same"))
+    per = scratch_table(per.groupBy("same", "m").agg(F.min("bucket").alias("bucket")), "buckets")
+    small = open_.join(per.where(F.col("m") <= PAIRED).select("bucket"), "bucket")
+    a, b = (small.select("bucket", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "uv")
+    pairs = likely_pairs(a.join(b, "bucket").where("u < v and ru <> rv").select("u", "v"), nodes, threshold)
+    links = verified_pairs(pairs, sets, threshold)
+    large = per.where(F.col("m") > PAIRED).select("bucket")
+    if large.isEmpty():
+        return links
+    rows = scratch_table(join_hot(sized, large, "bucket", "node"), "large")
+    major = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("p"), F.sum("c").alias("m"))
+    rows = join_hot(rows, major.select("bucket", F.col("p.root").alias("major")), "bucket", "node").withColumn("minor", F.col("root") != F.col("major")).drop("major")
+    blocks = lambda ok: F.greatest(F.lit(1), F.ceil(F.sum(F.when(ok, 1)) / BLOCK_NODES), F.ceil(F.sum(F.when(ok, F.col("n"))) / BLOCK_HASHES)).cast("int")
+    dealt = rows.groupBy("bucket").agg(blocks(F.col("minor")).alias("n_left"), blocks(F.lit(True)).alias("n_right"))
+    rows = scratch_table(join_hot(rows, dealt, "bucket", "node"), "dealt")
+    own = lambda n: F.pmod(F.hash("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("minor").select("bucket", "node", "root", F.lit(True).alias("left"), own("n_left").alias("i"), every("n_right").alias("j"))
+    right = rows.select("bucket", "node", "root", F.lit(False).alias("left"), every("n_left").alias("i"), own("n_right").alias("j"))
+    met = join_hot(left.unionByName(right), sets, "node", "bucket")
+    return links.unionByName(scratch_table(met.groupBy("bucket", "i", "j").applyInArrow(_linked(threshold), "u long, v long"), "met"))
+
+
+def remaining_links(open_: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, width: int, seed: int, threshold: float = THRESHOLD) -> DataFrame:
+    """open_(bucket, node, root): buckets that aren't one component yet; roots(node, root) -> the links (u, v) still missing."""
+    asked = open_.select("node").distinct().join(nodes.select("node", "key"), "node")
+    sets = sets_of(asked, docs, text_col, width, seed)
+    keys = rare_keys(sets, threshold)
+    found = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
+    for turn in range(PIVOTS):
+        open_ = open_rows(keys, roots)
+        crowded = open_.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_NODES).select("bucket")
+        if crowded.isEmpty():
+            break
+        pairs = pivot_pairs(join_hot(open_, crowded, "bucket", "node"), turn)
+        found = found.unionByName(verified_pairs(likely_pairs(pairs, nodes, threshold), sets, threshold))
+        roots = scratch_table(connected_components(found), "roots")
+    return found.unionByName(links_of_open(open_rows(keys, roots), nodes, sets, threshold))

@@ -339,9 +339,12 @@ def _sketched(width: int, seed: int):
 def likeness_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, threshold: float = shingle_sets.THRESHOLD) -> DataFrame:
     """One row per document: (id, key, root), with one root for documents joined by chains of Jaccard likeness >= threshold.
 
-    Equal sets of shingles are one node; all texts without words are one. Candidates are the links of fingerprints and
-    the nodes that share a minwise band, at first each with the least of its bucket, so that a large group of near
-    copies doesn't give all its pairs; then those of a bucket that the first ones left unconnected.
+    Equal sets of shingles are one node; all texts without words (null ones too) are one. Candidates are the links of
+    fingerprints and the nodes that share a minwise band, each with the least of its bucket. The nodes of buckets that this leaves
+    in several components are compared exactly through their rarest shingles (``shingle_sets.remaining_links``), so
+    neither a large group of near copies nor a passage that very many texts share gives all its pairs.
+    Rows with null or repeated ids and repeated rows are kept, an empty table gives an empty one, texts of any length
+    are read whole, and other columns aren't read.
     """
     if threshold < shingle_sets.THRESHOLD:
         raise ValueError(f"the bands find likeness of {shingle_sets.THRESHOLD} or more, not {threshold}")
@@ -360,9 +363,8 @@ def likeness_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = shingle_sets.least_pairs(buckets).unionByName(of_prints).unionByName(of_links)
     first = shingle_sets.similar_pairs(first, nodes, docs, text_col, width, seed, threshold)
     roots = scratch_table(connected_components(first), "roots")
-    placed = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    second = shingle_sets.similar_pairs(shingle_sets.open_pairs(placed), nodes, docs, text_col, width, seed, threshold)
-    roots = connected_components(first.unionByName(second)).select(F.col("node").alias("of_node"), "root")
+    open_ = shingle_sets.open_rows(buckets, roots)
+    roots = connected_components(shingle_sets.remaining_links(open_, roots, nodes, docs, text_col, width, seed, threshold)).select(F.col("node").alias("of_node"), "root")
     named = scratch_table(nodes.select("node").join(roots, F.col("node") == F.col("of_node"), "left").select("node", F.coalesce("root", "node").alias("root")), "named")
     drop_scratch(buckets, prints, links, nodes)
     return rows.select("id", "key", "node").join(named, "node").select("id", "key", "root")
