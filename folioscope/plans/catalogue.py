@@ -12,7 +12,7 @@ from folioscope.functions import vectors as V
 from folioscope.functions import voting
 from folioscope.operators import chunks as C
 from folioscope.operators import consensus, indices, prompts, providers, search, terms, views
-from folioscope.plans import corpus
+from folioscope.plans import corpus, indexing
 from folioscope.plans.sql import ORACLES
 from folioscope.sources import files, layout
 from folioscope.streaming import ingest
@@ -714,8 +714,8 @@ def token_document_counts(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **indexing.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in _QUERIES}
+    return {**{k: v for k, v in ORACLES.items() if k in _QUERIES}, **indexing.ORACLES}
