@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.postings import SEGMENT, segmented_index
+
 
 def inverted_index(occurrences: DataFrame, by: list[str], of: list[str], name: str) -> DataFrame:
     """by -> the set of of (a struct if several columns), sorted."""
@@ -12,16 +14,26 @@ def inverted_index(occurrences: DataFrame, by: list[str], of: list[str], name: s
     return occurrences.groupBy(*by).agg(F.sort_array(F.collect_set(value)).alias(name))
 
 
-def search_indices(occurrences: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-    """The indices of occurrences(term, doc_id, page, chunk_index) and chunks, by name."""
-    return {
-        "term_to_chunks": inverted_index(occurrences, ["term"], ["doc_id", "chunk_index"], "chunks"),
-        "term_to_pages": inverted_index(occurrences, ["term"], ["doc_id", "page"], "pages"),
-        "term_to_documents": inverted_index(occurrences, ["term"], ["doc_id"], "documents"),
-        "document_to_terms": inverted_index(occurrences, ["doc_id"], ["term"], "terms"),
-        "document_to_chunks": inverted_index(chunks, ["doc_id"], ["chunk_id"], "chunks"),
-        "page_to_chunks": inverted_index(chunks, ["doc_id", "page"], ["chunk_id"], "chunks"),
-    }
+#: The indices of a knowledge base: what they read (occurrences or chunks), their keys and their values.
+SEARCH_INDICES = {
+    "term_to_chunks": ("occurrences", ["term"], ["doc_id", "chunk_index"]),
+    "term_to_pages": ("occurrences", ["term"], ["doc_id", "page"]),
+    "term_to_documents": ("occurrences", ["term"], ["doc_id"]),
+    "document_to_terms": ("occurrences", ["doc_id"], ["term"]),
+    "document_to_chunks": ("chunks", ["doc_id"], ["chunk_id"]),
+    "page_to_chunks": ("chunks", ["doc_id", "page"], ["chunk_id"]),
+}
+
+
+def search_index(name: str, occurrences: DataFrame, chunks: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """One of SEARCH_INDICES of occurrences(term, doc_id, page, chunk_index) and chunks, in segments of at most size values."""
+    of, by, values = SEARCH_INDICES[name]
+    return segmented_index(occurrences if of == "occurrences" else chunks, by, values, size)
+
+
+def search_indices(occurrences: DataFrame, chunks: DataFrame, size: int = SEGMENT) -> dict[str, DataFrame]:
+    """All SEARCH_INDICES by name."""
+    return {name: search_index(name, occurrences, chunks, size) for name in SEARCH_INDICES}
 
 
 def chunk_terms(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:

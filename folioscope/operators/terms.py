@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.fuzzy import expansion_match, fuzzy_scores
-from folioscope.functions.text import normalize_term, proximity_weight, term_positions, whole_word
+from folioscope.functions.text import normalize_term, proximity_weight, whole_word
+from folioscope.operators.postings import whole_word_positions
 from folioscope.operators.search import primary_terms
 
 TOP_COOCCURRENCES = 10
@@ -60,9 +61,10 @@ def chunk_matches(terms: DataFrame, chunks: DataFrame) -> DataFrame:
     return named.join(chunks, "doc_id").where(F.regexp_count(F.lower("text"), whole_word(F.col("term"))) > 0)
 
 
-def chunk_positions(terms: DataFrame, chunks: DataFrame) -> DataFrame:
-    """chunk_matches with the positions of the term."""
-    return chunk_matches(terms, chunks).withColumn("positions", term_positions(F.col("term"), F.col("text")))
+def chunk_positions(terms: DataFrame, chunks: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """terms(term, doc_id), chunks -> chunk_matches with the positions of the term, by a positional index of the chunks."""
+    found = whole_word_positions(terms, chunks, index)
+    return found.join(chunks, ["doc_id", "chunk_index"])
 
 
 def term_contexts(occurrences: DataFrame, matches: DataFrame) -> DataFrame:

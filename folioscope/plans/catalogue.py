@@ -235,7 +235,7 @@ def inverted_index(spark, d):
 
 @query
 def page_chunk_index(spark, d):
-    return indices.search_indices(_keywords(spark, d), _chunks(spark, d))["page_to_chunks"].select("doc_id", "page", _joined("chunks"))
+    return indices.inverted_index(_chunks(spark, d), ["doc_id", "page"], ["chunk_id"], "chunks").select("doc_id", "page", _joined("chunks"))
 
 
 @query

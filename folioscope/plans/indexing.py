@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.operators import chunks as C
+from folioscope.operators import indices, postings
 from folioscope.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +114,82 @@ def ruled_tables(spark, d):
     cell = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("["), c, F.lit("]")))
     rows = F.transform("data", lambda r: F.array_join(F.transform(r, cell), "|"))
     return found.select("doc_id", "table", "x0", "top", "x1", "bottom", "rows", "columns", F.array_join(rows, "#").alias("data"))
+
+
+# --- postings ---------------------------------------------------------------------------------------------------------
+
+_CHUNKS_SQL = """
+chunks AS (
+  SELECT doc_id, doc_id || '_p1_c' || pos AS chunk_id, pos AS chunk_index, 1::INTEGER AS page, text
+  FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos
+        FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)))"""
+
+_WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
+_WORDS_SQL = f"""
+folded AS (SELECT doc_id, chunk_index, lower(text) AS text FROM chunks),
+cut AS (SELECT doc_id, chunk_index, regexp_extract_all(text, '{_WORD}') AS w, string_split_regex(text, '{_WORD}') AS g FROM folded),
+tokens AS MATERIALIZED (
+  SELECT doc_id, chunk_index, nth, token, gap, (sum(length(gap) + length(token)) OVER (PARTITION BY doc_id, chunk_index ORDER BY nth))::BIGINT - length(token) AS start
+  FROM (SELECT doc_id, chunk_index, unnest(w) AS token, unnest(g[:len(w)]) AS gap, generate_subscripts(w, 1) AS nth FROM cut))"""
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return C.document_chunks(C.spread(_table(spark, d, "documents")))
+
+
+def _occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Every word of every chunk, in any alphabet."""
+    return postings.positional_tokens(_chunks(spark, d)).select(F.col("token").alias("term"), "doc_id", F.lit(1).alias("page"), "chunk_index")
+
+
+def _index_sql(name: str) -> str:
+    of, by, values = indices.SEARCH_INDICES[name]
+    keys, value = ", ".join(by), " || '/' || ".join(f"{c}::VARCHAR" for c in values)
+    source = "(SELECT DISTINCT token AS term, doc_id, 1::INTEGER AS page, chunk_index FROM tokens)" if of == "occurrences" else "chunks"
+    return f"""
+WITH {_CHUNKS_SQL}{"," + _WORDS_SQL if of == "occurrences" else ""},
+pairs AS (SELECT DISTINCT {keys}, {", ".join(f"{c} AS v{i}" for i, c in enumerate(values))}, {value} AS value FROM {source}),
+numbered AS (
+  SELECT *, (row_number() OVER (PARTITION BY {keys} ORDER BY {", ".join(f"v{i}" for i in range(len(values)))}) - 1) // {postings.SEGMENT} AS segment,
+         ((count(*) OVER (PARTITION BY {keys}) + {postings.SEGMENT - 1}) // {postings.SEGMENT})::BIGINT AS n_segments FROM pairs)
+SELECT {keys}, segment::BIGINT AS segment, n_segments, string_agg(value, ',' ORDER BY {", ".join(f"v{i}" for i in range(len(values)))}) AS "values" FROM numbered GROUP BY {keys}, segment, n_segments
+"""
+
+
+def _index_query(name: str):
+    def run(spark, d):
+        of, by, values = indices.SEARCH_INDICES[name]
+        found = indices.search_index(name, _occurrences(spark, d) if of == "occurrences" else None, _chunks(spark, d))
+        said = (lambda v: F.concat_ws("/", *(v[c].cast("string") for c in values))) if len(values) > 1 else (lambda v: v.cast("string"))
+        return found.select(*by, "segment", "n_segments", F.array_join(F.transform("values", said), ",").alias("values"))
+
+    run.__name__ = f"index_{name}"
+    return run
+
+
+for _name in indices.SEARCH_INDICES:
+    query(_index_sql(_name))(_index_query(_name))
+
+
+_PHRASES_SQL = f"""
+WITH {_CHUNKS_SQL},{_WORDS_SQL},
+first AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}')[:2] AS w FROM benchmark),
+phrases AS (SELECT DISTINCT unnest([w[1], w[1] || ' ' || w[2], w[2] || ', ' || w[1]]) AS term FROM first WHERE len(w) = 2),
+asked AS (
+  SELECT term, unnest(w) AS token, unnest(g[:len(w)]) AS wanted, generate_subscripts(w, 1) - 1 AS i, len(w) AS n
+  FROM (SELECT term, regexp_extract_all(term, '{_WORD}') AS w, string_split_regex(term, '{_WORD}') AS g FROM phrases)),
+begun AS (
+  SELECT term, doc_id, chunk_index, nth - i AS first, min(start) AS start FROM asked JOIN tokens USING (token)
+  WHERE i = 0 OR gap = wanted GROUP BY term, n, doc_id, chunk_index, nth - i HAVING count(*) = n)
+SELECT term, doc_id, chunk_index, string_agg(start, ',' ORDER BY start) AS positions FROM begun GROUP BY ALL
+"""
+
+
+@query(_PHRASES_SQL)
+def phrase_positions(spark, d):
+    """Words and two-word phrases of the benchmark, wherever they stand in the documents."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(postings.WORD), F.lit(0))
+    pair = _table(spark, d, "benchmark").select(words.alias("w")).where(F.size("w") >= 2)
+    terms = pair.select(F.explode(F.array(F.col("w")[0], F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), F.concat_ws(", ", F.col("w")[1], F.col("w")[0]))).alias("term"))
+    found = postings.phrase_positions(postings.positional_index(_chunks(spark, d)), terms.distinct())
+    return found.select("term", "doc_id", "chunk_index", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
