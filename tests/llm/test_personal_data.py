@@ -7,7 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import arrays, personal_data, personal_data_sql, queries
+from folioscope.functions import arrays
+from folioscope.llm import personal_data, personal_data_sql, queries
 from tests.llm.test_operators import ODD, SCHEMA
 
 PLAIN = {
