@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import count_substring
 from folioscope.functions.vectors import cosine, literal_vector
+from folioscope.operators.vector_index import batch_top_k  # noqa: F401 - part of search
 
 K, THRESHOLD, MAX_COOCCURRENCES = 10, 0.1, 5
 FREQUENCY_WEIGHT, DIVERSITY_WEIGHT = 0.7, 0.3
@@ -30,18 +31,6 @@ def top_k(vectors: DataFrame, query: list[float], k: int = K, threshold: float |
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, threshold: float | None = None, id_col: str = "chunk_id", vector_col: str = "vector") -> DataFrame:
-    """queries(query_id, query_vector) -> the k best rows of vectors for each, with score and rank.
-
-    The stated queries are the side that is copied to all rows; each task keeps k rows a query before any shuffle.
-    """
-    pairs = vectors.join(queries.select("query_id", "query_vector"), F.lit(True))
-    scored = pairs.withColumn("score", F.round(cosine(F.col(vector_col), F.col("query_vector")), 9)).drop("query_vector")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best if threshold is None else best.where(F.col("score") >= threshold)
-
-
 #: Terms that one automaton finds in a pass over the texts; more are looked for in several passes.
 AUTOMATON_TERMS = 200_000
 

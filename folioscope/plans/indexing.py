@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.operators import chunks as C
-from folioscope.operators import indices, postings
+from folioscope.operators import indices, postings, vector_index
 from folioscope.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,23 @@ def phrase_positions(spark, d):
     terms = pair.select(F.explode(F.array(F.col("w")[0], F.concat_ws(" ", F.col("w")[0], F.col("w")[1]), F.concat_ws(", ", F.col("w")[1], F.col("w")[0]))).alias("term"))
     found = postings.phrase_positions(postings.positional_index(_chunks(spark, d)), terms.distinct())
     return found.select("term", "doc_id", "chunk_index", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
+# --- vector index -----------------------------------------------------------------------------------------------------
+
+_TOP_SQL = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, e.vec_id, q.embedding::DOUBLE[] AS a, e.embedding::DOUBLE[] AS b FROM embeddings q JOIN embeddings e ON q.vec_id % 20 = 0),
+scored AS (SELECT query_id, vec_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 9) AS score FROM pairs)
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
+@query(_TOP_SQL)
+def vector_index_topk(spark, d):
+    """Every row whose id is divisible by 20 against all rows, by the index."""
+    e = _table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = vector_index.VectorIndex.build(e, "vec_id", "embedding").search(asked, 10, id_col="vec_id")
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
