@@ -65,7 +65,45 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def fuzzy_score(full_form: str, keyword: str) -> float:
-    return 0.7 * token_set_ratio(full_form, keyword) / 100 + 0.3 * partial_ratio(full_form, keyword) / 100
+    return SET_SHARE * token_set_ratio(full_form, keyword) / 100 + PART_SHARE * partial_ratio(full_form, keyword) / 100
+
+
+# --- what a score needs -----------------------------------------------------------------------------------------------
+# With B characters in common (counted with repeats), the longest common subsequence of two strings is at most B. Without a common
+# word the set ratio is then at most 2 B / (x + y) for the lengths x and y of the sorted words, and the partial ratio, whose window may be as short as what is
+# common, at most 2 B / (s + B) for the shorter length s.
+
+SET_SHARE, PART_SHARE = 0.7, 0.3
+
+
+def character_elements(text: Column) -> Column:
+    """A string's characters, the k-th occurrence of one as the character and k; white space is one character."""
+    each = F.filter(F.split(F.regexp_replace(text, r"\s", " "), ""), lambda c: c != "")
+    step = lambda seen, c: F.struct(F.map_concat(F.map_filter(seen["n"], lambda k, _: k != c), F.create_map(c, F.coalesce(F.try_element_at(seen["n"], c), F.lit(0)) + 1)).alias("n"), F.array_append(seen["e"], F.concat(c, (F.coalesce(F.try_element_at(seen["n"], c), F.lit(0)) + 1).cast("string"))).alias("e"))
+    none = F.struct(F.create_map().cast("map<string,int>").alias("n"), F.array().cast("array<string>").alias("e"))
+    return F.aggregate(each, none, step)["e"]
+
+
+def set_length(text: Column) -> Column:
+    """Length of a string's distinct words with blanks between."""
+    words = F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.length(F.array_join(words, " "))
+
+
+def partner_lengths(length: Column, threshold: float) -> Column:
+    """The set lengths that a string without a common word must have to reach the threshold (over PART_SHARE) with one of this length."""
+    r = (threshold - PART_SHARE) / (2 * SET_SHARE + PART_SHARE - threshold)
+    low, high = F.greatest(F.ceil(length * r - 1e-9), F.lit(1)).cast("int"), F.floor(length / r + 1e-9).cast("int")
+    return F.when((length > 0) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
+def characters_needed(x: Column, y: Column, threshold: float) -> Column:
+    """The least number of common characters with which strings of set lengths x and y, without a common word, can reach the threshold."""
+    least = F.least(x, y)
+    p = F.lit(2 * SET_SHARE) / (x + y)
+    q = p * least + (2 * PART_SHARE - threshold)
+    root = (F.sqrt(q * q + 4 * p * threshold * least) - q) / (2 * p)
+    return F.least(F.ceil(root - 1e-6), least).cast("int")
 
 
 @F.pandas_udf(DoubleType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.fuzzy import expansion_match, fuzzy_scores
+from folioscope.functions.fuzzy import PART_SHARE, character_elements, characters_needed, expansion_match, fuzzy_scores, partner_lengths, set_length
 from folioscope.functions.text import normalize_term, proximity_weight, whole_word
 from folioscope.operators.postings import whole_word_positions
 from folioscope.operators.search import primary_terms
@@ -121,27 +121,70 @@ def merge_cooccurrences(a: DataFrame, b: DataFrame, top: int = TOP_COOCCURRENCES
     return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def _rarest(rows: DataFrame, mine: str, theirs: str, ranks: DataFrame, lengths: DataFrame, threshold: float) -> DataFrame:
+    """rows(name, folded, size): (key..., name, folded): each string by the characters of which a partner of a length must share one.
+
+    If two strings share at least so many of their characters, the rarest of each, all but that many less one, have one in common.
+    """
+    each = rows.select("name", "folded", F.col("size").alias(mine), F.explode(partner_lengths(F.col("size"), threshold)).alias(theirs)).join(F.broadcast(lengths), theirs, "left_semi")  # a row for each length
+    elements = rows.select("name", "folded", F.explode(character_elements(F.col("folded"))).alias("element")).join(ranks, "element")
+    ordered = elements.groupBy("name", "folded").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "element"))), lambda e: e["element"]).alias("elements"))  # of one string
+    needed = characters_needed(F.col(mine), F.col(theirs), threshold)
+    keyed = each.join(ordered, ["name", "folded"]).select("name", "folded", mine, theirs, F.explode(F.slice("elements", F.lit(1), F.greatest(F.size("elements") - needed + 1, F.lit(0)))).alias("element"))
+    return keyed
+
+
+def fuzzy_candidates(acronyms: DataFrame, keywords: DataFrame, threshold: float) -> DataFrame:
+    """acronyms(name, folded), keywords(name, folded) -> (acronym, full, keyword, key), distinct: every pair whose fuzzy score can reach the threshold.
+
+    Pairs with a common word, and pairs whose common characters are enough for their lengths: exact bounds (see functions.fuzzy), so no
+    pair is lost. Both are equality joins. The threshold must be above the partial ratio's share.
+    """
+    sides = [df.select("name", "folded").distinct().withColumn("size", set_length(F.col("folded"))) for df in (acronyms, keywords)]
+    a, k = sides
+    words = [df.select("name", "folded", F.explode(F.array_distinct(F.split("folded", r"\s+"))).alias("word")).where("word <> ''") for df in sides]
+    shared = words[0].toDF("acronym", "full", "word").join(words[1].toDF("keyword", "key", "word"), "word").drop("word")
+    ranks = a.unionByName(k).select(F.explode(character_elements(F.col("folded"))).alias("element")).groupBy("element").agg(F.count("*").alias("n"))
+    lengths = [df.select("size").distinct() for df in sides]
+    left = _rarest(a, "x", "y", ranks, lengths[1].withColumnRenamed("size", "y"), threshold).select("x", "y", "element", F.col("name").alias("acronym"), F.col("folded").alias("full"))
+    right = _rarest(k, "y", "x", ranks, lengths[0].withColumnRenamed("size", "x"), threshold).select("x", "y", "element", F.col("name").alias("keyword"), F.col("folded").alias("key"))
+    met = left.join(right, ["x", "y", "element"]).select("acronym", "full", "keyword", "key", "x", "y").distinct()
+    common = F.size(F.array_intersect(character_elements(F.col("full")), character_elements(F.col("key"))))
+    enough = met.where(common >= characters_needed(F.col("x"), F.col("y"), threshold)).select("acronym", "full", "keyword", "key")
+    return shared.select("acronym", "full", "keyword", "key").unionByName(enough).distinct()
+
+
 def link_terms(acronyms: DataFrame, keywords: DataFrame, threshold: float = LINKING_THRESHOLD, fuzzy: bool = True) -> DataFrame:
     """acronyms(term, full_form) x keywords(term) -> links (acronym, keyword, match_score >= threshold).
 
-    Keywords that a full form contains are found by automata of the keywords, and scored by an expression. If fuzzy,
-    all other pairs are scored by an Arrow function, as that measure can't be turned into keys; the acronyms, whose
-    number a vocabulary bounds, are then the side that is copied. Acronyms without a full form have no links.
+    Keywords that a full form contains are found by automata of the keywords, and scored by an expression. If fuzzy, the other
+    pairs come from fuzzy_candidates and are scored by an Arrow function. Below a threshold of PART_SHARE nearly all pairs are
+    links, so that all are formed; at 0 keywords of one character or none are too. Acronyms without a full form have
+    no links. Repeated rows give repeated links.
     """
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must lie between 0 and 1")
     a = acronyms.where(F.coalesce(F.col("full_form"), F.lit("")) != "").select(F.col("term").alias("acronym"), "full_form")
-    if not fuzzy and threshold > 0:
-        named = a.select(F.struct("acronym", "full_form").alias("result_id"), F.col("full_form").alias("text"))
-        found = primary_terms(named, keywords.select(F.col("term").alias("term_key")))
-        pairs = found.select("result_id.acronym", "result_id.full_form", F.col("term_key").alias("keyword"))
-    else:
-        pairs = keywords.select(F.col("term").alias("keyword")).join(a, F.lit(True))
     decided, score = expansion_match(F.col("full_form"), F.col("keyword"))
+    if threshold <= PART_SHARE:
+        pairs = keywords.select(F.col("term").alias("keyword")).join(a, F.lit(True))
+        direct = pairs.where(decided).select("acronym", "keyword", score.alias("match_score"))
+        if fuzzy:
+            direct = direct.unionByName(pairs.where(~decided).select("acronym", "keyword", fuzzy_scores(F.lower("full_form"), F.lower("keyword")).alias("match_score")))
+        return direct.where(F.col("match_score") >= threshold)
+    named = a.select(F.struct("acronym", "full_form").alias("result_id"), F.col("full_form").alias("text"))
+    found = primary_terms(named, keywords.select(F.col("term").alias("term_key")))
+    pairs = found.select("result_id.acronym", "result_id.full_form", F.col("term_key").alias("keyword"))
     direct = pairs.where(decided).select("acronym", "keyword", score.alias("match_score"))
     if fuzzy:
-        rest = pairs.where(~decided).select("acronym", "keyword", fuzzy_scores(F.lower("full_form"), F.lower("keyword")).alias("match_score"))
-        direct = direct.unionByName(rest)
+        folded_a = a.select(F.col("acronym").alias("name"), F.lower("full_form").alias("folded"))
+        folded_k = keywords.select(F.col("term").alias("name"), F.lower("term").alias("folded")).where(F.length("name") > 1)
+        likely = fuzzy_candidates(folded_a, folded_k, threshold).where(~F.contains("full", "key"))
+        scored = likely.select("acronym", "full", "keyword", fuzzy_scores("full", "key").alias("match_score")).where(F.col("match_score") >= threshold)
+        # back to the rows as they were given, with their repeats
+        rows_a = a.select("acronym", F.lower("full_form").alias("full"))
+        scored = scored.join(rows_a, ["acronym", "full"]).join(keywords.select(F.col("term").alias("keyword")), "keyword")
+        direct = direct.unionByName(scored.select("acronym", "keyword", "match_score"))
     return direct.where(F.col("match_score") >= threshold)
 
 
