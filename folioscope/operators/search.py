@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import count_substring
 from folioscope.functions.vectors import cosine, literal_vector
 from folioscope.operators.vector_index import batch_top_k  # noqa: F401 - part of search
+from folioscope.sources.scratch import written
 
 K, THRESHOLD, MAX_COOCCURRENCES = 10, 0.1, 5
 FREQUENCY_WEIGHT, DIVERSITY_WEIGHT = 0.7, 0.3
@@ -91,6 +92,25 @@ def related_terms(primary: DataFrame, terms: DataFrame, links: DataFrame, compan
     return keys.join(terms, "term_key")
 
 
+def related_to_depth(primary: DataFrame, terms: DataFrame, links: DataFrame, companions: DataFrame, depth: int, max_cooccurrences: int = MAX_COOCCURRENCES, save=written) -> DataFrame:
+    """(result_id, term_key, hops): the terms within depth hops of a result's primary terms, each with the least number of hops.
+
+    A hop is that of related_terms. Each round joins only the terms that the last one reached for the first time, and what was
+    reached before is left out, so that cycles end; the primary terms themselves are at 0 hops and aren't returned.
+    save(df, name) writes a round's table.
+    """
+    known = terms.select("term_key", "term", "term_type")
+    frontier = primary.select("result_id", "term").distinct().join(known, "term").select("result_id", "term_key", "term", "term_type").distinct()
+    reached = save(frontier.select("result_id", "term_key", F.lit(0).alias("hops")), "reached")
+    for hop in range(1, depth + 1):
+        found = related_terms(frontier, known, links, companions, max_cooccurrences).select("result_id", "term_key", "term", "term_type")
+        frontier = save(found.join(reached, ["result_id", "term_key"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        reached = save(reached.unionByName(frontier.select("result_id", "term_key", F.lit(hop).alias("hops"))), "reached")
+    return reached.where("hops > 0")
+
+
 def relations_of(names: DataFrame, terms: DataFrame, links: DataFrame, companions: DataFrame, max_cooccurrences: int = MAX_COOCCURRENCES) -> DataFrame:
     """names(term_key) -> (term_key, kind, related, place): the terms related to each name that is a term's key.
 

@@ -588,6 +588,14 @@ def related_terms_linked(spark, d):
     return search.related_terms(results, t, links, c).select("result_id", "term_key")
 
 
+@query
+def related_terms_three_hops(spark, d):
+    """Terms within three hops of the names of every tenth part, over links and companions with many cycles."""
+    t, links, c = _part_relations(spark, d)
+    results = _table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("result_id"), F.col("p_name").alias("term"))
+    return search.related_to_depth(results, t, links, c, 3)
+
+
 @query
 def term_relations(spark, d):
     t, links, c = _part_relations(spark, d)

@@ -447,6 +447,17 @@ near AS (
   WHERE rank <= 5 AND other IN (SELECT term_key FROM known) AND (term_key, other) NOT IN (SELECT term_key, related FROM linked))
 SELECT term_key, kind, related, row_number() OVER (PARTITION BY term_key ORDER BY kind = 'companion', rank, related) AS place
 FROM (SELECT term_key, 'link' AS kind, related, 0 AS rank FROM linked UNION ALL SELECT term_key, 'companion', related, rank FROM near)""",
+    "related_terms_three_hops": f"""
+WITH RECURSIVE {_PART_RELATIONS},
+hop AS (
+  SELECT acronym AS term_key, keyword AS other FROM links SEMI JOIN (SELECT term_key FROM known WHERE term_type = 'acronym') k ON k.term_key = acronym
+  UNION SELECT keyword, acronym FROM links SEMI JOIN (SELECT term_key FROM known WHERE term_type = 'keyword') k ON k.term_key = keyword
+  UNION SELECT term, other FROM companions WHERE rank <= 5),
+steps AS MATERIALIZED (SELECT DISTINCT h.term_key, other FROM hop h SEMI JOIN known k ON k.term_key = h.term_key SEMI JOIN known o ON o.term_key = h.other),
+reach AS (
+  SELECT p_partkey AS result_id, p_name AS term_key, 0 AS hops FROM part WHERE p_partkey % 10 = 0
+  UNION SELECT result_id, other, hops + 1 FROM reach r JOIN steps s ON s.term_key = r.term_key WHERE hops < 3)
+SELECT result_id, term_key, min(hops)::INTEGER AS hops FROM reach GROUP BY ALL HAVING min(hops) > 0""",
     "search_with_links": f"""
 WITH {_PART_RELATIONS},
 found AS (SELECT p_partkey AS result_id, lower(p_name || ' ' || p_type) AS t, p_size / 100::DOUBLE AS score FROM part WHERE p_partkey % 50 = 0),
