@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from folioscope.functions.vectors import log_bin, semantic_bucket
 
@@ -123,26 +120,59 @@ def in_range(a: Column, b: Column, tolerance: float | None = None) -> Column:
     return F.abs(a - b) <= F.lit(tolerance or 0.1) * F.greatest(F.abs(a), F.abs(b), F.lit(1))
 
 
-def ordered_matches(a: Column, b: Column, threshold: float = 0.8) -> Column:
-    """Arrays of one length with enough equal places."""
-    hits = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda h: h))
+def items_alike(a: Column, b: Column, spec: VotingField | None = None) -> Column:
+    """Whether two items of a list match: structs by their fields, if a spec names any, else equal ones."""
+    return struct_matches(a, b, spec) if spec is not None and spec.fields else a.eqNullSafe(b)
+
+
+def ordered_matches(a: Column, b: Column, threshold: float = 0.8, spec: VotingField | None = None) -> Column:
+    """Arrays of one length with enough matching places."""
+    hits = F.size(F.filter(F.zip_with(a, b, lambda x, y: items_alike(x, y, spec)), lambda h: h))
     return F.when(F.size(a) != F.size(b), False).when(F.size(a) == 0, True).otherwise(hits / F.size(a) >= threshold)
 
 
+def matched_items(a: Column, b: Column, spec: VotingField) -> Column:
+    """The number of items of a that find a partner in b, one to one: each takes the first item of b that matches and is still free."""
+    places = F.sequence(F.lit(0), F.greatest(F.size(b) - 1, F.lit(0)))
+
+    def step(used: Column, x: Column) -> Column:
+        free = F.filter(places, lambda j: ~F.array_contains(used, j) & items_alike(x, F.get(b, j), spec))
+        return F.when(F.size(free) > 0, F.array_append(used, F.get(free, F.lit(0)))).otherwise(used)
+
+    return F.when(F.size(b) == 0, 0).otherwise(F.size(F.aggregate(a, F.array().cast("array<int>"), step)))
+
+
+def by_item_key(items: Column, fields: list[str]) -> Column:
+    """An array of structs in the order of their item keys, equal ones as they stand."""
+    keyed = F.transform(items, lambda x, i: F.struct(item_key(x, fields).alias("key"), i.alias("i"), x.alias("item")))
+    before = lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(x["i"] - y["i"])
+    return F.transform(F.array_sort(keyed, before), lambda k: k["item"])
+
+
 def shared_items(a: Column, b: Column) -> Column:
     """The number of items two arrays share, each as often as in both."""
     each = F.transform(F.array_distinct(a), lambda x: F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
     return F.aggregate(each, F.lit(0), lambda s, n: s + n)
 
 
-def unordered_matches(a: Column, b: Column, threshold: float = 0.8, alike: bool = False) -> Column:
-    """Arrays that share enough of the longer one's items; one empty array matches only if alike and the threshold is 0."""
+def unordered_matches(a: Column, b: Column, threshold: float = 0.8, alike: bool = False, spec: VotingField | None = None) -> Column:
+    """Arrays that share enough of the longer one's items; one empty array matches only if alike and the threshold is 0.
+
+    Structs of which a spec names the fields find partners one to one: in their order, or, if alike, the shorter array's in the order of their keys.
+    """
     na, nb = F.size(a), F.size(b)
     one_empty = F.lit(alike and threshold <= 0)
-    return F.when((na == 0) & (nb == 0), True).when((na == 0) | (nb == 0), one_empty).otherwise(shared_items(a, b) / F.greatest(na, nb) >= threshold)
+    if spec is None or not spec.fields:
+        shared = shared_items(a, b)
+    elif alike:
+        left, right = (by_item_key(x, list(spec.fields)) for x in (a, b))
+        shared = matched_items(F.when(na <= nb, left).otherwise(right), F.when(na <= nb, right).otherwise(left), spec)
+    else:
+        shared = matched_items(a, b, spec)
+    return F.when((na == 0) & (nb == 0), True).when((na == 0) | (nb == 0), one_empty).otherwise(shared / F.greatest(na, nb) >= threshold)
 
 
-def ordered_alike_matches(a: Column, b: Column, threshold: float = 0.8) -> Column:
+def ordered_alike_matches(a: Column, b: Column, threshold: float = 0.8, spec: VotingField | None = None) -> Column:
     """Arrays where the shorter, laid at its best place in the longer, has enough equal places, or the common start
     is enough of the longer."""
     na, nb = F.size(a), F.size(b)
@@ -150,10 +180,10 @@ def ordered_alike_matches(a: Column, b: Column, threshold: float = 0.8) -> Colum
     n, m = F.least(na, nb), F.greatest(na, nb)
 
     def hits(at: Column) -> Column:
-        return F.size(F.filter(F.zip_with(short, F.slice(long, at + 1, n), lambda x, y: x.eqNullSafe(y)), lambda h: h)) / n
+        return F.size(F.filter(F.zip_with(short, F.slice(long, at + 1, n), lambda x, y: items_alike(x, y, spec)), lambda h: h)) / n
 
     best = F.array_max(F.transform(F.sequence(F.lit(0), m - n), hits))
-    same = F.zip_with(F.slice(short, F.lit(1), n), F.slice(long, F.lit(1), n), lambda x, y: x.eqNullSafe(y))
+    same = F.zip_with(F.slice(short, F.lit(1), n), F.slice(long, F.lit(1), n), lambda x, y: items_alike(x, y, spec))
     start = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n)
     return F.when((na == 0) & (nb == 0), True).when((na == 0) | (nb == 0), F.lit(threshold <= 0)).otherwise(F.greatest(best, start / m) >= threshold)
 
@@ -176,41 +206,15 @@ def compare(a: Column, b: Column, spec: VotingField) -> Column:
         return spec.comparator(a, b)
     threshold = spec.threshold or 0.8
     if spec.strategy == ORDERED:
-        return ordered_matches(a, b, threshold)
+        return ordered_matches(a, b, threshold, spec)
     if spec.strategy in (UNORDERED, UNORDERED_ALIKE):
-        return unordered_matches(a, b, threshold, spec.strategy == UNORDERED_ALIKE)
+        return unordered_matches(a, b, threshold, spec.strategy == UNORDERED_ALIKE, spec)
     if spec.strategy == ORDERED_ALIKE:
-        return ordered_alike_matches(a, b, threshold)
+        return ordered_alike_matches(a, b, threshold, spec)
     if spec.strategy == DERIVED:
         return struct_matches(a, b, spec)
     return a.eqNullSafe(b)
 
 
-def greedy_matches(spec: VotingField):
-    """An Arrow function (a, b: JSON arrays of objects) -> bool: objects are matched one to one, first come first
-    served, where enough of their counted fields are equal; enough of the longer array must be matched."""
-    names, threshold = [k for k, s in spec.fields.items() if s.strategy != IGNORE], spec.threshold
-
-    def alike(x: dict, y: dict) -> bool:
-        return not names or sum(x.get(k) == y.get(k) for k in names) / len(names) >= threshold
-
-    def one(x: str, y: str) -> bool:
-        left, right = json.loads(x), json.loads(y)
-        if not left or not right:
-            return not left and not right
-        total, rest = max(len(left), len(right)), list(right)
-        for item in left:
-            at = next((i for i, other in enumerate(rest) if alike(item, other)), None)
-            if at is not None:
-                rest.pop(at)
-        return (len(right) - len(rest)) / total >= threshold
-
-    @F.pandas_udf(BooleanType())
-    def matched(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="bool")
-
-    return matched
-
-
 def all_match(conditions: list[Column]) -> Column:
     return reduce(and_, conditions, F.lit(True))
