@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -67,6 +68,12 @@ def drop_scratch(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's garbage is collected: between the steps of long loops."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(text: str = "text") -> Column:
     """64 bits that tell apart rows which share a doc_id."""
     return F.xxhash64(F.lit(7), F.col(text))

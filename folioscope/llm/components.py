@@ -10,21 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import drop_scratch, scratch_table, unused_name
+from folioscope.llm.common import drop_scratch, release_shuffles, scratch_table, unused_name
 
 #: Rows of one key from which on they are dealt to several tasks, and the most keys that are treated so.
 HOT_ROWS, HOT_KEYS = 256, 10_000
 
 
-def join_hot(rows: DataFrame, of_key: DataFrame, key: str, by: str) -> DataFrame:
+def join_hot(rows: DataFrame, of_key: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
     """rows joined to of_key (at most one row per key) by key, where a few keys may have very many rows.
 
     A key with more than 1 in HOT_KEYS of the rows (and HOT_ROWS) is cut into parts by a hash of the column by, and
-    its row of of_key is repeated for each. At most HOT_KEYS keys are so frequent; they are sent to all tasks.
+    its row of of_key is repeated for each. At most HOT_KEYS keys are so frequent; they are sent to all tasks. counted: a table
+    that has rows' keys as often as rows, where rows are dear to compute more than once.
     """
+    counted = rows if counted is None else counted
     part, n, share = (unused_name(rows, x) for x in ("part", "n_rows", "n_all"))
-    counts = rows.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > HOT_ROWS)
-    total = rows.agg(F.ceil(F.count("*") / HOT_KEYS).alias(share))
+    counts = counted.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > HOT_ROWS)
+    total = counted.agg(F.ceil(F.count("*") / HOT_KEYS).alias(share))
     hot = counts.join(F.broadcast(total), F.col(n) > F.col(share))  # one row
     hot = hot.select(key, F.ceil(F.col(n) / F.greatest(F.lit(HOT_ROWS), F.col(share))).cast("int").alias(n))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn(part, F.pmod(F.hash(by), F.coalesce(n, F.lit(1)))).drop(n)
@@ -64,5 +66,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         now = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release_shuffles(now.sparkSession)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import drop_scratch, scratch_table, text_key, text_slices
-from folioscope.llm.components import connected_components, join_hot
+from folioscope.llm.common import drop_scratch, release_shuffles, scratch_table, text_key, text_slices
+from folioscope.llm.components import join_hot
 
 THRESHOLD = 0.8
 BANDS, ROWS, SKETCH, SLACK = 24, 4, 64, 0.26
@@ -101,9 +101,10 @@ def _sets(width: int, seed: int):
 
 def both_sides(rows: DataFrame, of_node: DataFrame, column: str) -> DataFrame:
     """rows(u, v, ...) with that column of both nodes, as a and b; a node in very many pairs is dealt to many tasks."""
+    pairs = rows
     for side, name, other in (("v", "b", "u"), ("u", "a", "v")):
         named = of_node.select(F.col("node").alias(side), F.col(column).alias(name), *([F.col("n").alias(f"n{side}")] if column == "sketch" else []))
-        rows = join_hot(rows, named, side, other)
+        rows = join_hot(rows, named, side, other, counted=pairs)
     return rows
 
 
@@ -211,16 +212,7 @@ def _linked(threshold: float):
 
 
 #: Buckets of up to PAIRED nodes give their pairs; larger ones are compared in blocks of about BLOCK_NODES sets and BLOCK_HASHES hashes.
-PAIRED, BLOCK_NODES, BLOCK_HASHES = 8, 512, 1 << 21
-#: Rounds in which the nodes of a large bucket that isn't one component yet are compared with one of them, before all are.
-PIVOTS = 2
-
-
-def pivot_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """open_(bucket, node, root): each node with one of its bucket that a hash chooses anew each turn, if their roots differ."""
-    chosen = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "bucket", "node").alias("h"), "node", "root")).alias("p"))
-    chosen = chosen.select("bucket", F.col("p.node").alias("u"), F.col("p.root").alias("ru"))
-    return join_hot(open_, chosen, "bucket", "node").where("root <> ru").select("u", F.col("node").alias("v"))
+PAIRED, BLOCK_NODES, BLOCK_HASHES = 8, 2048, 1 << 21
 
 
 def links_of_open(open_: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -229,8 +221,7 @@ def links_of_open(open_: DataFrame, nodes: DataFrame, sets: DataFrame, threshold
     In a large bucket the nodes outside its commonest root (the left side) meet all of its nodes, in blocks; so rows are
     repeated once for each block of the left side, and only links leave a block. Buckets of the same nodes count once.
     """
-    sized = open_.join(nodes.select("node", "n"), "node")
-    per = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("same"))
+    per = open_.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("same"))
     per = scratch_table(per.groupBy("same", "m").agg(F.min("bucket").alias("bucket")), "buckets")
     small = open_.join(per.where(F.col("m") <= PAIRED).select("bucket"), "bucket")
     a, b = (small.select("bucket", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "uv")
@@ -239,9 +230,9 @@ def links_of_open(open_: DataFrame, nodes: DataFrame, sets: DataFrame, threshold
     large = per.where(F.col("m") > PAIRED).select("bucket")
     if large.isEmpty():
         return links
-    rows = scratch_table(join_hot(sized, large, "bucket", "node"), "large")
-    major = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("p"), F.sum("c").alias("m"))
-    rows = join_hot(rows, major.select("bucket", F.col("p.root").alias("major")), "bucket", "node").withColumn("minor", F.col("root") != F.col("major")).drop("major")
+    rows = scratch_table(join_hot(open_, large, "bucket", "node").join(nodes.select("node", "n"), "node"), "large")
+    major = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("p"))
+    rows = scratch_table(join_hot(rows, major.select("bucket", F.col("p.root").alias("major")), "bucket", "node").withColumn("minor", F.col("root") != F.col("major")).drop("major"), "sided")
     blocks = lambda ok: F.greatest(F.lit(1), F.ceil(F.sum(F.when(ok, 1)) / BLOCK_NODES), F.ceil(F.sum(F.when(ok, F.col("n"))) / BLOCK_HASHES)).cast("int")
     dealt = rows.groupBy("bucket").agg(blocks(F.col("minor")).alias("n_left"), blocks(F.lit(True)).alias("n_right"))
     rows = scratch_table(join_hot(rows, dealt, "bucket", "node"), "dealt")
@@ -249,7 +240,7 @@ def links_of_open(open_: DataFrame, nodes: DataFrame, sets: DataFrame, threshold
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("minor").select("bucket", "node", "root", F.lit(True).alias("left"), own("n_left").alias("i"), every("n_right").alias("j"))
     right = rows.select("bucket", "node", "root", F.lit(False).alias("left"), every("n_left").alias("i"), own("n_right").alias("j"))
-    met = join_hot(left.unionByName(right), sets, "node", "bucket")
+    met = join_hot(scratch_table(left.unionByName(right), "sides"), sets, "node", "bucket")
     return links.unionByName(scratch_table(met.groupBy("bucket", "i", "j").applyInArrow(_linked(threshold), "u long, v long"), "met"))
 
 
@@ -258,13 +249,6 @@ def remaining_links(open_: DataFrame, roots: DataFrame, nodes: DataFrame, docs:
     asked = open_.select("node").distinct().join(nodes.select("node", "key"), "node")
     sets = sets_of(asked, docs, text_col, width, seed)
     keys = rare_keys(sets, threshold)
+    release_shuffles(docs.sparkSession)
     found = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v")
-    for turn in range(PIVOTS):
-        open_ = open_rows(keys, roots)
-        crowded = open_.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK_NODES).select("bucket")
-        if crowded.isEmpty():
-            break
-        pairs = pivot_pairs(join_hot(open_, crowded, "bucket", "node"), turn)
-        found = found.unionByName(verified_pairs(likely_pairs(pairs, nodes, threshold), sets, threshold))
-        roots = scratch_table(connected_components(found), "roots")
     return found.unionByName(links_of_open(open_rows(keys, roots), nodes, sets, threshold))

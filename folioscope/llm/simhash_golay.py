@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm import shingle_sets
-from folioscope.llm.common import drop_scratch, scratch_table, text_key, text_slices, unused_name
+from folioscope.llm.common import drop_scratch, release_shuffles, scratch_table, text_key, text_slices, unused_name
 from folioscope.llm.components import connected_components, join_hot
 from folioscope.llm.shingle_sets import shingle_hashes
 
@@ -361,6 +361,7 @@ def likeness_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_links = of_links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     of_prints = shingle_sets.least_pairs(nodes.select(F.col("print").alias("bucket"), "node"))
     first = shingle_sets.least_pairs(buckets).unionByName(of_prints).unionByName(of_links)
+    release_shuffles(docs.sparkSession)
     first = shingle_sets.similar_pairs(first, nodes, docs, text_col, width, seed, threshold)
     roots = scratch_table(connected_components(first), "roots")
     open_ = shingle_sets.open_rows(buckets, roots)
