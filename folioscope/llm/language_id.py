@@ -18,17 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import text_slices, unused_name
+from folioscope.llm.common import drop_scratch, scratch_table, text_slices, unused_name
 
-#: The bound of the labelled sample: rows of each language, and characters of each, as longer texts aren't chosen
-#: while there are others. The chosen texts are learned from whole.
-SAMPLE_DOCS = 100
-LONGEST = 10_000
-#: Rows of all languages together, so that the automata of many languages don't outgrow a task.
-ALL_DOCS = 1000
+#: The bound of the labelled sample: rows of each language and of all together, and their characters, so that the automata
+#: (about 60 bytes a character) don't outgrow a task: at most 120 MB. The chosen texts are learned from whole.
+SAMPLE_DOCS, ALL_DOCS = 100, 1000
+SAMPLE_CHARS, ALL_CHARS = 500_000, 2_000_000
 #: Symbols that are parsed side by side with others, and in all at once.
 BLOCK = 2048
 AT_ONCE = 1 << 21
@@ -118,7 +116,8 @@ class SuffixAutomaton:
 class CrossParser:
     """Languages' samples -> phrase counts of texts."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], spark: SparkSession | None = None):
+        """With a session the languages' automata are built by its tasks, else here."""
         self.langs = sorted(samples)
         texts = {k: samples[k].lower() for k in self.langs}
         codes = np.unique(np.concatenate([_points(t) for t in texts.values()] or [np.empty(0, np.uint32)]))
@@ -129,11 +128,11 @@ class CrossParser:
         self.n_symbols = 2 + len(letters)
         places, slots, roots, self.bits, states, at = [], [], [], [], 0, 0
         self.first = []
-        for k in self.langs:
-            symbols = np.concatenate(list(self.symbols(texts[k])))
-            place, packed, root = SuffixAutomaton(symbols).comb(self.n_symbols)
+        every = [np.concatenate(list(self.symbols(texts[k]))) for k in self.langs]
+        combs = _combs(spark, every, self.n_symbols) if spark is not None and every else [SuffixAutomaton(s).comb(self.n_symbols) for s in every]
+        for symbols, (place, packed, root) in zip(every, combs):
             self.first.append(states)
-            known = packed >= 0
+            packed, known = packed.copy(), packed >= 0
             packed[known] += states * ((1 << 32) + 1)
             places.append(place + at)
             slots.append(packed)
@@ -291,25 +290,76 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def labelled_samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = SAMPLE_DOCS, longest: int = LONGEST) -> dict[str, str]:
-    """Each language's sample: the whole texts of at most max_docs rows, dealt out by a hash of their text.
+def _least_hashes(keys: DataFrame, max_docs: int) -> dict[str, list]:
+    """keys(lang, h, size), distinct -> for each language its max_docs least hashes in order, with their sizes.
 
-    Texts are dealt to max_docs buckets, and of each the one with the least hash is chosen (of copies, one). Texts of more
-    than longest characters are chosen only where a bucket has no other, the shortest first. At most max_docs rows of each
-    language come to the driver, and ALL_DOCS divided among the languages are used (one at least of each).
+    Hashes are even, so a cut at four times the share that is wanted leaves some hundred rows; where it left too few, a higher one
+    is taken.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    hashed = F.xxhash64(text_col)
-    named = [F.col(lang_col).cast("string").alias("lang"), F.greatest(F.length(text_col), F.lit(longest)).alias("over"), hashed.alias("h")]
-    keys = known.select(*named).groupBy("lang", F.pmod("h", F.lit(max_docs)).alias("nth")).agg(F.min(F.struct("over", "h")).alias("k"))
-    keys = keys.select("lang", "nth", "k.over", "k.h")
-    chosen = known.select(*named, F.col(text_col).alias("text")).join(F.broadcast(keys), ["lang", "over", "h"])  # at most max_docs keys a language
-    chosen = chosen.groupBy("lang", "nth").agg(F.min("text").alias("text"))
+    spark = keys.sparkSession
+    wanted = {r["lang"]: (r["n"], 4) for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    out: dict[str, list] = {}
+    while wanted:
+        cuts = [(k, min((1 << 63) - 1, int(min(1.0, times * max_docs / n) * (1 << 64)) - (1 << 63))) for k, (n, times) in wanted.items()]
+        low = keys.join(F.broadcast(spark.createDataFrame(cuts, "lang string, cut long")), "lang").where("h <= cut")
+        found: dict[str, list] = {k: [] for k in wanted}
+        for r in low.collect():
+            found[r["lang"]].append((r["h"], r["size"]))
+        for k, rows in found.items():
+            if len(rows) >= min(max_docs, wanted[k][0]):
+                out[k] = sorted(rows)[:max_docs]
+        wanted = {k: (n, 8 * times) for k, (n, times) in wanted.items() if k not in out}
+    return out
+
+
+def labelled_samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Each language's sample: the whole texts of at most max_docs rows and max_chars characters, one text each a line.
+
+    The rows are those of the least hashes of their text (of copies, one), so a language of fewer distinct texts is learned from all
+    of them. A text that the characters left don't hold is passed over for the next; where none is short enough, the shortest of the rows is taken
+    whole. ALL_DOCS and ALL_CHARS, divided among the languages, bound what many languages give together.
+    Rows without a language or a text don't count; an empty table gives no sample.
+    """
+    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    keys = scratch_table(known.groupBy("lang", "h").agg(F.min(F.length("text")).alias("size")), "keys")
+    least = _least_hashes(keys, max_docs)
+    drop_scratch(keys)
+    most, room = max(1, ALL_DOCS // max(1, len(least))), min(max_chars, ALL_CHARS // max(1, len(least)))
+    chosen = []
+    for lang, rows in least.items():
+        left, own = room, []
+        for h, size in rows[:most]:
+            if size <= left:
+                own.append(h)
+                left -= size
+        chosen += [(lang, h) for h in own or [min(rows[:most], key=lambda r: (r[1], r[0]))[0]]]
+    if not chosen:
+        return {}
+    wanted = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
+    texts = known.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # at most ALL_DOCS keys
     parts: dict[str, list] = {}
-    for r in chosen.collect():
-        parts.setdefault(r["lang"], []).append((r["nth"], r["text"]))
-    most = max(1, ALL_DOCS // max(1, len(parts)))
-    return {k: "\n".join(t for _, t in sorted(v)[:most]) for k, v in parts.items()}
+    for r in texts.collect():
+        parts.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return {k: "\n".join(t for _, t in sorted(v)) for k, v in parts.items()}
+
+
+def _combed(n_symbols: int):
+    """Rows (i, symbols) -> the comb of each sample's automaton, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, symbols in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = SuffixAutomaton(np.frombuffer(symbols, np.int32)).comb(n_symbols)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["i", "places", "slots", "root"])
+
+    return run
+
+
+def _combs(spark: SparkSession, samples: list[np.ndarray], n_symbols: int) -> list[tuple[np.ndarray, ...]]:
+    """The combs of all samples, each built in a task of its own."""
+    rows = spark.createDataFrame([(i, bytearray(s.astype(np.int32).tobytes())) for i, s in enumerate(samples)], "i int, symbols binary").repartition(max(1, len(samples)))
+    found = {r["i"]: tuple(np.frombuffer(bytes(r[c]), np.int64) for c in ("places", "slots", "root")) for r in rows.mapInArrow(_combed(n_symbols), "i int, places binary, slots binary, root binary").collect()}
+    return [found[i] for i in range(len(samples))]
 
 
 def _predicted(parser):
@@ -333,7 +383,7 @@ def identify_languages(docs: DataFrame, samples: dict[str, str], text_col: str =
     character of the samples, whatever the alphabet.
     """
     keep = [c for c in (keep if keep is not None else docs.columns) if c != text_col and c.lower() not in ("lang_pred", "score")]
-    parser = docs.sparkSession.sparkContext.broadcast(CrossParser(samples))
+    parser = docs.sparkSession.sparkContext.broadcast(CrossParser(samples, docs.sparkSession))
     rows = docs.select(*keep, F.col(text_col).alias(unused_name(docs, "text_")))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_predicted(parser), f"{kept}lang_pred string, score double")
