@@ -6,10 +6,12 @@ merging is adding counts, in any order with the same result. A group's sketch is
 the weight of ``PRIOR`` documents, and this with that of all documents, so a small group's is smoothed and a large
 one's is its own, without a size at which this changes.
 
-Both fences of a rule come from the group's sketches: they stand ``SPREADS`` interquartile ranges beyond the
-quartiles. A measure that most documents share has no range; the least spread is what one event (one symbol, one
-repeated line, ...) changes in the group's median document, or the width of the sketch's bins there. The fences are
-then joined to the documents.
+Both fences of a rule come from the group's sketches. The upper one stands ``SPREADS`` spreads beyond the upper quartile; a spread is the
+interquartile range, or, for measures that most documents share, that of the upper tail (from the upper quartile to the 90th
+percentile, as far as ``TAIL`` events) or what one event (one symbol, one repeated line, ...) changes in the group's median
+document. A share of a whole is fenced at the middle between its 99th percentile and the whole at the latest, so that it can
+be beyond. The lower fence stands as many spreads below the lower quartile, at a quarter of the first percentile at the least;
+there is none where that is 0. The fences are then joined to the documents.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 PRIOR = 40
 #: Spreads beyond the quartiles where the fences stand.
 SPREADS = 10
+#: So many events count at most as the tail's spread; the least part of the first percentile that a lower fence is.
+TAIL, LOWEST = 3, 4
+#: The rules that are shares of a whole.
+SHARES = ("dup_lines", "repeats", "capitals", "marks")
 #: Each rule: what is counted, of what, in parts of how many, and how much of it one event adds (a window found twice is six words).
 RULES = {
     "symbols": ("n_symbols", "n_words", 1000, 1),
@@ -135,12 +141,16 @@ def smooth(sketches: DataFrame, wider: DataFrame, by: list[str], wider_by: list[
     return merge(own.unionByName(prior.select(*by, "rule", "bin", "n")), by)
 
 
+#: Percentiles that fences are made of.
+PERCENTILES = (1, 25, 50, 75, 90, 99)
+
+
 def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., rule, q25, q50, q75) of each sketch; a quantile is the greatest value of the bin that it falls into."""
+    """(by..., rule, q1, q25, ..., q99) of each sketch; a quantile is the greatest value of the bin that it falls into."""
     group = Window.partitionBy(*by, "rule")
     run = sketches.withColumn("upto", F.sum("n").over(group.orderBy("bin"))).withColumn("total", F.sum("n").over(group))
-    at = {q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, bin_top(F.col("bin")))).alias(q) for q, k in (("q25", 1), ("q50", 2), ("q75", 3))}
-    return run.groupBy(*by, "rule").agg(*at.values())
+    at = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, bin_top(F.col("bin")))).alias(f"q{p}") for p in PERCENTILES]
+    return run.groupBy(*by, "rule").agg(*at)
 
 
 def thresholds(measured: DataFrame, lang: str, source: str) -> DataFrame:
@@ -151,9 +161,13 @@ def thresholds(measured: DataFrame, lang: str, source: str) -> DataFrame:
     size = of_group.where(F.col("rule").isin(*SIZES)).select(lang, source, F.col("rule").alias("of"), F.col("q50").alias("median"))
     about = F.create_map(*(F.lit(x) for k, (_, of, _, _) in RULES.items() for x in (k, of)))
     event = F.create_map(*(F.lit(x) for k, (_, _, scale, events) in RULES.items() for x in (k, scale * events)))
-    rules = of_group.where(F.col("rule").isin(*RULES)).withColumn("of", about[F.col("rule")]).withColumn("event", event[F.col("rule")])
-    spread = SPREADS * F.greatest(F.col("q75") - F.col("q25"), F.expr("(event + median - 1) div median"), F.expr("q75 div 32"))
-    fences = rules.join(size, [lang, source, "of"]).select(lang, source, "rule", F.struct((F.col("q25") - spread).alias("low"), (F.col("q75") + spread).alias("high")).alias("fence"))
+    whole = F.create_map(*(F.lit(x) for k in SHARES for x in (k, RULES[k][2])))
+    rules = of_group.where(F.col("rule").isin(*RULES)).withColumns({"of": about[F.col("rule")], "events": event[F.col("rule")], "whole": F.try_element_at(whole, F.col("rule"))})
+    sized = rules.join(size, [lang, source, "of"]).withColumn("event", F.expr("(events + median - 1) div median"))
+    spread = SPREADS * F.greatest(F.col("q75") - F.col("q25"), F.least(F.col("q90") - F.col("q75"), TAIL * F.col("event")), F.col("event"), F.expr("q75 div 32"))
+    high = F.least(F.col("q75") + spread, F.expr("(q99 + whole) div 2"))  # least passes over a null
+    low = F.greatest(F.col("q25") - spread, F.expr(f"q1 div {LOWEST}"))
+    fences = sized.select(lang, source, "rule", F.struct(low.alias("low"), high.alias("high")).alias("fence"))
     return fences.groupBy(lang, source).agg(F.map_from_entries(F.collect_list(F.struct("rule", "fence"))).alias("fences"))  # one entry a rule
 
 

@@ -187,13 +187,14 @@ of_group AS (
 run AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY top) AS upto, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM of_group),
 quartiles AS (
-  SELECT lang, source, rule, min(top) FILTER (upto * 4 >= total) AS q25, min(top) FILTER (upto * 2 >= total) AS q50, min(top) FILTER (upto * 4 >= total * 3) AS q75
+  SELECT lang, source, rule, {", ".join(f"min(top) FILTER (upto * 100 >= total * {p}) AS q{p}" for p in quality_rules.PERCENTILES)}
   FROM run GROUP BY ALL),
-rules AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{of}', {scale * events})" for k, (_, of, scale, events) in quality_rules.RULES.items())}) AS t(rule, of_size, event)),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{of}', {scale * events}, {scale if k in quality_rules.SHARES else 'NULL'})" for k, (_, of, scale, events) in quality_rules.RULES.items())}) AS t(rule, of_size, events, whole)),
 fences AS (
-  SELECT q.lang, q.source, q.rule, q25 - spread AS low, q75 + spread AS high FROM (
-    SELECT q.*, {quality_rules.SPREADS} * greatest(q.q75 - q.q25, (event + s.q50 - 1) // s.q50, q.q75 // 32) AS spread
-    FROM quartiles q JOIN rules USING (rule) JOIN quartiles s ON s.lang = q.lang AND s.source = q.source AND s.rule = of_size) q),
+  SELECT lang, source, rule, greatest(q25 - spread, q1 // {quality_rules.LOWEST}) AS low, least(q75 + spread, (q99 + whole) // 2) AS high FROM (
+    SELECT *, {quality_rules.SPREADS} * greatest(q75 - q25, least(q90 - q75, {quality_rules.TAIL} * event), event, q75 // 32) AS spread FROM (
+      SELECT q.*, whole, (events + s.q50 - 1) // s.q50 AS event
+      FROM quartiles q JOIN rules USING (rule) JOIN quartiles s ON s.lang = q.lang AND s.source = q.source AND s.rule = of_size))),
 failed AS (
   SELECT rid, string_agg(rule, ',' ORDER BY list_position([{", ".join(f"'{k}'" for k in quality_rules.RULES)}], rule)) AS rules
   FROM v JOIN fences USING (lang, source, rule) WHERE v > high OR v < low GROUP BY rid)

@@ -576,7 +576,7 @@ def test_quantile_sketch(spark):
     assert [r["b"] for r in got] == sorted(r["b"] for r in got)
     sk = spark.createDataFrame([("g", "r", b, n) for b, n in ((1, 10), (2, 5), (9, 5))], "k string, rule string, bin long, n long")
     q = quality_rules.quantiles(sk, ["k"]).first()
-    assert (q["q25"], q["q50"], q["q75"]) == (1, 1, 2)
+    assert [q[f"q{p}"] for p in quality_rules.PERCENTILES] == [1, 1, 1, 2, 9, 9]
 
 
 def test_fences_follow_the_groups(spark):
@@ -600,6 +600,32 @@ def test_fences_follow_the_groups(spark):
     assert verdict == {"a": True, "b": False}
 
 
+def test_every_rule_has_a_fence_of_its_own_that_can_be_crossed(spark):
+    """Two sources that differ in some documents' measure alone have other fences for its rule, and each fence can be crossed."""
+    usual = dict(zip(quality_rules.MEASURES, (200, 1000, 0, 0, 0, 40, 950, 20, 0)))
+    counted = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words", "capitals": "n_capitals", "shouts": "n_shouts", "marks": "word_chars", "word_length": "word_chars"}
+    more = {"symbols": 3, "dup_lines": 4, "repeats": 20, "capitals": 40, "shouts": 3, "marks": 60, "word_length": 60}
+    rows = []
+    for rule, of in counted.items():
+        for source in "ab":
+            for share, name in ((0.3, "some"), (0.15, "few")):
+                for k in range(400):
+                    m = usual | ({of: usual[of] + more[rule]} if source == "b" and k < share * 400 else {})
+                    rows.append((f"{rule} {name}", source, *m.values()))
+    df = spark.createDataFrame(rows, "lang string, source string, " + quality_rules._SCHEMA)
+    fences = {(r["lang"], r["source"]): r["fences"] for r in quality_rules.thresholds(df, "lang", "source").collect()}
+    for rule in counted:
+        a, b = (fences[f"{rule} some", s][rule] for s in "ab")
+        assert a["high"] < b["high"], (rule, a, b)
+        if rule in ("symbols", "dup_lines", "repeats", "shouts"):  # quartiles coincide: the tail's percentiles decide
+            a, b = (fences[f"{rule} few", s][rule] for s in "ab")
+            assert a["high"] < b["high"], (rule, a, b)
+        if rule in quality_rules.SHARES:
+            assert all(f[rule]["high"] < 1000 for f in fences.values())
+        if rule in ("capitals", "marks", "word_length"):
+            assert all(f[rule]["low"] > 0 for f in fences.values())
+
+
 def test_quality_keeps_clean_documents(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.1")
     labels = read_table(spark, big, "labels")
