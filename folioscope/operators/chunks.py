@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +37,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: A word of any alphabet: a run of letters, marks, digits and connecting punctuation.
+WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
+
+
 def _tokens_of(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(f"[a-z]{{{least},}}").finditer
+        find = regex.compile(WORD).finditer
         for batch in batches:
             rows, tokens, sizes, places = [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 found: dict[str, list[int]] = {}
                 for m in find(text or ""):
                     found.setdefault(m.group(), []).append(m.start())
+                if least > 1:
+                    found = {k: v for k, v in found.items() if len(k) >= least}
                 rows.extend([i] * len(found))
                 tokens.extend(found)
                 for at in found.values():
@@ -60,17 +66,17 @@ def _tokens_of(least: int):
     return run
 
 
-def token_occurrences(chunks: DataFrame, least: int = 6) -> DataFrame:
+def token_occurrences(chunks: DataFrame, least: int = 1) -> DataFrame:
     """(doc_id, page, chunk_index, token, positions): a row per chunk and token, found in one pass over each text.
 
-    Tokens are runs of at least so many of a-z in the lower-cased text; positions are where they start, from 0.
+    Tokens are the WORDs of at least so many characters of the lower-cased text; positions are where they start, from 0.
     """
     rows = chunks.select("doc_id", "page", "chunk_index", F.lower("text").alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
     return rows.mapInArrow(_tokens_of(least), f"{kept}, token string, positions array<int>")
 
 
-def frequent_tokens(occurrences: DataFrame, share: float = 0.02) -> DataFrame:
+def frequent_tokens(occurrences: DataFrame, share: float) -> DataFrame:
     """(token, df): tokens in at least that share of the documents that have tokens.
 
     As many as the mean number of tokens of a document over the share, at most: a bound that the corpus doesn't move.

@@ -44,7 +44,10 @@ def cooccurrences(placed: DataFrame, totals: DataFrame, top: int | None = TOP_CO
     a = placed.select("doc_id", "chunk_index", F.col("term").alias("term"), F.col("positions").alias("pa"))
     b = placed.select("doc_id", "chunk_index", F.col("term").alias("other"), F.col("positions").alias("pb"))
     pairs = a.join(b, ["doc_id", "chunk_index"]).where("term < other")
-    scored = pairs.groupBy("term", "other").agg(F.sum(proximity_weight(F.col("pa"), F.col("pb"))).alias("score"))
+    # most terms stand once in a chunk: their distance is compiled code
+    once = (F.size("pa") == 1) & (F.size("pb") == 1)
+    weight = F.when(once, F.greatest(F.exp(-F.abs(F.get("pa", F.lit(0)) - F.get("pb", F.lit(0))) / 100), F.lit(0.1))).otherwise(proximity_weight(F.col("pa"), F.col("pb")))
+    scored = pairs.groupBy("term", "other").agg(F.sum(weight).alias("score"))
     both = scored.unionByName(scored.select(F.col("other").alias("term"), F.col("term").alias("other"), "score"))
     confidence = F.when(F.col("total_count") > 0, F.least(F.col("score") / F.col("total_count"), F.lit(1.0))).otherwise(0.0)
     rated = both.join(totals, "term").select(

@@ -17,7 +17,6 @@ from folioscope.plans.sql import ORACLES
 from folioscope.sources import files, layout
 from folioscope.streaming import ingest
 
-SHARE = 0.02
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -39,8 +38,7 @@ def _keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Keyword candidates of the documents; their tokens are kept, as they are counted before they are chosen."""
-    return corpus.keyword_candidates(_chunks(spark, d), SHARE, save=lambda df, name: df.persist())
+    return corpus.keyword_candidates(_chunks(spark, d))
 
 
 def _joined(column: str, sep: str = ",") -> Column:
@@ -183,7 +181,7 @@ def cooccurrence_topn(spark, d):
     placed = _keywords(spark, d)
     totals = placed.groupBy("term").agg(F.count("*").alias("total_count"))
     out = terms.cooccurrences(placed, totals)
-    return out.select("term", "other", "frequency", F.round("confidence", 6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
+    return out.select("term", "other", "frequency", (F.floor(F.col("confidence") * 1e6 + 0.5) / 1e6).alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -204,7 +202,7 @@ def whole_word_matches(spark, d):
 def merge_rejected_terms(spark, d):
     chunks = _chunks(spark, d)
     place = F.struct("doc_id", "page", "chunk_index")
-    keywords = C.token_occurrences(chunks, 2).groupBy(F.col("token").alias("term")).agg(F.collect_list(place).alias("occurrences")).withColumn("mean_score", F.lit(0.5))
+    keywords = C.token_occurrences(chunks).groupBy(F.col("token").alias("term")).agg(F.collect_list(place).alias("occurrences")).withColumn("mean_score", F.lit(0.5))
     rejected = terms.group_acronyms(C.upper_tokens(chunks)).withColumn("term", F.lower("term")).withColumn("mean_score", F.lit(0.25))
     return terms.merge_rejected(keywords, rejected).select("term", "total_count", F.round("mean_score", 6).alias("mean_score"))
 

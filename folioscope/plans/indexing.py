@@ -124,7 +124,7 @@ chunks AS (
   FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos
         FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)))"""
 
-_WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
+_WORD = C.WORD
 _WORDS_SQL = f"""
 folded AS (SELECT doc_id, chunk_index, lower(text) AS text FROM chunks),
 cut AS (SELECT doc_id, chunk_index, regexp_extract_all(text, '{_WORD}') AS w, string_split_regex(text, '{_WORD}') AS g FROM folded),

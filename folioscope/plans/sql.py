@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from folioscope.operators import consensus
+from folioscope.operators.chunks import WORD
 
 _CHUNKS = """
 chunks AS (
@@ -14,23 +15,19 @@ chunks AS (
 
 _TOKENS = (
     _CHUNKS
-    + """,
-parts AS (
-  SELECT doc_id, chunk_index, unnest(s) AS token, generate_subscripts(s, 1) AS ord
-  FROM (SELECT doc_id, chunk_index, string_split(regexp_replace(lower(text), '[^a-z]', ' ', 'g'), ' ') AS s FROM chunks)),
+    + f""",
+cut AS (
+  SELECT doc_id, chunk_index, regexp_extract_all(text, '{WORD}') AS w, string_split_regex(text, '{WORD}') AS g FROM (SELECT doc_id, chunk_index, lower(text) AS text FROM chunks)),
+parts AS (SELECT doc_id, chunk_index, unnest(w) AS token, unnest(g[:len(w)]) AS gap, generate_subscripts(w, 1) AS ord FROM cut),
 placed AS (
-  SELECT doc_id, chunk_index, token,
-         coalesce(sum(length(token) + 1) OVER (PARTITION BY doc_id, chunk_index ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM parts),
-occ AS (SELECT doc_id, chunk_index, token AS term, list(pos ORDER BY pos) AS positions FROM placed WHERE length(token) >= 6 GROUP BY ALL)"""
+  SELECT doc_id, chunk_index, token, (sum(length(gap) + length(token)) OVER (PARTITION BY doc_id, chunk_index ORDER BY ord))::BIGINT - length(token) AS pos FROM parts),
+occ AS MATERIALIZED (SELECT doc_id, chunk_index, token AS term, list(pos ORDER BY pos) AS positions FROM placed GROUP BY ALL)"""
 )
 
 _KEYWORDS = (
     _TOKENS
     + """,
-freq AS (
-  SELECT term FROM occ GROUP BY term HAVING count(DISTINCT doc_id) >= 0.02 * (SELECT count(DISTINCT doc_id) FROM occ)),
-kw AS (SELECT * FROM occ SEMI JOIN freq USING (term))"""
+kw AS (SELECT * FROM occ)"""
 )
 
 _ACRONYMS = """,
@@ -230,7 +227,7 @@ firsts AS (SELECT term, doc_id, arg_min(text, chunk_index) AS context FROM kw JO
 SELECT term, doc_id, chunk_index, context FROM kw JOIN firsts USING (term, doc_id)""",
     "merge_rejected_terms": f"""
 WITH {_TOKENS}{_ACRONYMS},
-k AS (SELECT token AS term, doc_id, chunk_index FROM placed WHERE length(token) >= 2 GROUP BY ALL),
+k AS (SELECT token AS term, doc_id, chunk_index FROM placed GROUP BY ALL),
 r AS (SELECT lower(term) AS term, doc_id, chunk_index FROM acr),
 nk AS (SELECT term, count(*) AS n FROM k GROUP BY term),
 nr AS (SELECT term, count(*) AS n, count(*) FILTER (NOT held) AS fresh
@@ -271,8 +268,12 @@ SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
   FROM embeddings e, (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q)
 WHERE rank <= 5""",
     "primary_term_matches": f"""
-WITH {_KEYWORDS}, t AS (SELECT DISTINCT term AS term_key FROM kw)
-SELECT chunk_id AS result_id, term_key FROM chunks JOIN t ON contains(lower(text), term_key)""",
+WITH {_KEYWORDS}, t AS (SELECT DISTINCT term FROM kw),
+-- terms are whole words, so that a text contains one if a word of it does
+starts AS (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM t),
+sub AS (SELECT DISTINCT term, substr(term, i, n) AS term_key FROM (SELECT term, i, unnest(range(1, length(term) - i + 2)) AS n FROM starts)),
+held AS MATERIALIZED (SELECT sub.term, term_key FROM sub SEMI JOIN t ON t.term = sub.term_key)
+SELECT DISTINCT chunk_id AS result_id, term_key FROM kw JOIN held USING (term) JOIN chunks USING (doc_id, chunk_index)""",
     "related_terms_one_hop": f"""
 WITH {_KEYWORDS}{_COOC}
 SELECT DISTINCT other AS term_key, tot.total_count FROM cooc JOIN tot ON tot.term = cooc.other WHERE rank <= 5""",
