@@ -34,6 +34,19 @@ ISSUE_PRINCIPLES = (
     ("no context", "Provide sufficient context for understanding"),
     ("no examples", "Include relevant examples to clarify expectations"),
 )
+# The texts with which the rules change a prompt.
+INCLUDE, ENSURE = "should include", "Ensure: "
+DETAILS, DETAILS_ASKED = " with specific details and examples?", " (provide specific, detailed response)"
+ADDRESS = "Please address the following:\n"
+MAIN_REQUEST, CONTEXT_AFTER = "Main request: ", "\n\nContext: "
+MAIN_POINT, DETAILS_AFTER = "Main point: ", "\n\nDetails: "
+NOTHING_TO_ADD = "Additional information: [Specify what to add]"
+REQUIREMENTS_AFTER = "\n\nSpecific requirements: [Add specific details here]"
+SPECIFICALLY_AFTER = "\n\nSpecifically: [Add concrete details]"
+BACKGROUND_BEFORE = "Context: [Provide relevant background]\n\n"
+DOMAIN_BEFORE = "Given the context of [specify domain/situation]:\n"
+PRINCIPLE_BEFORE, INSTRUCTION_BEFORE = "Principle: ", "Clear instruction: "
+EXAMPLE_AFTER = "\n\nExample: [Add relevant example]"
 
 
 def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
@@ -47,13 +60,13 @@ def is_actionable(text: Column) -> Column:
 def issue_principle(issue: Column) -> Column:
     """The positive principle that answers an issue: the first rule that fits."""
     low = F.lower(issue)
-    swap = lambda word: F.replace(issue, F.lit(word), F.lit("should include"))
+    swap = lambda word: F.replace(issue, F.lit(word), F.lit(INCLUDE))
     out = F.when(low.contains("lacks"), swap("lacks"))
     out = out.when(low.contains("missing"), F.when(issue.contains("Missing"), swap("Missing")).otherwise(swap("missing")))
     for said, answer in ISSUE_PRINCIPLES:
         out = out.when(low.contains(said), answer)
     bare = F.replace(F.replace(issue, F.lit("not"), F.lit("")), F.lit("no"), F.lit(""))
-    return out.otherwise(F.concat(F.lit("Ensure: "), F.trim(bare)))
+    return out.otherwise(F.concat(F.lit(ENSURE), F.trim(bare)))
 
 
 def extract_principles(feedback: DataFrame) -> DataFrame:
@@ -78,8 +91,8 @@ def clarify(prompt: Column) -> Column:
 
 
 def make_specific(prompt: Column) -> Column:
-    asked = F.replace(prompt, F.lit("?"), F.lit(" with specific details and examples?"))
-    return F.when(prompt.contains("?"), asked).otherwise(F.concat(prompt, F.lit(" (provide specific, detailed response)")))
+    asked = F.replace(prompt, F.lit("?"), F.lit(DETAILS))
+    return F.when(prompt.contains("?"), asked).otherwise(F.concat(prompt, F.lit(DETAILS_ASKED)))
 
 
 def simplify(prompt: Column) -> Column:
@@ -97,7 +110,7 @@ def break_down(prompt: Column) -> Column:
     """Parts between commas, semicolons and the word `and` as a numbered list (numbers count blank parts too)."""
     parts = F.split(prompt, r"[;,]|\band\b", -1)
     numbered = F.filter(F.transform(parts, lambda p, i: F.when(F.trim(p) != "", F.concat((i + 1).cast("string"), F.lit(". "), F.trim(p)))), lambda p: p.isNotNull())
-    return F.when(F.size(parts) > 1, F.concat(F.lit("Please address the following:\n"), F.array_join(numbered, "\n"))).otherwise(prompt)
+    return F.when(F.size(parts) > 1, F.concat(F.lit(ADDRESS), F.array_join(numbered, "\n"))).otherwise(prompt)
 
 
 def _sentences(prompt: Column) -> Column:
@@ -111,8 +124,8 @@ def restructure(prompt: Column) -> Column:
         questions = F.filter(s, lambda x: _any_of(F.lower(x), QUESTIONS))
         others = F.filter(s, lambda x: ~F.array_contains(questions, x))
         by_size = F.transform(F.array_sort(F.transform(s, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x")))), lambda x: x["x"])
-        asked = F.concat(F.lit("Main request: "), F.array_join(questions, ". "), F.lit("\n\nContext: "), F.array_join(others, ". "))
-        told = F.concat(F.lit("Main point: "), by_size[0], F.lit("\n\nDetails: "), F.array_join(F.slice(by_size, F.lit(2), F.size(s)), ". "))
+        asked = F.concat(F.lit(MAIN_REQUEST), F.array_join(questions, ". "), F.lit(CONTEXT_AFTER), F.array_join(others, ". "))
+        told = F.concat(F.lit(MAIN_POINT), by_size[0], F.lit(DETAILS_AFTER), F.array_join(F.slice(by_size, F.lit(2), F.size(s)), ". "))
         return F.when(F.size(s) <= 1, F.lit(None)).when(F.size(questions) > 0, asked).otherwise(told)
 
     return F.coalesce(let(_sentences(prompt), ordered), prompt)
@@ -131,7 +144,7 @@ def core_request(prompt: Column) -> Column:
 
 def addition(principle: Column) -> Column:
     found = F.trim(F.regexp_extract(principle, r"(?i)(?:add|include)\s+(.+)", 1))
-    return F.when(found != "", found).otherwise("Additional information: [Specify what to add]")
+    return F.when(found != "", found).otherwise(NOTHING_TO_ADD)
 
 
 def apply_principle(prompt: Column, principle: Column, preserve_context: bool = True) -> Column:
@@ -140,13 +153,13 @@ def apply_principle(prompt: Column, principle: Column, preserve_context: bool =
     has = lambda *parts: _any_of(low, parts)
     gap = F.lit("\n\n")
     if preserve_context:
-        clear = F.concat(prompt, F.lit("\n\nSpecific requirements: [Add specific details here]"))
-        specific = F.concat(prompt, F.lit("\n\nSpecifically: [Add concrete details]"))
-        context = F.concat(F.lit("Context: [Provide relevant background]\n\n"), prompt)
-        added, general = F.concat(prompt, gap, addition(principle)), F.concat(F.lit("Principle: "), principle, gap, prompt)
+        clear = F.concat(prompt, F.lit(REQUIREMENTS_AFTER))
+        specific = F.concat(prompt, F.lit(SPECIFICALLY_AFTER))
+        context = F.concat(F.lit(BACKGROUND_BEFORE), prompt)
+        added, general = F.concat(prompt, gap, addition(principle)), F.concat(F.lit(PRINCIPLE_BEFORE), principle, gap, prompt)
     else:
-        clear, specific = F.concat(F.lit("Clear instruction: "), clarify(prompt)), make_specific(prompt)
-        context = F.concat(F.lit("Given the context of [specify domain/situation]:\n"), prompt)
+        clear, specific = F.concat(F.lit(INSTRUCTION_BEFORE), clarify(prompt)), make_specific(prompt)
+        context = F.concat(F.lit(DOMAIN_BEFORE), prompt)
         added, general = F.concat(addition(principle), gap, prompt), F.concat(principle, gap, core_request(prompt))
     return (
         F.when(has("clarity", "clear"), clear)
@@ -156,7 +169,7 @@ def apply_principle(prompt: Column, principle: Column, preserve_context: bool =
         .when(has("context"), context)
         .when(has("add", "include"), added)
         .when(has("structure"), restructure(prompt))
-        .when(has("example"), F.concat(prompt, F.lit("\n\nExample: [Add relevant example]")))
+        .when(has("example"), F.concat(prompt, F.lit(EXAMPLE_AFTER)))
         .when(has("format"), capitalise_sentences(prompt))
         .otherwise(general)
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from folioscope.operators import chunks as C
 from folioscope.operators import consensus, indices, prompts, providers, search, terms, views
 from folioscope.plans import corpus, indexing
 from folioscope.plans.sql import ORACLES
-from folioscope.sources import files, layout
+from folioscope.sources import files, layout, scratch, store
 from folioscope.streaming import ingest
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -306,10 +307,10 @@ def search_similarity(spark, d):
 
 
 def _parts_of_search(spark, d):
-    """A stand-in for the saved relations of a knowledge base; kept, as a search reads them several times."""
-    k = _keywords(spark, d).persist()
+    """A stand-in for the saved relations of a knowledge base; written, as a search reads them several times."""
+    k = scratch.written(_keywords(spark, d), "keywords")
     t = k.groupBy("term").agg(F.count("*").alias("total_count")).select(F.col("term").alias("term_key"), "term", F.lit("keyword").alias("term_type"), "total_count")
-    c = terms.cooccurrences(k, k.groupBy("term").agg(F.count("*").alias("total_count"))).persist()
+    c = scratch.written(terms.cooccurrences(k, k.groupBy("term").agg(F.count("*").alias("total_count"))), "companions")
     links = spark.createDataFrame([], "acronym string, keyword string, match_score double")
     return t, links, c
 
@@ -601,6 +602,27 @@ def term_relations(spark, d):
     return search.relations_of(asked, t, links, c).select("term_key", "kind", "related", "place")
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SAVED_QUERY = "standard polished steel and large brass"
+
+
+@query
+def search_saved_base(spark, d):
+    """Enhanced search with page media on a knowledge base of the parts that was saved and loaded; vectors are counts of letters."""
+    t, links, c = _part_relations(spark, d)
+    part = _table(spark, d, "part")
+    chunks = part.select(F.col("p_partkey").cast("string").alias("chunk_id"), (F.col("p_partkey") % 7).alias("doc_id"), (F.col("p_size") % 3).alias("page"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    vectors = chunks.select("chunk_id", F.array(*(T.count_substring(F.lower("text"), F.lit(x)).cast("double") for x in LETTERS)).alias("vector"))
+    media = _table(spark, d, "nation").groupBy((F.col("n_nationkey") % 7).cast("long").alias("doc_id"), (F.col("n_regionkey") % 2 + 1).alias("page"))
+    pages = media.agg(F.sort_array(F.collect_list("n_name")).alias("images"), F.sort_array(F.collect_list(F.lower("n_name"))).alias("tables"))
+    path = f"{scratch.scratch_folder(spark)}/{spark.sparkContext.applicationId}/base-{uuid.uuid4().hex}"
+    store.KnowledgeBase(pages=pages, chunks=chunks, terms=t, cooccurrences=c, links=links, vectors=vectors).save(path)
+    base = store.KnowledgeBase.load(spark, path)
+    engine = search.SearchEngine(base.chunks.join(base.vectors, "chunk_id"), base.terms, base.links, base.cooccurrences, base.pages, lambda q: [float(q.count(x)) for x in LETTERS])
+    out = engine.enhanced(SAVED_QUERY, 25)
+    return out.select("chunk_id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"), F.round("combined", 6).alias("combined"), _joined("primary_terms"), F.size("related_terms").alias("n_related"), _joined("images"), _joined("tables"))
+
+
 @query
 def search_with_links(spark, d):
     """Enhanced results of a query over the parts, with terms found through links."""

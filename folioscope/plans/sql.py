@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from folioscope.operators import consensus
+from folioscope.operators import consensus, prompts
 from folioscope.operators.chunks import WORD
 
 _CHUNKS = """
@@ -96,25 +96,20 @@ kept AS (SELECT *, (key = lag(key) OVER (PARTITION BY item, model_id ORDER BY ro
 consistent AS (SELECT item, model_id, coalesce(avg(kept), 1.0) AS consistency FROM kept GROUP BY ALL)"""
 )
 
-_ISSUES = """
+_ANSWERS = "\n".join(f"    WHEN contains(lower(issue), '{said}') THEN '{answer}'" for said, answer in prompts.ISSUE_PRINCIPLES)
+_ISSUES = f"""
 issues AS (
   SELECT p_partkey, p_size, p_name || ' ' || ['lacks detail', 'Missing context here', 'is unclear', 'seems ambiguous', 'too vague now', 'too long', 'no examples at all', 'not bad, no harm'][p_size % 8 + 1] AS issue
   FROM part),
 answers AS (
   SELECT p_partkey, issue, CASE
-    WHEN contains(lower(issue), 'lacks') THEN replace(issue, 'lacks', 'should include')
-    WHEN contains(lower(issue), 'missing') THEN CASE WHEN contains(issue, 'Missing') THEN replace(issue, 'Missing', 'should include') ELSE replace(issue, 'missing', 'should include') END
-    WHEN contains(lower(issue), 'unclear') THEN 'Ensure clarity and specificity in requirements'
-    WHEN contains(lower(issue), 'ambiguous') THEN 'Provide specific, unambiguous instructions'
-    WHEN contains(lower(issue), 'too vague') THEN 'Make requirements specific and concrete'
-    WHEN contains(lower(issue), 'too long') THEN 'Keep prompts concise while maintaining clarity'
-    WHEN contains(lower(issue), 'too complex') THEN 'Break down complex requirements into simpler parts'
-    WHEN contains(lower(issue), 'no context') THEN 'Provide sufficient context for understanding'
-    WHEN contains(lower(issue), 'no examples') THEN 'Include relevant examples to clarify expectations'
-    ELSE 'Ensure: ' || trim(replace(replace(issue, 'not', ''), 'no', '')) END AS principle
+    WHEN contains(lower(issue), 'lacks') THEN replace(issue, 'lacks', '{prompts.INCLUDE}')
+    WHEN contains(lower(issue), 'missing') THEN CASE WHEN contains(issue, 'Missing') THEN replace(issue, 'Missing', '{prompts.INCLUDE}') ELSE replace(issue, 'missing', '{prompts.INCLUDE}') END
+{_ANSWERS}
+    ELSE '{prompts.ENSURE}' || trim(replace(replace(issue, 'not', ''), 'no', '')) END AS principle
   FROM issues)"""
 
-_ACTIONABLE = "should|must|ensure|add|remove|include|specify|clarify|provide|always|never|require"
+_ACTIONABLE = "|".join(prompts.ACTIONABLE)
 
 _BOTH_KINDS = """,
 both_kinds AS (
@@ -267,6 +262,23 @@ SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
   SELECT q.label AS query_id, e.vec_id, {_QUERY_SCORES} AS s, row_number() OVER (PARTITION BY q.label ORDER BY {_QUERY_SCORES} DESC, e.vec_id) AS rank
   FROM embeddings e, (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q)
 WHERE rank <= 5""",
+    "vote_struct_keys": """
+SELECT substr(sha256('{"l_extendedprice":"' || CASE WHEN l_extendedprice = 0 THEN 'range_zero' ELSE 'range_log_bin_' || (trunc(ln(abs(l_extendedprice)) / ln(1.5))::BIGINT * CASE WHEN l_extendedprice < 0 THEN -1 ELSE 1 END) END
+  || '","l_linestatus":"' || l_linestatus || '","l_returnflag":"' || lower(trim(l_returnflag)) || '"}'), 1, 16) AS key, count(*) AS n
+FROM lineitem GROUP BY 1""",
+    "compare_sequences": f"""
+WITH {_ORDER_LISTS},
+pairs AS (SELECT x.l_orderkey, x.f AS a, y.f AS b FROM lists x JOIN lists y ON y.l_orderkey = x.l_orderkey + 1),
+sized AS (SELECT *, len(a) AS na, len(b) AS nb, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS short, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS long FROM pairs),
+counted AS (
+  SELECT *, len(list_filter(list_zip(a, b), lambda z: z[1] = z[2])) AS hits,
+         list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS shared,
+         list_max(list_transform(range(0, len(long) - len(short) + 1), lambda p: len(list_filter(range(1, len(short) + 1), lambda i: short[i] = long[i + p])))) AS best,
+         len(list_filter(range(1, len(short) + 1), lambda i: short[1:i] = long[1:i])) AS start
+  FROM sized)
+SELECT l_orderkey, na = nb AND hits / na >= 0.6 AS ordered, shared / greatest(na, nb) >= 0.6 AS unordered,
+       greatest(best / least(na, nb), start / greatest(na, nb)) >= 0.6 AS ordered_alike, shared / greatest(na, nb) >= 0.4 AS unordered_alike
+FROM counted""",
     "primary_term_matches": f"""
 WITH {_KEYWORDS}, t AS (SELECT DISTINCT term FROM kw),
 -- terms are whole words, so that a text contains one if a word of it does
@@ -365,7 +377,7 @@ l AS (SELECT p_partkey, list_concat(list_concat(
 SELECT p_partkey AS feedback_id, (generate_subscripts(l, 1) - 1)::INTEGER AS place, unnest(l).p AS principle, unnest(l).i AS importance FROM l""",
     "prompt_clarify": f"""
 WITH {_ISSUES}
-SELECT p_partkey, trim(regexp_replace(regexp_replace('Maybe it might ' || issue || ' or PERHAPS  not?', '(?i)\\b(?:maybe|perhaps|might|could|possibly|somewhat|likely|probably|seems|appears)\\b', '', 'g'), '\\s+', ' ', 'g')) AS clear,
+SELECT p_partkey, trim(regexp_replace(regexp_replace('Maybe it might ' || issue || ' or PERHAPS  not?', '(?i)\\b(?:{'|'.join(prompts.HEDGES)})\\b', '', 'g'), '\\s+', ' ', 'g')) AS clear,
        replace('Maybe it might ' || issue || ' or PERHAPS  not?', '?', ' with specific details and examples?') AS specific
 FROM issues""",
     "principle_dedupe": """
@@ -459,6 +471,34 @@ reach AS (
   SELECT p_partkey AS result_id, p_name AS term_key, 0 AS hops FROM part WHERE p_partkey % 10 = 0
   UNION SELECT result_id, other, hops + 1 FROM reach r JOIN steps s ON s.term_key = r.term_key WHERE hops < 3)
 SELECT result_id, term_key, min(hops)::INTEGER AS hops FROM reach GROUP BY ALL HAVING min(hops) > 0""",
+    "search_saved_base": f"""
+WITH {_PART_RELATIONS},
+q AS (SELECT 'standard polished steel and large brass' AS q),
+letters AS (SELECT string_split('abcdefghijklmnopqrstuvwxyz', '') AS l),
+v AS (
+  SELECT p_partkey::VARCHAR AS chunk_id, p_partkey % 7 AS doc_id, p_size % 3 AS page, lower(p_name || ' ' || p_type) AS t, q,
+         list_transform(l, lambda x: (length(lower(p_name || ' ' || p_type)) - length(replace(lower(p_name || ' ' || p_type), x, '')))::DOUBLE) AS a,
+         list_transform(l, lambda x: (length(q) - length(replace(q, x, '')))::DOUBLE) AS b
+  FROM part, q, letters),
+found AS (
+  SELECT * FROM (
+    SELECT chunk_id AS result_id, doc_id, page, t, q, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 9) AS score FROM v)
+  WHERE score >= 0.1 ORDER BY score DESC, result_id LIMIT 25),
+prim AS (SELECT result_id, term_key, term_type FROM found JOIN known ON term_key <> '' AND contains(t, lower(term_key))),
+rel AS (
+  SELECT result_id, keyword AS term_key FROM prim JOIN links ON acronym = term_key WHERE term_type = 'acronym' AND keyword IN (SELECT term_key FROM known)
+  UNION SELECT result_id, acronym FROM prim JOIN links ON keyword = term_key WHERE term_type = 'keyword' AND acronym IN (SELECT term_key FROM known)
+  UNION SELECT result_id, other FROM prim JOIN companions ON term = term_key WHERE rank <= 5 AND other IN (SELECT term_key FROM known)),
+said AS (
+  SELECT result_id, (length(q) - length(replace(q, lower(term_key), ''))) // length(term_key) AS n
+  FROM (SELECT result_id, term_key FROM prim UNION SELECT result_id, term_key FROM rel), q),
+rated AS (SELECT result_id, round(0.7 * sum(n) + 0.3 * count(*), 9) AS relevance FROM said WHERE n > 0 GROUP BY result_id),
+media AS (SELECT n_nationkey % 7 AS doc_id, n_regionkey % 2 + 1 AS page, string_agg(n_name, ',' ORDER BY n_name) AS images, string_agg(lower(n_name), ',' ORDER BY lower(n_name)) AS tables FROM nation GROUP BY ALL)
+SELECT result_id AS chunk_id, round(score, 6) AS score, round(coalesce(relevance, 0), 6)::DOUBLE AS relevance, round(score * 0.6 + least(coalesce(relevance, 0)::DOUBLE / 10, 0.4), 6) AS combined,
+  coalesce((SELECT string_agg(DISTINCT term_key, ',' ORDER BY term_key) FROM prim p WHERE p.result_id = f.result_id), '') AS primary_terms,
+  (SELECT count(DISTINCT term_key) FROM rel r WHERE r.result_id = f.result_id)::INTEGER AS n_related,
+  coalesce(m.images, '') AS images, coalesce(m.tables, '') AS tables
+FROM found f LEFT JOIN rated USING (result_id) LEFT JOIN media m ON m.doc_id = f.doc_id AND m.page = f.page AND f.page <> 0""",
     "search_with_links": f"""
 WITH {_PART_RELATIONS},
 found AS (SELECT p_partkey AS result_id, lower(p_name || ' ' || p_type) AS t, p_size / 100::DOUBLE AS score FROM part WHERE p_partkey % 50 = 0),

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Least height of an image, and the gap below which a table of contents goes on over a page break.
 LEAST_IMAGE, CONTENTS_GAP = 64, 40
+# Forms of an entry and of the heading of a table of contents.
+CONTENTS_ENTRY = r"[\d.]+\s+.*?\s*[\s.]{2,}\s*\d+|^\s*[o▪•]\s*"
+CONTENTS_HEADING = r"table\s+of\s+contents?"
 
 
 def outside_tables(objects: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -55,8 +58,8 @@ def outside_contents(lines: DataFrame, page_height: float, gap: float = CONTENTS
     def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         kept, last_page, room = [], None, None
         for page, rows in pdf.sort_values(["page", "top"]).groupby("page"):
-            entries = rows[rows["text"].str.contains(r"[\d.]+\s+.*?\s*[\s.]{2,}\s*\d+|^\s*[o▪•]\s*", regex=True)]
-            heads = rows[rows["text"].str.contains(r"table\s+of\s+contents?", case=False, regex=True)]
+            entries = rows[rows["text"].str.contains(CONTENTS_ENTRY, regex=True)]
+            heads = rows[rows["text"].str.contains(CONTENTS_HEADING, case=False, regex=True)]
             begin = None
             if len(heads):
                 last_page = page

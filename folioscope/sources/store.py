@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,6 +15,38 @@ from pyspark.sql import functions as F
 RELATIONS = ("documents", "pages", "chunks", "terms", "cooccurrences", "links", "vectors")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _file_system(spark, path)
+    return fs.exists(hadoop)
+
+
+def _manifests(spark: SparkSession, path: str) -> list[dict]:
+    """The manifests under a path, in the order of their publication."""
+    fs, folder = _file_system(spark, f"{path}/manifests")
+    if not fs.exists(folder):
+        return []
+    names = sorted(n for s in fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json"))
+    return [json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifests/{n}").collect())) for n in names]
+
+
+def _publish(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Write a manifest aside and give it the next number: it is there whole, or not at all."""
+    fs, folder = _file_system(spark, f"{path}/manifests")
+    fs.mkdirs(folder)
+    aside = f"{path}/manifests/{uuid.uuid4().hex}.unpublished"
+    out = fs.create(_file_system(spark, aside)[1])
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    number = 1 + max((int(n.split(".")[0]) for s in fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json")), default=0)
+    if not fs.rename(_file_system(spark, aside)[1], _file_system(spark, f"{path}/manifests/{number:08d}.json")[1]):
+        raise RuntimeError(f"another save was published as number {number} in {path}")
+
+
 @dataclass
 class KnowledgeBase:
     """The relations of a linked knowledge base; absent ones are None."""
@@ -25,28 +59,48 @@ class KnowledgeBase:
     links: DataFrame | None = None
     vectors: DataFrame | None = None
 
-    def save(self, path: str) -> None:
-        """Each relation as Parquet under the path; what is there is replaced."""
+    def save(self, path: str, version: str | None = None) -> None:
+        """Each relation as Parquet in a version's folder under the path, published by a manifest that is written last.
+
+        Until then, and if a table fails, load() gives what was published before. A save with the name of an unfinished version goes on
+        with it: tables that it has completed aren't written again. Earlier versions stay; prune() removes them.
+        """
         if not path:
             raise ValueError("a path is needed")
-        for name in RELATIONS:
-            table = getattr(self, name)
-            if table is not None:
-                table.write.mode("overwrite").parquet(f"{path}/{name}")
+        present = [name for name in RELATIONS if getattr(self, name) is not None]
+        if not present:
+            raise ValueError("there is no relation to save")
+        spark = getattr(self, present[0]).sparkSession
+        version = version or uuid.uuid4().hex
+        if any(m["version"] == version for m in _manifests(spark, path)):
+            raise ValueError(f"version {version} is published already")
+        for name in present:
+            if not _exists(spark, f"{path}/versions/{version}/{name}/_SUCCESS"):
+                getattr(self, name).write.mode("overwrite").parquet(f"{path}/versions/{version}/{name}")
+        _publish(spark, path, {"version": version, "relations": present})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> KnowledgeBase:
-        """ValueError without a path, or if nothing there is a table; FileNotFoundError if there is nothing."""
+        """What was published last. ValueError without a path, or if no base is there; FileNotFoundError if there is nothing."""
         if not path:
             raise ValueError("a path is needed")
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
+        if not _exists(spark, path):
             raise FileNotFoundError(path)
-        there = {s.getPath().getName() for s in fs.listStatus(hadoop)}
-        if not there & set(RELATIONS):
+        published = _manifests(spark, path)
+        if not published:
             raise ValueError(f"no knowledge base in {path}")
-        return cls(**{name: spark.read.parquet(f"{path}/{name}") for name in RELATIONS if name in there})
+        last = published[-1]
+        return cls(**{name: spark.read.parquet(f"{path}/versions/{last['version']}/{name}") for name in last["relations"]})
+
+    @staticmethod
+    def prune(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+        """Remove all versions but the last keep published ones, unfinished ones too; nobody may be writing or reading those. Their names."""
+        kept = {m["version"] for m in _manifests(spark, path)[-max(1, keep) :]}
+        fs, folder = _file_system(spark, f"{path}/versions")
+        gone = [s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName() not in kept] if fs.exists(folder) else []
+        for name in gone:
+            fs.delete(_file_system(spark, f"{path}/versions/{name}")[1], True)
+        return sorted(gone)
 
     def with_vectors(self, encode) -> KnowledgeBase:
         """With vectors(chunk_id, vector) made from the chunks' texts, where there are none."""

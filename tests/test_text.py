@@ -11,13 +11,13 @@ from folioscope.functions import fuzzy
 from folioscope.functions import text as T
 from folioscope.functions import vectors as V
 
-EMOJI = re.compile("[\U0001f600-\U0001f64f\U0001f300-\U0001f5ff\U0001f680-\U0001f6ff\U0001f1e0-\U0001f1ff\U0001f900-\U0001f9ff\U00002702-\U000027b0️︎‍]+")
+EMOJI = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m[1], 16)), T.EMOJI))
 
 
 def plain_normalize(term):
     out = re.sub(r"\s*\([^)]*\)", "", EMOJI.sub("", term.lower()))
     while True:
-        new = re.sub(r"^\s*(?:[-•·*▪▸◦‣⁃]|\d+[.)]|[a-z][.)]|[ivxlcdm]+[.)])\s*", "", out)
+        new = re.sub(rf"^\s*{T.LIST_MARKS}\s*", "", out)
         if new == out:
             break
         out = new
