@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import chunks as C
 from folioscope.operators import indices, postings, vector_index
-from folioscope.sources import tables
+from folioscope.sources import layout, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +116,46 @@ def ruled_tables(spark, d):
     return found.select("doc_id", "table", "x0", "top", "x1", "bottom", "rows", "columns", F.array_join(rows, "#").alias("data"))
 
 
+# --- tables of contents -----------------------------------------------------------------------------------------------
+
+_PAGE_LINES, _LINE_HEIGHT = 12, 18.0
+_CONTENTS_SQL = f"""
+WITH RECURSIVE raw AS (
+  SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+placed AS (
+  SELECT doc_id, pos // {_PAGE_LINES} AS page, (pos % {_PAGE_LINES}) * {_LINE_HEIGHT}::DOUBLE AS top, (pos % {_PAGE_LINES}) * {_LINE_HEIGHT}::DOUBLE + 12 AS bottom, pos,
+         CASE WHEN (doc_id + pos // {_PAGE_LINES}) % 3 = 0 AND pos % {_PAGE_LINES} = 1 THEN 'Table  of Contents'
+              WHEN (doc_id + pos // {_PAGE_LINES}) % 3 < 2 AND (doc_id * 7 + pos) % 4 < 3 THEN '1.' || pos || ' ' || text || ' .... ' || pos ELSE text END AS text
+  FROM raw),
+lines AS (SELECT *, regexp_matches(text, '{layout.CONTENTS_ENTRY}') AS entry, regexp_matches(text, '(?i){layout.CONTENTS_HEADING}') AS head FROM placed),
+pages AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS nth FROM (
+    SELECT doc_id, page, min(top) FILTER (head) AS head, min(top) FILTER (entry) AS first, max(bottom) FILTER (entry) AS last FROM lines GROUP BY ALL)
+  WHERE head IS NOT NULL OR first IS NOT NULL),
+scan AS (
+  SELECT doc_id, 0::BIGINT AS nth, NULL::BIGINT AS page, NULL::BIGINT AS held, NULL::DOUBLE AS room, NULL::DOUBLE AS begins, NULL::DOUBLE AS ends FROM (SELECT DISTINCT doc_id FROM pages)
+  UNION ALL
+  SELECT doc_id, nth, page, CASE WHEN head IS NOT NULL OR goes_on THEN page ELSE held END, CASE WHEN begins IS NOT NULL THEN {_PAGE_LINES * _LINE_HEIGHT} - last ELSE room END, begins, last FROM (
+    SELECT p.*, s.held, s.room, (head IS NULL AND first IS NOT NULL AND coalesce(p.page = s.held + 1, false)) AS goes_on,
+           CASE WHEN head IS NOT NULL AND first IS NOT NULL THEN head
+                WHEN head IS NULL AND first IS NOT NULL AND coalesce(p.page = s.held + 1, false) AND coalesce(first + s.room < {layout.CONTENTS_GAP}, false) THEN first END AS begins
+    FROM scan s JOIN pages p ON p.doc_id = s.doc_id AND p.nth = s.nth + 1))
+SELECT l.doc_id, l.page, l.top, l.text FROM lines l LEFT JOIN (SELECT * FROM scan WHERE begins IS NOT NULL) s ON s.doc_id = l.doc_id AND s.page = l.page
+WHERE s.begins IS NULL OR l.bottom <= s.begins OR l.top >= s.ends
+"""
+
+
+@query(_CONTENTS_SQL)
+def lines_outside_contents(spark, d):
+    """Lines of paged documents, some of them made headings and entries of tables of contents, that stand outside those tables."""
+    lines = _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    page, at = F.floor(F.col("pos") / _PAGE_LINES), F.col("pos") % _PAGE_LINES
+    entry = F.concat(F.lit("1."), F.col("pos").cast("string"), F.lit(" "), F.col("text"), F.lit(" .... "), F.col("pos").cast("string"))
+    said = F.when(((F.col("doc_id") + page) % 3 == 0) & (at == 1), F.lit("Table  of Contents")).when(((F.col("doc_id") + page) % 3 < 2) & ((F.col("doc_id") * 7 + F.col("pos")) % 4 < 3), entry).otherwise(F.col("text"))
+    placed = lines.select("doc_id", page.alias("page"), (at * _LINE_HEIGHT).alias("top"), (at * _LINE_HEIGHT + 12).alias("bottom"), said.alias("text"))
+    return layout.outside_contents(placed, _PAGE_LINES * _LINE_HEIGHT).select("doc_id", "page", "top", "text")
+
+
 # --- postings ---------------------------------------------------------------------------------------------------------
 
 _CHUNKS_SQL = """

@@ -5,8 +5,7 @@ objects(doc_id, page, kind, x0, x1, top, bottom, color, text): what a PDF reader
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Least height of an image, and the gap below which a table of contents goes on over a page break.
@@ -48,32 +47,35 @@ def real_tables(tables: DataFrame) -> DataFrame:
     return tables.where(F.size("data") > 1)
 
 
-def outside_contents(lines: DataFrame, page_height: float, gap: float = CONTENTS_GAP) -> DataFrame:
-    """lines(doc_id, page, top, bottom, text) without tables of contents.
+def contents_spans(lines: DataFrame, page_height: float, gap: float = CONTENTS_GAP) -> DataFrame:
+    """lines(doc_id, page, top, bottom, text) -> (doc_id, page, begin, end): where tables of contents stand, at most one a page.
 
     One begins with a heading and reaches to the last entry of its page; it goes on, on the next page, from the
-    first entry there if the blank space between is below gap. A document's lines are scanned in order, by document.
+    first entry there if the blank space between is below gap. Each page is summed up first; a fold over a document's pages, in order,
+    carries the last page of a table and the room below it.
     """
+    entry, head = F.col("text").rlike(CONTENTS_ENTRY), F.col("text").rlike(f"(?i){CONTENTS_HEADING}")
+    of_page = lines.groupBy("doc_id", "page").agg(
+        F.min(F.when(head, F.col("top"))).alias("head"), F.min(F.when(entry, F.col("top"))).alias("first"), F.max_by(F.when(entry, F.col("bottom")), F.when(entry, F.col("top"))).alias("last")
+    ).where("head is not null or first is not null")  # others end a table as a missing page does
+    pages = of_page.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "head", "first", "last"))).alias("pages"))
+    span = "struct<page:int,begin:double,end:double>"
+    none = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("double").alias("room"), F.array().cast(f"array<{span}>").alias("found"))
+
+    def step(s: Column, p: Column) -> Column:
+        goes_on = p["head"].isNull() & F.coalesce(p["page"] == s["at"] + 1, F.lit(False)) & p["first"].isNotNull()
+        begin = F.when(p["head"].isNotNull() & p["first"].isNotNull(), p["head"]).when(goes_on & F.coalesce(p["first"] + s["room"] < gap, F.lit(False)), p["first"])
+        at = F.when(p["head"].isNotNull() | goes_on, p["page"].cast("int")).otherwise(s["at"])
+        here = F.struct(p["page"].cast("int").alias("page"), begin.cast("double").alias("begin"), p["last"].cast("double").alias("end"))
+        found = F.when(begin.isNotNull(), F.array_append(s["found"], here)).otherwise(s["found"])
+        return F.struct(at.alias("at"), F.when(begin.isNotNull(), (page_height - p["last"]).cast("double")).otherwise(s["room"]).alias("room"), found.alias("found"))
+
+    found = pages.select("doc_id", F.explode(F.aggregate("pages", none, step)["found"]).alias("s"))
+    return found.select("doc_id", "s.page", "s.begin", "s.end")
+
 
-    def scan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last_page, room = [], None, None
-        for page, rows in pdf.sort_values(["page", "top"]).groupby("page"):
-            entries = rows[rows["text"].str.contains(CONTENTS_ENTRY, regex=True)]
-            heads = rows[rows["text"].str.contains(CONTENTS_HEADING, case=False, regex=True)]
-            begin = None
-            if len(heads):
-                last_page = page
-                if len(entries):
-                    begin = heads["top"].iloc[0]
-            elif last_page is not None and page == last_page + 1 and len(entries):
-                last_page = page
-                if room is not None and entries["top"].iloc[0] + room < gap:
-                    begin = entries["top"].iloc[0]
-            if begin is not None:
-                end = entries["bottom"].iloc[-1]
-                room = page_height - end
-                rows = rows[(rows["bottom"] <= begin) | (rows["top"] >= end)]
-            kept.append(rows)
-        return pd.concat(kept) if kept else pdf
-
-    return lines.groupBy("doc_id").applyInPandas(scan, lines.schema)
+def outside_contents(lines: DataFrame, page_height: float, gap: float = CONTENTS_GAP) -> DataFrame:
+    """lines(doc_id, page, top, bottom, text) without tables of contents (see contents_spans)."""
+    spans = contents_spans(lines, page_height, gap)
+    placed = lines.join(spans, ["doc_id", "page"], "left")
+    return placed.where(F.col("begin").isNull() | (F.col("bottom") <= F.col("begin")) | (F.col("top") >= F.col("end"))).select(*lines.columns)
