@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import chunks as C
 from folioscope.operators import indices, postings, vector_index
-from folioscope.sources import layout, tables
+from folioscope.sources import layout, scratch, store, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,6 +156,30 @@ def lines_outside_contents(spark, d):
     return layout.outside_contents(placed, _PAGE_LINES * _LINE_HEIGHT).select("doc_id", "page", "top", "text")
 
 
+# --- metrics of stages ------------------------------------------------------------------------------------------------
+
+
+def _metrics_sql() -> str:
+    return f"""
+WITH {_CHUNKS_SQL},{_WORDS_SQL},
+acronyms AS (SELECT doc_id, chunk_index, unnest(string_split_regex(text, '[^A-Za-z0-9]+')) AS term FROM chunks),
+lists AS (SELECT DISTINCT doc_id, chunk_index, token FROM tokens)
+SELECT 'chunks' AS stage, count(*) AS rows, coalesce(sum(strlen(chunk_id) + strlen(text)), 0)::BIGINT AS bytes FROM chunks
+UNION ALL SELECT 'tokens', count(*), coalesce(sum(strlen(token)), 0)::BIGINT FROM lists
+UNION ALL SELECT 'acronyms', count(*), coalesce(sum(strlen(term)), 0)::BIGINT FROM acronyms WHERE regexp_full_match(term, '[A-Z]{{2,6}}')
+"""
+
+
+def stage_metrics(spark, d):
+    """Rows and bytes of text of the first stages of a build, counted while they are written."""
+    metrics: list[dict] = []
+    save = store.metered(scratch.written, metrics)
+    chunks = save(_chunks(spark, d), "chunks")
+    save(C.token_occurrences(chunks), "tokens")
+    save(C.upper_tokens(chunks), "acronyms")
+    return spark.createDataFrame([(m["stage"], m["rows"], m["bytes"]) for m in metrics], "stage string, rows long, bytes long")
+
+
 # --- postings ---------------------------------------------------------------------------------------------------------
 
 _CHUNKS_SQL = """
@@ -253,3 +277,6 @@ def vector_index_topk(spark, d):
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = vector_index.VectorIndex.build(e, "vec_id", "embedding").search(asked, 10, id_col="vec_id")
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+query(_metrics_sql())(stage_metrics)
