@@ -340,7 +340,7 @@ def related_terms_one_hop(spark, d):
 def query_relevance(spark, d):
     asked = _table(spark, d, "documents").select(F.col("doc_id").alias("result_id"), "text")
     words = _table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 2)).alias("term")).distinct()
-    found = asked.join(words, F.lower("text").contains(F.col("term")))
+    found = search.primary_terms(asked, words.withColumnRenamed("term", "term_key")).withColumnRenamed("term_key", "term").join(asked, "result_id")
     return search.relevance(search.query_frequencies(found, F.col("text"))).select("result_id", F.round("relevance", 6).alias("relevance"), "n_terms")
 
 

@@ -156,6 +156,26 @@ def lines_outside_contents(spark, d):
     return layout.outside_contents(placed, _PAGE_LINES * _LINE_HEIGHT).select("doc_id", "page", "top", "text")
 
 
+# --- pages and their chunks -------------------------------------------------------------------------------------------
+
+_PAGES_SQL = f"""
+WITH raw AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+trimmed AS (SELECT doc_id, pos // {_PAGE_LINES} + 1 AS page, pos, trim(line) AS text FROM raw WHERE trim(line) <> ''),
+counted AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) - 1 AS nth, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_index FROM trimmed)
+SELECT doc_id, doc_id || '_p' || page || '_c' || nth AS chunk_id, chunk_index, page, text FROM counted
+"""
+
+
+@query(_PAGES_SQL)
+def chunk_pages(spark, d):
+    """Chunks of documents of several pages, numbered within their page and through their document."""
+    lines = _table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    page = (F.floor(F.col("pos") / _PAGE_LINES) + 1).alias("page")
+    pages = lines.groupBy("doc_id", page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return C.page_chunks(pages, F.split("text", "\n", -1))
+
+
 # --- metrics of stages ------------------------------------------------------------------------------------------------
 
 
