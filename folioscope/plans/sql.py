@@ -142,6 +142,37 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _principle_apply() -> str:
+    said = {k: _quoted(v).replace("\n", "' || chr(10) || '") for k, v in vars(prompts).items() if isinstance(v, str) and k.isupper()}
+    gap = "chr(10) || chr(10)"
+    has = lambda *words: " OR ".join(f"contains(low, '{w}')" for w in words)
+    questions = " OR ".join(f"contains(lower(x), '{w}')" for w in prompts.QUESTIONS)
+    rules = (("clarity", "clear"), ("specific", "concrete"), ("concise", "shorten"), ("simple", "break down"), ("context",), ("add", "include"), ("structure",), ("example",), ("format",))
+    example = f"prompt || {said['EXAMPLE_AFTER']}"
+    kept = (f"prompt || {said['REQUIREMENTS_AFTER']}", f"prompt || {said['SPECIFICALLY_AFTER']}", "simple", "parts", f"{said['BACKGROUND_BEFORE']} || prompt", f"prompt || {gap} || added", "structure", example, "format")
+    free = (f"{said['INSTRUCTION_BEFORE']} || clear", "exact", "simple", "parts", f"{said['DOMAIN_BEFORE']} || prompt", f"added || {gap} || prompt", "structure", example, "format")
+    cases = lambda out, rest: "CASE " + " ".join(f"WHEN {has(*r)} THEN {o}" for r, o in zip(rules, out)) + f" ELSE {rest} END"
+    return f"""
+WITH {_ISSUES},
+asked AS (SELECT p_partkey, issue, lower(issue) AS low, 'Maybe explain the parts, the whole and the ' || issue || '. What could it cost?' AS prompt FROM issues),
+cut AS (
+  SELECT *, list_filter(string_split_regex(prompt, '\\s+'), lambda w: w <> '') AS words, string_split_regex(prompt, '[;,]|\\band\\b') AS bits,
+         list_filter(list_transform(string_split_regex(prompt, '[.!?]+'), lambda x: trim(x)), lambda x: x <> '') AS sentences,
+         trim(regexp_extract(issue, '(?i)(?:add|include)\\s+(.+)', 1)) AS more
+  FROM asked),
+folded AS (SELECT *, list_transform(words, lambda w: lower(w)) AS lows, list_filter(sentences, lambda x: {questions}) AS questions FROM cut),
+made AS (
+  SELECT *, trim(regexp_replace(regexp_replace(prompt, '(?i)\\b(?:{'|'.join(prompts.HEDGES)})\\b', '', 'g'), '\\s+', ' ', 'g')) AS clear,
+         replace(prompt, '?', {said['DETAILS']}) AS exact, trim(regexp_extract(prompt, '([^.]*\\?)', 1)) AS core,
+         array_to_string(list_filter(words, lambda w, i: list_contains({list(prompts.REPEATABLE)}, lower(w)) OR list_position(lows, lower(w)) = i), ' ') AS simple,
+         {said['ADDRESS']} || array_to_string(list_filter(list_transform(bits, lambda b, i: CASE WHEN trim(b) <> '' THEN i || '. ' || trim(b) END), lambda b: b IS NOT NULL), chr(10)) AS parts,
+         {said['MAIN_REQUEST']} || array_to_string(questions, '. ') || {said['CONTEXT_AFTER']} || array_to_string(list_filter(sentences, lambda x: NOT list_contains(questions, x)), '. ') AS structure,
+         array_to_string(list_transform(regexp_extract_all(prompt, '[^.!?]*[.!?]+|[^.!?]+$'), lambda x: upper(x[1]) || x[2:]), '') AS format,
+         CASE WHEN more <> '' THEN more ELSE {said['NOTHING_TO_ADD']} END AS added
+  FROM folded)
+SELECT p_partkey, {cases(kept, f"{said['PRINCIPLE_BEFORE']} || issue || {gap} || prompt")} AS kept, {cases(free, f"issue || {gap} || core")} AS free, simple, parts, structure, format FROM made"""
+
+
 def _formatted(text: str, *values: str) -> str:
     """A text with %d and %s places as an expression that joins it with values."""
     parts = re.split("%[ds]", text)
@@ -375,6 +406,7 @@ l AS (SELECT p_partkey, list_concat(list_concat(
     list_transform(list_filter(['Add ' || issue, issue], lambda x: regexp_matches(lower(x), '{_ACTIONABLE}')), lambda x: {{'p': x, 'i': 0.8::DOUBLE}})),
     [{{'p': principle, 'i': 0.9::DOUBLE}}]) AS l FROM answers)
 SELECT p_partkey AS feedback_id, (generate_subscripts(l, 1) - 1)::INTEGER AS place, unnest(l).p AS principle, unnest(l).i AS importance FROM l""",
+    "principle_apply": _principle_apply(),
     "prompt_clarify": f"""
 WITH {_ISSUES}
 SELECT p_partkey, trim(regexp_replace(regexp_replace('Maybe it might ' || issue || ' or PERHAPS  not?', '(?i)\\b(?:{'|'.join(prompts.HEDGES)})\\b', '', 'g'), '\\s+', ' ', 'g')) AS clear,
