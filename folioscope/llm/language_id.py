@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from folioscope.llm.common import drop_scratch, scratch_table, text_slices, unused_name
 
 #: The bound of the labelled sample: rows of each language and of all together, and their characters, so that the automata
-#: (about 60 bytes a character) don't outgrow a task: at most 120 MB. The chosen texts are learned from whole.
+#: (about 60 bytes a character) don't outgrow a task or the driver: at most 60 MB. The chosen texts are learned from whole.
 SAMPLE_DOCS, ALL_DOCS = 100, 1000
-SAMPLE_CHARS, ALL_CHARS = 500_000, 2_000_000
+SAMPLE_CHARS, ALL_CHARS = 300_000, 1_000_000
 #: Symbols that are parsed side by side with others, and in all at once.
 BLOCK = 2048
 AT_ONCE = 1 << 21
@@ -132,7 +132,7 @@ class CrossParser:
         combs = _combs(spark, every, self.n_symbols) if spark is not None and every else [SuffixAutomaton(s).comb(self.n_symbols) for s in every]
         for symbols, (place, packed, root) in zip(every, combs):
             self.first.append(states)
-            packed, known = packed.copy(), packed >= 0
+            packed, known = np.array(packed), packed >= 0
             packed[known] += states * ((1 << 32) + 1)
             places.append(place + at)
             slots.append(packed)
@@ -358,7 +358,8 @@ def _combed(n_symbols: int):
 def _combs(spark: SparkSession, samples: list[np.ndarray], n_symbols: int) -> list[tuple[np.ndarray, ...]]:
     """The combs of all samples, each built in a task of its own."""
     rows = spark.createDataFrame([(i, bytearray(s.astype(np.int32).tobytes())) for i, s in enumerate(samples)], "i int, symbols binary").repartition(max(1, len(samples)))
-    found = {r["i"]: tuple(np.frombuffer(bytes(r[c]), np.int64) for c in ("places", "slots", "root")) for r in rows.mapInArrow(_combed(n_symbols), "i int, places binary, slots binary, root binary").collect()}
+    made = rows.mapInArrow(_combed(n_symbols), "i int, places binary, slots binary, root binary")
+    found = {r["i"]: tuple(np.frombuffer(r[c], np.int64) for c in ("places", "slots", "root")) for r in made.toLocalIterator()}  # one at a time, without copies
     return [found[i] for i in range(len(samples))]
 
 
