@@ -2,7 +2,9 @@
 
 import pytest
 
-from folioscope.operators import consensus
+from pyspark.sql import functions as F
+
+from folioscope.operators import consensus, terms
 
 
 def most_rows(df):
@@ -65,3 +67,11 @@ def test_results_count_refinements_without_pairs(plain):
     # a model that follows only itself was shown nothing
     lone = plain.createDataFrame([("x", 0, "m", 0, "a"), ("x", 1, "m", 0, "a"), ("y", 0, "m", 0, "a"), ("y", 1, "m", 0, "a"), ("y", 1, "n", 1, "a")], "item string, round int, model_id string, seq int, key string")
     assert {r["item"]: r["total_refinements"] for r in consensus.results(lone).collect()} == {"x": 0, "y": 1}
+
+
+def test_contexts_join_texts_once(plain):
+    chunks = plain.createDataFrame([(1, 0, "a b"), (1, 1, "b c"), (2, 0, "c"), (2, 3, "a c")], "doc_id int, chunk_index long, text string")
+    found = chunks.select(F.explode(F.split("text", " ")).alias("term"), "doc_id", "chunk_index")
+    out = terms.term_contexts(found, chunks)
+    assert sorted(map(tuple, out.collect())) == sorted([("a", 1, 0, "a b"), ("b", 1, 0, "a b"), ("b", 1, 1, "a b"), ("c", 1, 1, "b c"), ("c", 2, 0, "c"), ("c", 2, 3, "c"), ("a", 2, 3, "a c")])
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
