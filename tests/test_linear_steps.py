@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from folioscope.operators import consensus, postings, terms
+from folioscope.operators import consensus, postings, search, terms
 
 
 def most_rows(df):
@@ -82,3 +82,12 @@ def test_whole_words_make_rows_of_wanted_words_only(plain):
     out = postings.whole_word_positions(plain.createDataFrame([("api", 1)], "term string, doc_id long"), chunks)
     assert [(r["doc_id"], list(r["positions"])) for r in out.collect()] == [(1, [0, 1104])]
     assert most_rows(out) <= 3
+
+
+def test_word_keys_go_to_no_automaton(spark, monkeypatch):
+    monkeypatch.setattr(search, "_found_terms", lambda names: pytest.fail(f"an automaton of {names.value}"))
+    long = "x" * 70
+    results = spark.createDataFrame([(1, "Éclairs, eclair"), (2, f"a{long}y b"), (3, "x" * 69), (4, None), (5, "")], "result_id int, text string")
+    keys = spark.createDataFrame([(k,) for k in ("éclair", "CLAIR", long, "b", "", "zz")], "term_key string")
+    got = sorted(map(tuple, search.primary_terms(results, keys).select("result_id", "term_key").collect()))
+    assert got == [(1, "CLAIR"), (1, "éclair"), (2, "b"), (2, long)]
