@@ -39,7 +39,7 @@ def search_indices(occurrences: DataFrame, chunks: DataFrame, size: int = SEGMEN
 def chunk_terms(chunks: DataFrame, occurrences: DataFrame) -> DataFrame:
     """chunks with the set of terms that occur in each (chunks without any are left out)."""
     keys = ["doc_id", "page", "chunk_index"]
-    lists = occurrences.select("term", *keys).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    lists = occurrences.groupBy(*keys).agg(F.sort_array(F.collect_set("term")).alias("terms"))  # of one chunk: a row of it for each task that has some
     return chunks.join(lists, keys)
 
 
