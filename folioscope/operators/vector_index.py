@@ -174,18 +174,26 @@ def _bounded(centroids: np.ndarray, cells: list[tuple[int, float]]):
 
 
 def _best_of_cells(k: int):
-    """The rows of one part of a cell and the queries that visit it -> what may be among a query's k best."""
+    """The rows of one part of a cell and the queries that visit it -> what may be among a query's k best, and reaches its least."""
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         names = rows["name"].combine_chunks() if rows.num_rows else None
+        units = _units(_matrix(rows["vector"])) if rows.num_rows and asked.num_rows else None
         for start in range(0, asked.num_rows if rows.num_rows else 0, 256):
             part = asked.slice(start, 256)
-            cosines = _units(_matrix(rows["vector"])) @ _units(_matrix(part["query_vector"])).T
-            for q in range(part.num_rows):
-                at = pa.array(_promising(cosines[:, q], names.to_numpy(zero_copy_only=False), k))
-                same = pa.array(np.full(len(at), q))
-                out.append(pa.table({"query_id": part["query_id"].take(same), "query_vector": part["query_vector"].take(same), "name": names.take(at), "vector": rows["vector"].take(at)}))
+            cosines = _units(_matrix(part["query_vector"])) @ units.T
+            # most cells have no row that reaches what a query has found in its nearest ones
+            reached = cosines >= part["least"].to_numpy()[:, None] - MARGIN
+            queries, at = [], []
+            for q in np.nonzero(reached.any(axis=1))[0]:
+                own = np.nonzero(reached[q])[0]
+                own = own[_promising(cosines[q, own], names.take(pa.array(own)).to_numpy(zero_copy_only=False), k)]
+                queries.append(np.full(len(own), q))
+                at.append(own)
+            if at:
+                same, found = pa.array(np.concatenate(queries)), pa.array(np.concatenate(at))
+                out.append(pa.table({"query_id": part["query_id"].take(same), "query_vector": part["query_vector"].take(same), "name": names.take(found), "vector": rows["vector"].take(found)}))
         return pa.concat_tables(out) if out else pa.table({"query_id": asked["query_id"].slice(0, 0), "query_vector": asked["query_vector"].slice(0, 0), "name": rows["name"].slice(0, 0), "vector": rows["vector"].slice(0, 0)})
 
     return run
@@ -231,9 +239,9 @@ class VectorIndex:
         return self.rows.sparkSession.createDataFrame(self.cells, "cell int, n long, radius double, parts int")
 
     def _candidates(self, visits: DataFrame, k: int, kind: str, deals: int) -> DataFrame:
-        """visits(query_id, query_vector, cell): the rows that may be among the k best of a query, in the cells it visits."""
+        """visits(query_id, query_vector, cell, least): the rows that may be among the k best of a query, in the cells it visits, of that score at least."""
         deal = F.pmod(F.xxhash64("query_id"), F.lit(deals)).cast("int")
-        asked = visits.join(F.broadcast(self._cell_table().select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", deal.alias("deal"), "query_id", "query_vector")
+        asked = visits.join(F.broadcast(self._cell_table().select("cell", "parts")), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "part", deal.alias("deal"), "query_id", "query_vector", "least")
         rows = self.rows.join(F.broadcast(visits.select("cell").distinct()), "cell", "left_semi").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))  # at most CELLS cells
         keys = ["cell", "part", "deal"]
         schema = f"query_id {kind}, query_vector array<double>, name {self.rows.schema['name'].dataType.simpleString()}, vector array<double>"
@@ -249,12 +257,12 @@ class VectorIndex:
         order = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "cell")
         before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         bounds = save(bounds.withColumn("first", before < k), "bounds")
-        first = save(self._candidates(bounds.where("first").select("query_id", "query_vector", "cell"), k, kind, deals), "first")
+        first = save(self._candidates(bounds.where("first").select("query_id", "query_vector", "cell", F.lit(-2.0).alias("least")), k, kind, deals), "first")
         reached = _ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
         more = bounds.where("not first").join(reached, "query_id", "left").where((F.col("most") + MARGIN >= F.coalesce("reached", F.lit(-2.0))))
-        more = save(more.select("query_id", "query_vector", "cell"), "more")
+        more = save(more.select("query_id", "query_vector", "cell", F.coalesce("reached", F.lit(-2.0)).alias("least")), "more")
         rest = self._candidates(more, k, kind, deals)
-        return bounds.where("first").select("query_id", "query_vector", "cell").unionByName(more), first.unionByName(rest)
+        return bounds.where("first").select("query_id", "query_vector", "cell").unionByName(more.drop("least")), first.unionByName(rest)
 
     def search(self, queries: DataFrame, k: int, threshold: float | None = None, id_col: str = "chunk_id") -> DataFrame:
         """queries(query_id, query_vector), distinct ids -> (query_id, id, score, rank): the same rows as batch_top_k over all rows."""
