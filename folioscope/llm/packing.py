@@ -15,17 +15,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import DOCS_AT_ONCE, scratch_table, text_slices, unused_name
+from folioscope.llm.common import DOCS_AT_ONCE, scratch_table, slices, unused_name
 
 WINDOW = 2048
 #: Words whose ids a worker remembers for sure; as many more, used less lately, may be kept too.
 CACHED = 400_000
-#: Documents whose words are looked up together.
-DOCS_TOGETHER = 512
 
 
 class _Recent:
@@ -34,71 +33,135 @@ class _Recent:
     def __init__(self, fill: Callable[[list], list], size: int):
         self.fill, self.size, self.now, self.before = fill, size, {}, {}
 
-    def of(self, keys: set) -> dict:
-        """A mapping that holds all of the keys."""
+    def of(self, keys: list) -> list:
+        """The values of keys, which are different from one another."""
         if len(self.now) > self.size:
             self.now, self.before = {}, self.now
-        now, before, missing = self.now, self.before, []
-        for k in keys.difference(now):
-            if k in before:
-                now[k] = before[k]
+        values = list(map(self.now.get, keys))
+        missing = []
+        for i in (i for i, v in enumerate(values) if v is None):
+            values[i] = self.before.get(keys[i])
+            if values[i] is None:
+                missing.append(i)
             else:
-                missing.append(k)
-        if missing:
-            now.update(zip(missing, self.fill(missing)))
-        return now
-
-
-#: The marks that a word ends in: right behind a-z, 0-9 or a Latin-1 letter (two bytes), and before white space.
-_WORD_END = re.compile(rb"[.,;:!?#%$*&](?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,;:!?#%$*&]*(?![^\x20\x09-\x0D])")
-
+                self.now[keys[i]] = values[i]
+        for i, v in zip(missing, self.fill([keys[i] for i in missing]) if missing else []):
+            values[i] = self.now[keys[i]] = v
+        return values
+
+
+#: Bytes that part words, the marks that a word may end in, and the bytes that end a letter or digit before them: a-z and 0-9, or the second byte of a Latin-1 letter.
+_SPACE, _MARK, _PLAIN, _LATIN = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", b".,;:!?#%$*&", b"abcdefghijklmnopqrstuvwxyz0123456789", {*range(0x80, 0xC0)} - {0x97, 0xB7}))
+#: Words of a-z and lower-case Latin-1 letters: one piece of text for a tokenizer that parts it at what is no letter.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Such words that are tokenised as one text.
+WORDS_TOGETHER = 256
+
+
+def _parts(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The parts between white space, marks at words' ends set apart, of all texts, and how many of them stand before each text's end."""
+    special = [t is not None and b"<|" in t for t in texts]
+    raw = [t or b"" if kept else (t or b"").lower() for t, kept in zip(texts, special)]
+    sizes = np.array([len(t) + 1 for t in raw], np.int64)
+    ends = np.cumsum(sizes)
+    # a blank before, so that the two bytes before each one can be looked at, and one behind each text
+    chars = np.frombuffer(b"".join((b"  ", b" ".join(raw), b" ")), np.uint8)
+    now, last = chars[2:], chars[1:-1]
+    word, mark = ~_SPACE[now], _MARK[now]
+    starts = word & _SPACE[last]
+    runs = np.flatnonzero(mark & ~_MARK[last])
+    if len(runs):
+        until = np.flatnonzero(~mark & _MARK[last])  # the first byte behind each run
+        before = chars[runs + 1]
+        apart = (_PLAIN[before] | (_LATIN[before] & (chars[runs] == 0xC3))) & _SPACE[now[until]]
+        if any(special):
+            apart &= ~np.array(special)[np.searchsorted(ends, runs, "right")]
+        starts[runs[apart]] = True
+    first = np.flatnonzero(starts)
+    letters = now[word]
+    places = np.cumsum(word, dtype=np.int32)[first] - 1
+    offsets = np.append(places, len(letters)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    return found, np.searchsorted(first, ends)
+
+
+def _cells(values: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls that begins with its buffers."""
+    if not len(values):
+        return []
+    at, raw = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1].tolist(), values.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def _ids_of(tokenizer_file: str) -> Callable[[list[bytes]], list[bytes]]:
+    """A function from parts of texts to the ids of each; words of letters go to the tokenizer many at once, where its pieces show where a word ends."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of its own only cost
+    from tokenizers import Tokenizer
 
-def chunk_encoder(tokenizer_file: str, end_id: int | None = 1, cached: int = CACHED) -> Callable[[list[str | None]], list[bytes]]:
-    """A function from texts to their ids as little-endian 32-bit numbers, followed by end_id.
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    if suffix:
+        last[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+
+    def encoded(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for i in range(0, len(texts), 4096) for e in tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+
+    def alone(parts: list[bytes]) -> list[bytes]:
+        return [ids.tobytes() for ids in encoded([p.decode("utf-8", "replace") for p in parts])]
+
+    def ids_of(parts: list[bytes]) -> list[bytes]:
+        if not suffix:
+            return alone(parts)
+        words = [p for p in parts if _LETTERS.fullmatch(p)]
+        blocks = [words[i : i + WORDS_TOGETHER] for i in range(0, len(words), WORDS_TOGETHER)]
+        found: dict[bytes, bytes] = {}
+        for block, ids in zip(blocks, encoded([b" ".join(b).decode() for b in blocks])):
+            ends = 4 * (np.flatnonzero(last[ids]) + 1)
+            if len(ends) == len(block) and ends[-1] == 4 * len(ids):
+                raw, ends = ids.tobytes(), ends.tolist()
+                found.update(zip(block, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        rest = [p for p in parts if p not in found]
+        found.update(zip(rest, alone(rest)))
+        return [found[p] for p in parts]
+
+    return ids_of
+
+
+def batch_encoder(tokenizer_file: str, end_id: int | None = 1, cached: int = CACHED) -> Callable[[list[bytes | None]], pa.Array]:
+    """A function from texts (UTF-8) to their ids as little-endian 32-bit numbers, followed by end_id.
 
     For tokenizers that lower-case, and whose pieces reach neither across ASCII white space nor from a letter to a
     mark: A-Z are lower-cased, marks at words' ends are set apart, and a text's ids are those of its parts between
     white space, one after the other. The ids of each part are found once. Texts with `<|`, where special tokens
     begin, are only cut at white space.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of its own only cost
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_file)
+    words = _Recent(_ids_of(tokenizer_file), cached)
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
 
-    def tokenized(parts: list[bytes]) -> list[bytes]:
-        out = []
-        for i in range(0, len(parts), 4096):
-            some = [p.decode("utf-8", "replace") for p in parts[i : i + 4096]]
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-        return out
-
-    def split(text: str | None) -> list[bytes]:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        return (raw if b"<|" in raw else _WORD_END.sub(rb" \g<0>", raw.lower())).split()
-
-    words = _Recent(tokenized, cached)
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        parts = [split(t) for t in texts]
-        get = words.of(set().union(*parts)).__getitem__
-        return [b"".join(map(get, ps)) + end for ps in parts]
+    def encode(texts: list[bytes | None]) -> pa.Array:
+        parts, ends = _parts(texts)
+        coded = parts.dictionary_encode()
+        ids = pa.array([*words.of(_cells(coded.dictionary)), end], pa.binary())
+        order = np.insert(coded.indices.to_numpy(), ends, len(coded.dictionary))  # the end behind each text's parts
+        all_ids = ids.take(pa.array(order))
+        at = np.frombuffer(all_ids.buffers()[1], np.int32)[np.append(0, ends + np.arange(1, len(texts) + 1))]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), all_ids.buffers()[2]])
 
     return encode
 
 
 def _encoded(tokenizer_file: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(tokenizer_file, end_id)
+        encode = batch_encoder(tokenizer_file, end_id)
         part_no, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, texts in text_slices(batch, batch.num_columns - 1, DOCS_TOGETHER):
-                ids = encode(texts)
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
+            for part in slices(batch, batch.num_columns - 1):
+                ids = encode(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist())
+                counts = pc.binary_length(ids).to_numpy().astype(np.int64) // 4
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
-                columns = [*part.columns[:-1], pa.array(np.full(len(ids), part_no, np.int32)), pa.array(starts), pa.array(counts), pa.array(ids, pa.binary())]
+                columns = [*part.columns[:-1], pa.array(np.full(len(ids), part_no, np.int32)), pa.array(starts), pa.array(counts), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "part_no", "before", "doc_tokens", "ids"])
 
     return run

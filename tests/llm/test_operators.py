@@ -485,6 +485,31 @@ def test_packing_odd(odd):
     assert packing.pack_documents(odd.limit(0), file).count() == 0
 
 
+def test_packing_words_together(monkeypatch):
+    import tokenizers
+
+    file = queries.vocabulary_file("word_bpe_49k.json")
+    plain, given = tokenizers.Tokenizer.from_file(file), []
+
+    class Counting:
+        def __init__(self):
+            self.model, self.get_vocab, self.get_vocab_size = plain.model, plain.get_vocab, plain.get_vocab_size
+
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Stub", (), {"from_file": staticmethod(lambda path: Counting())}))
+    encode = packing.batch_encoder(file)
+    odd = [None, "", ".", "A.. b", "\u00c9, \u00e9! \u00d7. \u00f7.", "<|endoftext|> a. B.", "<|ENDOFTEXT|> X, y", "x.!?", "\n\n", "it's 12,5\x0b.\t", "\u0130\u03a3. e\u0301 \u4e2d\u6587.", "a" * 300 + " b", "\u00df\u00b5 \u00aa."]
+    many = [" ".join(f"wort{a}{b}{c}" for c in "abcdefghijklmn") for a in "abcdefghijklmn" for b in "abcdefghijklmn"]
+    for texts in (odd, [None], [""], many, many):
+        got = encode([None if t is None else t.encode() for t in texts]).to_pylist()
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert len(given) < 60  # of 2,744 words once, and the odd ones
+    assert packing.batch_encoder(file, None)([b"", None]).to_pylist() == [b"", b""]
+
+
 # --- 9 ---
 
 
