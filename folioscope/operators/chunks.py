@@ -55,26 +55,77 @@ def _words_of(text: str):
 _LATIN_WORD, _ANY_WORD = re.compile(r"\w+"), regex.compile(WORD)
 
 
+#: Texts whose words are grouped at once.
+TEXTS_AT_ONCE = 512
+#: The characters of words in Latin-1.
+_IN_WORD = np.array([bool(_LATIN_WORD.match(chr(i))) for i in range(256)])
+
+
+def _latin_tokens(texts: list[bytes], least: int) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
+    """The tokens of texts in Latin-1, each once a text: the numbers of their texts, the tokens, and their places."""
+    chars = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)  # each text between two line ends
+    word = _IN_WORD[chars]
+    edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, size = edges[::2], edges[1::2] - edges[::2]
+    begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    row = np.searchsorted(begin, start, "right") - 1
+    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(chars[word])]).dictionary_encode()
+    code, start = found.indices.to_numpy().astype(np.int64), start - begin[row]
+    if least > 1:
+        row, code, start = (x[size >= least] for x in (row, code, start))
+    key = row * max(1, len(found.dictionary)) + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    groups = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    places = pa.ListArray.from_arrays(pa.array(np.append(groups, len(key)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
+    return row[order][groups], _in_utf8(found.dictionary).take(pa.array(code[order][groups])), places
+
+
+def _in_utf8(words: pa.Array) -> pa.Array:
+    """Words in Latin-1 as strings."""
+    if not len(words):
+        return pa.array([], pa.string())
+    at, latin = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+    at = np.append(0, np.cumsum(1 + (latin >= 0x80)))[at].astype(np.int32)  # such characters are two bytes
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(at), pa.py_buffer(latin.tobytes().decode("latin-1").encode())])
+
+
+def _other_tokens(texts: list[str], least: int) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
+    """_latin_tokens of texts in any alphabet."""
+    rows, tokens, sizes, places = [], [], [], []
+    for i, text in enumerate(texts):
+        found: dict[str, list[int]] = {}
+        for m in _ANY_WORD.finditer(text):
+            found.setdefault(m.group(), []).append(m.start())
+        if least > 1:
+            found = {k: v for k, v in found.items() if len(k) >= least}
+        rows.extend([i] * len(found))
+        tokens.extend(found)
+        for at in found.values():
+            sizes.append(len(at))
+            places.extend(at)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return np.array(rows, np.int64), pa.array(tokens, pa.string()), pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32()))
+
+
+def _in_latin(text: str) -> bytes | None:
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
 def _tokens_of(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, tokens, sizes, places = [], [], [], []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                found: dict[str, list[int]] = {}
-                for m in _words_of(text or "").finditer(text or ""):
-                    found.setdefault(m.group(), []).append(m.start())
-                if least > 1:
-                    found = {k: v for k, v in found.items() if len(k) >= least}
-                rows.extend([i] * len(found))
-                tokens.extend(found)
-                for at in found.values():
-                    sizes.append(len(at))
-                    places.extend(at)
-            index = pa.array(rows, pa.int64())
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            positions = pa.ListArray.from_arrays(offsets, pa.array(places, pa.int32()))
-            names = [*batch.schema.names[:3], "token", "positions"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in range(3)), pa.array(tokens, pa.string()), positions], names=names)
+        for batch in (b.slice(i, TEXTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, TEXTS_AT_ONCE)):
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            latin = [_in_latin(t) for t in texts]
+            for tokens_of, some in ((_latin_tokens, [i for i, t in enumerate(latin) if t is not None]), (_other_tokens, [i for i, t in enumerate(latin) if t is None])):
+                if some:
+                    rows, tokens, places = tokens_of([(latin if tokens_of is _latin_tokens else texts)[i] for i in some], least)
+                    index = pa.array(np.array(some)[rows])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in range(3)), tokens, places], names=[*batch.schema.names[:3], "token", "positions"])
 
     return run
 
