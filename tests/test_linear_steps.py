@@ -91,3 +91,17 @@ def test_word_keys_go_to_no_automaton(spark, monkeypatch):
     keys = spark.createDataFrame([(k,) for k in ("éclair", "CLAIR", long, "b", "", "zz")], "term_key string")
     got = sorted(map(tuple, search.primary_terms(results, keys).select("result_id", "term_key").collect()))
     assert got == [(1, "CLAIR"), (1, "éclair"), (2, "b"), (2, long)]
+
+
+def test_keys_of_texts_cross_as_lists(spark):
+    results = spark.createDataFrame([(1, "The pineapple, Apple c++"), (2, "pear"), (2, "ear_ring"), (None, "apple"), (3, None)], "result_id int, text string")
+    keys = spark.createDataFrame([("Apple",), ("apple",), ("apple",), ("ear",), ("c++",), ("ring",), ("",), (None,)], "term_key string")
+    found = search.primary_terms(results, keys)
+    got = sorted(found.collect(), key=str)
+    want = [(1, "Apple"), (1, "apple"), (1, "apple"), (1, "c++"), (2, "ear"), (2, "ring"), (None, "Apple"), (None, "apple"), (None, "apple")]
+    assert [tuple(r) for r in got] == sorted(want, key=lambda r: f"Row(result_id={r[0]}, term_key={r[1]!r})")
+    words = search.primary_terms(results, keys.where("term_key <> 'c++'"))
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [result_id" in plan and not [x for x in plan.splitlines() if "Aggregate [result_id" in x and "folded" in x]  # no row for each key of a word of a text
+    kinds = keys.withColumn("kind", F.lit("k"))
+    assert sorted(map(tuple, search.primary_terms(results, kinds).where("result_id = 1").collect())) == [(1, k, "k") for k in ("Apple", "apple", "apple", "c++")]
