@@ -105,3 +105,13 @@ def test_keys_of_texts_cross_as_lists(spark):
     assert "Aggregate [result_id" in plan and not [x for x in plan.splitlines() if "Aggregate [result_id" in x and "folded" in x]  # no row for each key of a word of a text
     kinds = keys.withColumn("kind", F.lit("k"))
     assert sorted(map(tuple, search.primary_terms(results, kinds).where("result_id = 1").collect())) == [(1, k, "k") for k in ("Apple", "apple", "apple", "c++")]
+
+
+def test_occurrences_and_texts_meet_by_document(plain):
+    chunks = plain.createDataFrame([(1, 0, "a b"), (1, 7, "b c"), (2, 3, "c"), (2, 3, "c d"), (2, 9, "c"), (None, 0, "a"), (3, 1, "z")], "doc_id int, chunk_index long, text string")
+    found = plain.createDataFrame([("a", 1, 0, 5), ("b", 1, 7, 6), ("b", 1, 7, 6), ("c", 2, 9, 7), ("c", 2, 3, 8), ("x", 2, 4, 9), ("a", None, 0, 1), ("y", 4, 0, 1), (None, 1, 0, 2)], "term string, doc_id int, chunk_index long, n int")
+    out = terms.term_contexts(found, chunks)
+    want = [("a", 1, 0, 5, "a b"), ("b", 1, 7, 6, "b c"), ("b", 1, 7, 6, "b c"), (None, 1, 0, 2, "a b"), *(("c", 2, c, n, said) for c, n in ((9, 7), (3, 8)) for said in ("c", "c d"))]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = terms.term_contexts(found, chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 2 == plan.count("Exchange")  # occurrences once, texts once
